@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, language, packing, pii, secrets
+from palimpsest.llm import bpe, fingerprint, language, packing, pii, secrets, suffixes
 from palimpsest.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,7 +48,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_best_fit_packing, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, language, packing, pii, secrets, suffixes
+from palimpsest.llm import bpe, fingerprint, jaccard, language, packing, pii, secrets, suffixes
 from palimpsest.llm.common import read_table
 
 
@@ -29,6 +29,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_digest(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y, c.n = s.n AND c.n = t.n AS same FROM common c JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 9 * c.n >= 4 * (s.n + t.n)
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, least(doc_id, (SELECT min(y) FROM links WHERE x = doc_id AND same)) AS class_id,
+  least(doc_id, (SELECT min(y) FROM reach WHERE x = doc_id)) AS group_id, (SELECT count(*) FROM links WHERE x = doc_id) AS n_links
+FROM documents
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -48,8 +69,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard_join": OP5_SQL}

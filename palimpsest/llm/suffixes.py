@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             if t is None or s is None or not len(s):
                 return t
             data = t.encode()
-            return "".join(data[a:b].decode("utf-8", "ignore") for a, b in kept_parts(len(data), s, span)[0])
+            return "".join(data[a:b].decode("utf-8", "ignore") for a, b in kept_parts(len(data), list(s), span)[0])
 
         return pd.Series([one(t, s) for t, s in zip(texts, stretches, strict=True)], dtype=object)
 

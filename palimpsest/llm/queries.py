@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, jaccard, language, packing, pii, secrets, suffixes
+from palimpsest.llm import bpe, fingerprint, jaccard, language, packing, pii, rules, secrets, suffixes
 from palimpsest.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_digest(read_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

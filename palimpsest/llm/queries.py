@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, jaccard, language, packing, pii, rules, secrets, suffixes
+from palimpsest.llm import bpe, fingerprint, jaccard, kneser_ney, language, packing, pii, rules, secrets, suffixes
 from palimpsest.llm.common import read_table
 
 
@@ -72,8 +72,12 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing, op10_kneser_ney)}
 
 
 def oracle_sql() -> dict[str, str]:

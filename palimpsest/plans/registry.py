@@ -1,2 +1,274 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The engine's queries over the driver's tables, each beside the SQL that it must agree with."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import features, guards
+from palimpsest.operators import lineage, textdiff
+from palimpsest.sources import audit, patches
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Markers and a name that occur in the tables; the guards' own default markers never do.
+MARKERS = ["License", "token", "@"]
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(r"""
+WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT lang, count(*) AS n_lines, count(*) FILTER (contains(line, 'License')) AS marker_lines,
+  CAST(sum(len(regexp_extract_all(line, '[0-9]+'))) AS BIGINT) AS number_hits,
+  CAST(sum(length(line)) AS BIGINT) AS chars
+FROM l GROUP BY lang""")
+def audit_lines(spark, sf_dir):
+    """Lines, marked lines and numbers by language."""
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("lang").agg(
+        F.count("*").alias("n_lines"), F.count_if(guards.first_marker("line", ["License"]).isNotNull()).alias("marker_lines"),
+        F.sum(features.count_of("line", "[0-9]+")).alias("number_hits"), F.sum(F.char_length("line")).cast("bigint").alias("chars"),
+    )
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN contains(text, 'License') THEN 'License' WHEN contains(text, 'token') THEN 'token' WHEN contains(text, '@') THEN '@' END AS first_marker
+FROM documents""")
+def marker_first_hit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", guards.first_marker("text", MARKERS).alias("first_marker"))
+
+
+_DECLARED = r"""SELECT conv_id, turn, 'public ' || CASE WHEN turn % 3 = 0 THEN 'int ' ELSE 'void  ' END || role || ' (' || chr(10) || ') { // ' || text AS java, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS name FROM conversations"""
+
+
+def _declared(spark, sf_dir):
+    """Turns dressed as method declarations, with the name each ought to declare."""
+    kind = F.when(F.col("turn") % 3 == 0, "int ").otherwise("void  ")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("public "), kind, "role", F.lit(" (\n) { // "), "text").alias("java"), F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant").alias("name"),
+    )
+
+
+@query(rf"SELECT conv_id, turn, coalesce(regexp_matches(java, '\bvoid\s+' || name || '\s*\('), false) AS present FROM ({_DECLARED})")
+def required_method(spark, sf_dir):
+    """The required-method guard with a name from the data."""
+    return _declared(spark, sf_dir).select("conv_id", "turn", guards.method_present("java", F.col("name")).alias("present"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, 'token\s*=') AS present FROM documents")
+def required_pattern(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(r"token\s*=")).alias("present"))
+
+
+@query(rf"""
+WITH g AS (SELECT name, coalesce(regexp_matches(java, '\bvoid\s+' || name || '\s*\('), false) AS p,
+  CASE WHEN contains(java, 'please') THEN 'please' WHEN contains(java, 'the') THEN 'the' END AS m FROM ({_DECLARED}))
+SELECT CASE WHEN NOT p THEN 'Test method disappeared: ' || name WHEN m IS NOT NULL THEN 'Disallowed marker found: ' || m END AS message, p AND m IS NULL AS ok, count(*) AS n
+FROM g GROUP BY ALL""")
+def guard_messages(spark, sf_dir):
+    """Both guards in their order, as messages."""
+    return guards.guard(_declared(spark, sf_dir), "java", "name", ["please", "the"]).groupBy("message", "ok").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT quality, toxic, CASE WHEN contains(text, 'License') THEN 'License' WHEN contains(text, 'token') THEN 'token' WHEN contains(text, '@') THEN '@' END AS marker, count(*) AS docs
+FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def guard_summary(spark, sf_dir):
+    marked = table(spark, sf_dir, "documents").select("doc_id", guards.first_marker("text", MARKERS).alias("marker"))
+    return marked.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic", "marker").agg(F.count("*").alias("docs"))
+
+
+@query("SELECT doc_id AS id, lang FROM documents")
+def terse_projection(spark, sf_dir):
+    """A record's hidden fields dropped by name; names that are not there do no harm."""
+    return audit.terse(table(spark, sf_dir, "documents").selectExpr("doc_id id", "lang", "text prompt", "source completion", "text java_source"))
+
+
+@query("SELECT epoch_us(ts) / 1e6 AS ts, event_type AS event, event_id, user_id, value FROM events")
+def audit_roundtrip(spark, sf_dir):
+    """Events written to a log as JSON lines and read back."""
+    path = f"{_shared(spark)}/palimpsest/audit-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    audit.append(audit.records(events, F.col("event_type"), "ts", "event_id", "user_id", "value"), path)
+    return audit.read(spark, path).select("ts", "event", *(audit.field(n, k).alias(n) for n, k in (("event_id", "bigint"), ("user_id", "bigint"), ("value", "double"))))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def extras_parse(spark, sf_dir):
+    """A dynamic field taken from JSON without inference."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, sf_dir, "events").select("event_type", (k % 10).alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 2) AS host FROM pages")
+def key_from_path(spark, sf_dir):
+    part = lambda k: F.regexp_extract("url", r"^([a-z]+)://([^/]+)(/.*)?$", k)
+    return table(spark, sf_dir, "pages").select("page_id", part(1).alias("scheme"), part(2).alias("host"))
+
+
+@query(r"""SELECT CAST(doc_id % 90 + 1 AS INTEGER) AS project_id, source AS project, make_timestamp(2026, 1, 27, CAST(doc_id % 86400 // 3600 AS BIGINT), 30, 15.0) AS run_ts,
+  '_C' || lang AS class_name, 'test' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS test_name, CAST(doc_id % 100 AS INTEGER) AS test_no, count(*) AS n
+FROM documents GROUP BY ALL""")
+def patch_tree_keys(spark, sf_dir):
+    """Keys from paths of a patch tree; digits of a test's name are kept as text."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    d = F.col("doc_id")
+    path = F.concat(F.lit("/"), (d % 90 + 1).cast("string"), F.lit("_"), "source", F.lit("/run_20260127_"), two(F.floor(d % 86400 / 3600)), F.lit("3015/patches/"), "source", F.lit("/_C"), "lang", F.lit("/test"), two(d % 100), F.lit(".diff"))
+    files = table(spark, sf_dir, "documents").select(path.alias("file_path"), F.col("text").alias("value"))
+    return patches.with_keys(files).groupBy("project_id", "project", "run_ts", "class_name", "test_name", "test_no").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT turn, unnest(string_split(text, ' ')) AS w FROM conversations),
+d AS (SELECT w FROM t WHERE turn % 2 = 0 EXCEPT ALL SELECT w FROM t WHERE turn % 2 = 1)
+SELECT w, count(*) AS extra FROM d GROUP BY w""")
+def line_multiset_diff(spark, sf_dir):
+    """What even turns say more often than odd ones."""
+    words = table(spark, sf_dir, "conversations").select("turn", F.explode(F.split("text", " ")).alias("w"))
+    return textdiff.line_multiset_diff(words.where("turn % 2 = 0"), words.where("turn % 2 = 1"), "w").groupBy("w").agg(F.count("*").alias("extra"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_wins(spark, sf_dir):
+    return lineage.latest(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, event_type AS b, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'view' END AS a FROM events)
+SELECT user_id, event_id, row_number() OVER w AS run_no, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN lag(a) OVER w IS NOT DISTINCT FROM b THEN 'chained'
+  WHEN lag(b) OVER w IS NOT DISTINCT FROM b THEN 'restarted' ELSE 'other' END AS relation
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def chain_lag(spark, sf_dir):
+    """Whether each event starts from the state its predecessor left."""
+    e = table(spark, sf_dir, "events").withColumns({"b": F.col("event_type"), "a": F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("view")})
+    return lineage.chains(e, ["user_id"], ["ts", "event_id"], "b", "a").select("user_id", "event_id", "run_no", "relation")
+
+
+@query("SELECT lang, copies, count(*) AS groups FROM (SELECT lang, sha256(text) AS content, count(*) AS copies FROM documents GROUP BY ALL) GROUP BY ALL")
+def dedup_exact(spark, sf_dir):
+    return lineage.distinct_edits(table(spark, sf_dir, "documents"), ["lang"], "text").groupBy("lang", "copies").agg(F.count("*").alias("groups"))
+
+
+@query("""
+SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(max(n_chars) AS BIGINT) AS longest, CAST(grouping(lang) * 2 + grouping(source) AS BIGINT) AS level
+FROM documents GROUP BY ROLLUP (lang, source)""")
+def class_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.grouping_id().cast("bigint").alias("level"))
+
+
+@query("""
+SELECT doc_id, lang, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers FROM documents ORDER BY numbers DESC, doc_id LIMIT 25""")
+def top_k_shift(spark, sf_dir):
+    """A report of the 25 documents with most numbers, ties by id."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", features.count_of("text", "[0-9]+").alias("numbers")).orderBy(F.desc("numbers"), "doc_id").limit(25)
+
+
+@query("SELECT a.conv_id, a.turn, a.role AS state, b.role AS next_state FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def neighbour_state(spark, sf_dir):
+    return lineage.neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn", F.col("role").alias("state"), "next_state")
+
+
+@query("SELECT doc_id, 'License' AS marker FROM documents WHERE contains(text, 'License')")
+def contract_violations(spark, sf_dir):
+    return lineage.violations(table(spark, sf_dir, "documents"), "text", ["License"]).select("doc_id", "marker")
+
+
+_METHOD_SQL = r"""
+SELECT doc_id, lang,
+  '@Test(timeout = 4000)' || chr(10) || 'public void test' || doc_id || '() throws Throwable {' || chr(10) ||
+  CASE WHEN doc_id % 4 = 0 THEN 'try {' || chr(10) || 'run(' || n_chars || ');' || chr(10) || 'fail("no");' || chr(10) || '} catch (E e) { verifyException("A", e); }' ELSE 'assertEquals(' || n_chars || ', size());' END || chr(10) || '}' AS before,
+  CASE WHEN doc_id % 4 = 0 THEN '@Test(timeout = 4000, expected = E.class)' WHEN doc_id % 4 = 1 THEN '@Test(timeout = 4004)' ELSE '@Test' END || chr(10) || 'public void test' || doc_id || '() throws Throwable {' || chr(10) ||
+  CASE WHEN doc_id % 4 = 0 THEN 'run(' || n_chars || ');' WHEN doc_id % 4 = 3 THEN 'size();' ELSE 'int n = size();' || chr(10) || 'assertNotNull(this);' || chr(10) || 'assertTrue(n > 0);' END || chr(10) || '}' AS after
+FROM documents"""
+
+
+def _methods(spark, sf_dir):
+    """A test method before and after repair, spun from each document's id and size."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang",
+        F.expr(r"""concat('@Test(timeout = 4000)\npublic void test', doc_id, '() throws Throwable {\n', CASE WHEN doc_id % 4 = 0 THEN concat('try {\nrun(', n_chars, ');\nfail("no");\n} catch (E e) { verifyException("A", e); }') ELSE concat('assertEquals(', n_chars, ', size());') END, '\n}')""").alias("before"),
+        F.expr(r"""concat(CASE WHEN doc_id % 4 = 0 THEN '@Test(timeout = 4000, expected = E.class)' WHEN doc_id % 4 = 1 THEN '@Test(timeout = 4004)' ELSE '@Test' END, '\npublic void test', doc_id, '() throws Throwable {\n', CASE WHEN doc_id % 4 = 0 THEN concat('run(', n_chars, ');') WHEN doc_id % 4 = 3 THEN 'size();' ELSE 'int n = size();\nassertNotNull(this);\nassertTrue(n > 0);' END, '\n}')""").alias("after"),
+    )
+
+
+def _count_sql(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+_FEATURES_SQL = "SELECT *, " + ", ".join(f"{_count_sql(s, p)} AS {n}_{s}" for n, p in features.PATTERNS.items() for s in ("before", "after")) + f" FROM ({_METHOD_SQL})"
+
+
+@query(f"""
+WITH f AS ({_FEATURES_SQL})
+SELECT lang, count(*) AS methods, CAST(sum(asserts_before) AS BIGINT) AS asserts_before, CAST(sum(asserts_after) AS BIGINT) AS asserts_after,
+  CAST(sum(verify_exception_before) AS BIGINT) AS verify_before, CAST(sum(literal_first_before) AS BIGINT) AS literal_first_before,
+  count(*) FILTER (try_blocks_before > 0 AND try_blocks_after = 0 AND expected_before = 0 AND expected_after > 0) AS try_to_expected,
+  count(*) FILTER (asserts_after > asserts_before) AS more_asserts, count(*) FILTER (asserts_before > 0 AND asserts_after = 0) AS assert_free_gained,
+  count(*) FILTER (asserts_after = 0 AND expected_after = 0 AND fails_after = 0) AS unchecked_after, count(*) FILTER (timeouts_before > 0 AND timeouts_after = 0) AS timeout_dropped,
+  count(*) FILTER (timeouts_before > 0 AND timeouts_after > 0 AND regexp_extract(before, 'timeout\\s*=\\s*([0-9]+)', 1) <> regexp_extract(after, 'timeout\\s*=\\s*([0-9]+)', 1)) AS timeout_changed,
+  count(*) FILTER (regexp_matches(after, 'expected\\s*=\\s*E.class')) AS expected_e,
+  CAST(sum(len(string_split(after, chr(10))) - len(string_split(before, chr(10)))) AS BIGINT) AS net_lines
+FROM f GROUP BY lang""")
+def edit_features(spark, sf_dir):
+    """Edit patterns per language over method pairs."""
+    rows = features.flags(features.counts(_methods(spark, sf_dir), "before", "after"))
+    flags = ("try_to_expected", "more_asserts", "assert_free_gained", "unchecked_after", "timeout_dropped", "timeout_changed")
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("methods"), *(F.sum(c).alias(n) for c, n in (("asserts_before", "asserts_before"), ("asserts_after", "asserts_after"), ("verify_exception_before", "verify_before"), ("literal_first_before", "literal_first_before"))),
+        *(F.count_if(f).alias(f) for f in flags), F.count_if(F.col("expected_type") == "E").alias("expected_e"), F.sum("net_lines").alias("net_lines"),
+    )
+
+
+@query(r"""
+SELECT doc_id, 1 AS hunks, true AS fits FROM documents""")
+def diff_roundtrip(spark, sf_dir):
+    """Diffs of method pairs made, parsed into lines, and applied: every pair's diff is one hunk and gives `after` again."""
+    pairs = _methods(spark, sf_dir).withColumn("raw", textdiff.diff(F.concat("before", F.lit("\n")), F.concat("after", F.lit("\n")), F.concat(F.lit("evosuite/T"), "doc_id", F.lit(".java"))))
+    keyed = pairs.select(F.col("doc_id").alias("project_id"), F.lit("r").alias("run_ts"), F.lit("C").alias("class_name"), F.lit("t").alias("test_name"), "raw", "before", "after")
+    lines = patches.patch_lines(keyed)
+    n = lines.groupBy("project_id").agg(F.max("hunk_no").alias("hunks"))
+    done = textdiff.fold_patches(keyed.select("project_id", F.concat("before", F.lit("\n")).alias("text")), keyed.select("project_id", F.lit(1).alias("seq"), "raw"), "project_id")
+    want = keyed.select("project_id", F.concat("after", F.lit("\n")).alias("want"))
+    return n.join(done, "project_id").join(want, "project_id").select(F.col("project_id").alias("doc_id"), "hunks", (F.col("text") == F.col("want")).alias("fits"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS event, count(*) AS n FROM events GROUP BY ALL""")
+def audit_windows(spark, sf_dir):
+    """The batch form of the stream's windowed counts."""
+    from palimpsest.streaming.audit_stream import windowed_counts
+
+    recs = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("event"))
+    return windowed_counts(recs, "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event", "n")
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, or the warehouse where none is named."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

@@ -1,0 +1,59 @@
+import __spark_entry__
+import corpus_pipeline
+import pytest
+from test_packing import check
+
+from palimpsest.llm import jaccard, language, pii, suffixes
+
+pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "suffix_dedup", "pii", "best_fit_packing"]
+
+
+def test_stages_match_brute_force(spark):
+    """Each stage on its own input, against plain Python over the rows that went in."""
+    from test_jaccard import brute as groups
+    from test_suffixes import brute as removed
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    columns = docs.columns
+    filters = language.fit(docs.where(~language.held_out()))
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    want = {i for i, r in rows.items() if (p := filters.predict([r["text"] or ""]))[0][0] != "und" and p[1][0] >= 0.3}
+    assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == want
+
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    once = corpus_pipeline.near_duplicates(spark, kept, SF)
+    found = groups([(i, r["text"]) for i, r in sorted(rows.items())])
+    assert once.columns == columns and {r["doc_id"] for r in once.collect()} == {g for _, _, g, _ in found}
+    assert jaccard.similar_digest(kept).count() == len(rows)
+
+    rows = {r["doc_id"]: r["text"] for r in once.collect()}
+    cut = corpus_pipeline.suffix_dedup(spark, once, SF)
+    want = removed(list(rows.values()), suffixes.SPAN)
+    got = {r["doc_id"]: r for r in cut.collect()}
+    assert cut.columns == columns and set(got) == set(rows)
+    for (i, text), (n, gone, _, _) in zip(rows.items(), want, strict=True):
+        assert len(got[i]["text"].encode()) <= n - gone and n - gone - len(got[i]["text"].encode()) < 8
+        assert gone or got[i]["text"] == text
+        assert got[i]["n_chars"] == len(got[i]["text"])
+
+    clean = corpus_pipeline.personal_data(spark, cut, SF)
+    assert clean.columns == columns
+    for r in clean.collect():
+        spans = pii.plain_spans(got[r["doc_id"]]["text"])
+        assert r["text"] == pii.redacted(got[r["doc_id"]]["text"], spans + pii.added_spans(got[r["doc_id"]]["text"], spans)) and not pii.plain_spans(r["text"])
+
+    texts = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    check(corpus_pipeline.best_fit_packing(spark, clean, SF).collect(), texts)
+
+
+def test_runs_end_to_end(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 #: Columns of the documents table.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of a batch handed to Python; a batch of the longest texts still fits a worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, so a lost executor costs one task."""
+    """df as a table in the shared folder: lineage ends there, so a lost executor costs one task.
+
+    What the finished step exchanged is then garbage; collecting it lets Spark delete those files before the next step.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,10 +64,36 @@ def arrow_map(df: DataFrame, func: Callable[[Iterator[dict[str, list]]], Iterabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in func(b.to_pydict() for b in batches if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def batch_map(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """df through func a batch at a time; the columns stay the same ones, and those that func leaves alone pass untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield func(b)
+        _give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    """batch with a column's values replaced, its type kept."""
+    i = batch.schema.get_field_index(name)
+    return batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task, and others share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

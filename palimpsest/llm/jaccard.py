@@ -45,7 +45,7 @@ class _Words(dict):
     """Hash of each word seen, up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -343,8 +343,9 @@ def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     """docs without those that links connect with an earlier one; documents without a set all stay. Columns as they were."""
     found = similar(docs, **how)
     stay = found.where("not has_set or (k1 = group_k1 and k2 = group_k2)").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "has_set").distinct()
-    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(_FIRST)), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(stay.withColumnRenamed("has_set", "_set"), ["_k1", "_k2"])
+    row = F.struct(*docs.columns).alias("row")  # so no name of its columns can clash
+    keyed = docs.select(row, F.coalesce("doc_id", F.lit(_FIRST)).alias("_k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k2"))
+    kept = keyed.join(stay, ["_k1", "_k2"])
     # Equal rows are copies, too.
-    once = kept.where("_set").dropDuplicates(["_k1", "_k2"]).unionByName(kept.where("not _set"))
-    return once.select(*docs.columns)
+    once = kept.where("has_set").dropDuplicates(["_k1", "_k2"]).unionByName(kept.where("not has_set"))
+    return once.select("row.*")

@@ -23,10 +23,11 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, mix, pick
+from palimpsest.llm.common import arrow_map, batch_map, mix, pick
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SLICE = 1 << 18  # characters handled at once
@@ -152,13 +153,9 @@ def held_out(column: str = "doc_id"):
 
 def keep_languages(docs: DataFrame, filters: Filters, least_score: float = 0.3) -> DataFrame:
     """docs without those in no learned language (`und`, or too few trigrams of any); columns as they were."""
-    from pyspark.sql.types import BooleanType
 
-    @F.pandas_udf(BooleanType())
-    def known(texts):
-        import pandas as pd
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = filters.predict([t or "" for t in batch.column("text").to_pylist()])
+        return batch.filter(pa.array([la != "und" and s >= least_score for la, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-        langs, scores = filters.predict([t or "" for t in texts])
-        return pd.Series([la != "und" and s >= least_score for la, s in zip(langs, scores, strict=True)], dtype=bool)
-
-    return docs.where(known(F.col("text")))
+    return batch_map(docs, known)

@@ -20,9 +20,11 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, pick
+from palimpsest.llm.common import arrow_map, batch_map, pick, with_column
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -110,8 +112,8 @@ _ITEM = rf"(?:(?:{_WORD}|{_DOT_WORDS}|dash|hyphen)\b|[0-9]+)"
 _RUN = rf"(?:\bplus\s+|\+\s*)?(?<!\w){_ITEM}(?:(?:{_DOT_MARK}|[\s,.-]+){_ITEM}){{2,}}(?!\w)"
 _PART = re.compile(rf"(?P<dot>{_DOT_MARK}|(?:{_DOT_WORDS})\b)|(?P<dash>dash|hyphen)|(?P<plus>plus)|(?P<word>(?:{_WORD})\b)|(?P<num>[0-9]+)|(?P<other>[\s\S])", re.I)
 # A lone "at" between words is prose; it counts only where a dot is spelled after it.
-_SPELLED_AT = rf"(?<=[A-Za-z0-9])\s+(?:{_AT_WORDS})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+(?:{_DOT_WORDS})\s+|{_DOT_MARK})[A-Za-z0-9])"
-_SPELLED_DOT = rf"(?<=[A-Za-z0-9])\s+(?:{_DOT_WORDS})\s+(?=[A-Za-z0-9])"
+_SPELLED_AT = rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+|{_DOT_MARK})[A-Za-z0-9])"
+_SPELLED_DOT = r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])"
 _SPACED_AT = r"(?<=[A-Za-z0-9])\s+@\s+(?=[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)*\s*\.\s*[A-Za-z]{2,}\b)"
 _REWRITE = re.compile(rf"(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
 #: Without one of these no rewrite applies. Letters of western European languages are not among them.
@@ -233,12 +235,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in `text` replaced by its kind; a null text stays null. Other columns are kept as they are; n_chars, if there, is counted anew."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StringType
 
-    @F.pandas_udf(StringType())
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else redacted(t, (p := plain_spans(t)) + added_spans(t, p)))
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t if t is None else redacted(t, (p := plain_spans(t)) + added_spans(t, p)) for t in batch.column("text").to_pylist()]
+        return with_column(batch, "text", texts)
 
-    text = clean(F.col("text"))
-    return docs.withColumn("text", text).withColumns({"n_chars": F.char_length("text").cast("bigint")} if "n_chars" in docs.columns else {})
+    out = batch_map(docs, clean)
+    return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

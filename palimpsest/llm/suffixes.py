@@ -36,11 +36,12 @@ import hashlib
 import pickle
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, kgram_hashes, pick, sliding, written
+from palimpsest.llm.common import arrow_map, batch_map, kgram_hashes, pick, sliding, with_column, written
 
 SPAN, K = 400, 64
 _CHUNK = 1 << 20
@@ -62,10 +63,6 @@ def anchors(data: bytes, span: int = SPAN, k: int = K) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text with the two keys that tell rows apart; equal rows share them."""
     return pick(docs, "doc_id", "text").withColumns({"k1": F.coalesce("doc_id", F.lit(_FIRST)), "k2": F.xxhash64("text")})
@@ -73,20 +70,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _anchor_rows(keyed: DataFrame, span: int, k: int) -> DataFrame:
     def run(batches):
+        held: list[tuple] = []
         for b in batches:
-            out: dict[str, list] = {"k1": [], "k2": [], "pos": [], "gram": [], "reach": []}
             for k1, k2, text in zip(b["k1"], b["k2"], b["text"], strict=True):
                 data = text.encode()
-                at = anchors(data, span, k).tolist()
-                out["k1"] += [k1] * len(at)
-                out["k2"] += [k2] * len(at)
-                out["pos"] += at
-                out["gram"] += [_signed(xxhash.xxh64_intdigest(data[p : p + k])) for p in at]
-                out["reach"] += [_signed(xxhash.xxh64_intdigest(data[(a := max(0, p - span + k)) : p + span], p - a)) for p in at]
-                if len(out["pos"]) > 100_000:
-                    yield out
-                    out = {n: [] for n in out}
-            yield out
+                at = anchors(data, span, k)
+                if not len(at):
+                    continue
+                places = at.tolist()
+                gram = np.fromiter((xxhash.xxh64_intdigest(data[p : p + k]) for p in places), np.uint64, len(at)).view(np.int64)
+                reach = np.fromiter((xxhash.xxh64_intdigest(data[(a := max(0, p - span + k)) : p + span], p - a) for p in places), np.uint64, len(at)).view(np.int64)
+                held.append((np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, gram, reach))
+            if held:
+                yield dict(zip(("k1", "k2", "pos", "gram", "reach"), map(np.concatenate, zip(*held, strict=True)), strict=True))
+                held = []
 
     return arrow_map(keyed.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, pos bigint, gram bigint, reach bigint")
 
@@ -180,6 +177,8 @@ def repeats_in_group(rights: list[int], lefts: list[bytes], span: int) -> list[l
         rank[j] = i
     owner = list(range(n))
     members: dict[int, list[int]] = {i: [rank[i]] for i in range(n)}
+    # Shared lengths to the right only fall, so a stretch adds something only if it reaches further left than before.
+    furthest = np.full(n, -1, np.int64)
 
     def find(i: int) -> int:
         while owner[i] != i:
@@ -206,7 +205,10 @@ def repeats_in_group(rights: list[int], lefts: list[bytes], span: int) -> list[l
             left = np.minimum.reduceat(near, ranks)
             left[-1] = 0
             best = np.maximum(left, np.concatenate([[0], left[:-1]]))
-            for i in np.flatnonzero(best + h >= span).tolist():
+            at = np.array(ranks)
+            new = np.flatnonzero((best + h >= span) & (best > furthest[at]))
+            furthest[at[new]] = best[new]
+            for i in new.tolist():
                 out[order[ranks[i]]].append((int(best[i]), h))
     return out
 
@@ -236,7 +238,7 @@ def _compared(chosen: DataFrame, keyed: DataFrame, span: int, k: int, per_task:
                     for key in keys:
                         held.setdefault(key % n, []).append((key.to_bytes(_PREFIX) + right, left, k1, k2, p))
                         size += 1
-                if size >= 20_000:
+                if size >= per_task:
                     yield flush()
                     held.clear()
                     size = 0
@@ -270,12 +272,13 @@ def _compared(chosen: DataFrame, keyed: DataFrame, span: int, k: int, per_task:
     return arrow_map(runs, merge_runs, "k1 bigint, k2 bigint, start bigint, end bigint")
 
 
-def repeated_stretches(docs: DataFrame, span: int = SPAN, k: int = K, crowd: int = 20_000, per_task: int = 20_000) -> DataFrame:
-    """k1, k2 (see _keyed) and stretches: array of (start, end), any order, overlapping, end perhaps beyond the text; only rows that have some."""
+def repeated_stretches(docs: DataFrame, span: int = SPAN, k: int = K, crowd: int = 20_000, per_task: int = 10_000) -> DataFrame:
+    """k1, k2 (see _keyed) and stretches: array of start * 2 * span + length, any order, overlapping, end perhaps beyond the text; only rows that have some."""
     keyed = _keyed(docs)
     rows = written(_anchor_rows(keyed, span, k), "anchors")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).where("n > 1")
-    several = written(rows.join(grams.select("gram", "lo", "hi"), "gram").select("k1", "k2", "pos", "gram", "reach", (F.col("lo") == F.col("hi")).alias("same")), "repeated")
+    # Written, so that the join exchanges both sides and a gram of very many anchors can be split.
+    grams = written(rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).where("n > 1").select("gram", "lo", "hi"), "grams")
+    several = written(rows.join(grams, "gram").select("k1", "k2", "pos", "gram", "reach", (F.col("lo") == F.col("hi")).alias("same")), "repeated")
     mixed = several.where("not same")
     reaches = written(mixed.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")), "reaches")
     crowded = reaches.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded"))
@@ -283,26 +286,26 @@ def repeated_stretches(docs: DataFrame, span: int = SPAN, k: int = K, crowd: int
     settled = several.where("same").select("k1", "k2", "pos").unionByName(mixed.join(reaches.where("n > 1").select("gram", "reach"), ["gram", "reach"]).select("k1", "k2", "pos"))
     whole = settled.select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - (span - k)).alias("start"), (F.col("pos") + span).alias("end"))
     found = whole.unionByName(_compared(chosen, keyed, span, k, per_task))
-    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("stretches"))
-
-
-def kept_parts(n: int, stretches: list[dict], span: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Of n bytes: (parts kept, runs removed)."""
-    kept, gone, last = [], [], 0
-    for a, b in sorted((s["start"], min(s["end"], n)) for s in stretches or ()):
-        if b - a < span:
-            continue
-        if gone and a <= gone[-1][1]:
-            gone[-1] = (gone[-1][0], max(b, gone[-1][1]))
-        else:
-            gone.append((a, b))
-    for a, b in gone:
-        if a > last:
-            kept.append((last, a))
-        last = b
-    if last < n:
-        kept.append((last, n))
-    return kept, gone
+    # Start and length in one number: no stretch is as long as two spans.
+    return found.groupBy("k1", "k2").agg(F.collect_set(F.col("start") * (2 * span) + F.col("end") - F.col("start")).alias("stretches"))
+
+
+def removed_runs(n: int, stretches, span: int) -> np.ndarray:
+    """Of a text of n bytes, the runs that go, as rows (start, end), from the numbers that repeated_stretches gives."""
+    c = np.sort(np.asarray(stretches if stretches is not None else (), np.int64))
+    start, end = c // (2 * span), np.minimum(c // (2 * span) + c % (2 * span), n)
+    whole = end - start >= span
+    start, end = start[whole], np.maximum.accumulate(end[whole]) if whole.any() else end[whole]
+    first = np.ones(len(start), bool)
+    first[1:] = start[1:] > end[:-1]
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(start) - 1) if len(start) else np.zeros(0, np.int64)
+    return np.stack([start[first], end[last]], axis=1)
+
+
+def kept_parts(n: int, stretches, span: int) -> list[tuple[int, int]]:
+    """The parts between the runs that go."""
+    edges = [0, *removed_runs(n, stretches, span).ravel().tolist(), n]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
 
 
 def dedup_digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -313,9 +316,8 @@ def dedup_digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
             out: dict[str, list] = {"doc_id": b["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for text, stretches in zip(b["text"], b["stretches"], strict=True):
                 data = text.encode()
-                kept, gone = kept_parts(len(data), stretches, span)
-                rest = b"".join(data[x:y] for x, y in kept)
-                for name, v in zip(list(out)[1:], (len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest()), strict=True):
+                rest = b"".join(data[x:y] for x, y in kept_parts(len(data), stretches, span))
+                for name, v in zip(list(out)[1:], (len(data), len(data) - len(rest), len(removed_runs(len(data), stretches, span)), hashlib.sha256(rest).hexdigest()), strict=True):
                     out[name].append(v)
             yield out
 
@@ -325,23 +327,19 @@ def dedup_digest(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with repeated stretches cut from `text`; characters cut in two go entirely, null stays null. Other columns are kept; n_chars, if there, is counted anew."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
-    @F.pandas_udf(StringType())
-    def cut(texts, stretches):
-        def one(t, s):
-            if t is None or s is None or not len(s):
-                return t
-            data = t.encode()
-            return "".join(data[a:b].decode("utf-8", "ignore") for a, b in kept_parts(len(data), list(s), span)[0])
-
-        return pd.Series([one(t, s) for t, s in zip(texts, stretches, strict=True)], dtype=object)
-
-    columns = docs.columns
-    found = repeated_stretches(docs, span).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "stretches": "_stretches"})
-    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(_FIRST)), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = keyed.join(found, ["_k1", "_k2"], "left").withColumn("text", cut("text", "_stretches"))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return rows.select(*columns)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for t, s in zip(batch.column("text").to_pylist(), batch.column("_stretches").to_pylist(), strict=True):
+            if t is not None and s:
+                data = t.encode()
+                t = "".join(data[a:b].decode("utf-8", "ignore") for a, b in kept_parts(len(data), s, span))
+            texts.append(t)
+        return with_column(batch, "text", texts)
+
+    found = repeated_stretches(docs, span).withColumnsRenamed({"k1": "_a", "k2": "_b", "stretches": "_stretches"})
+    # One struct holds the row, so no name of its columns can clash.
+    keyed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.coalesce("doc_id", F.lit(_FIRST)).alias("_a"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_b"), F.col("text"))
+    rows = batch_map(keyed.join(found, ["_a", "_b"], "left").select("row", "text", "_stretches"), cut)
+    kept = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(kept.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

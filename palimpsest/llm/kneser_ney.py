@@ -34,6 +34,8 @@ from palimpsest.llm.common import arrow_map, pick, written
 ORDER = 4
 _BITS, _START, _OTHER = np.uint64(16), 2, 0xFFFF
 _SLICE = 1 << 20
+#: Bytes of text in a block.
+BLOCK_BYTES = 32 << 20
 #: Of 30 bits for a language's key; the n-gram's length is added.
 _LANG = "cast(crc32(cast(coalesce(concat('=', lang), '') as binary)) * 8 as bigint)"
 
@@ -88,18 +90,57 @@ class _Counts:
         return self.done.items()
 
 
-def _ngram_counts(trusted: DataFrame) -> DataFrame:
-    """m, g, c: counts of four-character n-grams in packed documents."""
+def _block_of(docs: DataFrame, block_bytes: int) -> tuple[int, object]:
+    """Number of blocks and the block of a row, by doc_id."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    return blocks, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+
+
+def block_grams(docs: DataFrame, good: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, m (language's key plus length), g, c: each n-gram that scoring a block looks at, once, and how often it ends in
+    the block's trusted documents (full length only, else 0). One exchange by block brings documents and trusted ids together."""
+    blocks, block = _block_of(docs, block_bytes)
+    none = F.lit(None)
+    ids = good.select(block.alias("block"), "doc_id", F.lit(0).alias("kind"), none.cast("bigint").alias("m"), none.cast("binary").alias("z"))
+    texts = packed(docs).select(block.alias("block"), "doc_id", F.lit(1).alias("kind"), "m", "z")
+    rows = ids.unionByName(texts).repartitionById(blocks, F.col("block")).sortWithinPartitions("doc_id", "kind")
 
     def run(batches):
-        z, counts = zstandard.ZstdDecompressor(), _Counts()
+        z, seen, learnt = zstandard.ZstdDecompressor(), _Counts(), _Counts()
+        trusted = block = None
         for b in batches:
-            for m, t in zip(b["m"], b["z"], strict=True):
-                counts.add(m, codes(z.decompress(t).decode()))
-        for m, (c, n) in counts.all():
-            yield {"m": [m] * len(c), "g": c.view(np.int64), "c": n}
-
-    return arrow_map(trusted.select("m", "z"), run, "m bigint, g bigint, c bigint").groupBy("m", "g").agg(F.sum("c").alias("c"))
+            for block, doc_id, kind, m, t in zip(b["block"], b["doc_id"], b["kind"], b["m"], b["z"], strict=True):  # noqa: B007
+                if kind == 0:
+                    trusted = doc_id
+                elif text := z.decompress(t).decode():
+                    c = codes(text)
+                    seen.add(m, c)
+                    if doc_id is not None and doc_id == trusted:
+                        learnt.add(m, c)
+        counts = dict(learnt.all())
+        for m, (c, _) in seen.all():
+            times = np.zeros(len(c), np.int64)
+            if m in counts:
+                times[np.searchsorted(c, counts[m][0])] = counts[m][1]
+            yield _gram_rows(block, m + ORDER, c, times)
+            for n, g in _shorter(c).items():
+                yield _gram_rows(block, m + n, g, np.zeros(len(g), np.int64))
+
+    return arrow_map(rows, run, "block int, m bigint, g bigint, c bigint")
+
+
+def _gram_rows(block: int, m: int, g: np.ndarray, c: np.ndarray) -> dict[str, object]:
+    return {"block": np.full(len(g), block, np.int32), "m": np.full(len(g), m, np.int64), "g": g.view(np.int64), "c": c}
+
+
+def _shorter(c: np.ndarray) -> dict[int, np.ndarray]:
+    """The shorter n-grams that backing off from the codes c looks at: all ends, and all that precede an end's last character; the empty one, too."""
+    out = {0: np.zeros(1, np.uint64)}
+    for n in range(1, ORDER):
+        mask = np.uint64((1 << 16 * n) - 1)
+        out[n] = np.unique(np.concatenate([c & mask, (c >> _BITS) & mask]))
+    return out
 
 
 def _suffix(n: int):
@@ -141,34 +182,7 @@ def train(counts: DataFrame) -> DataFrame:
         # Weights belong to the n-grams one shorter.
         out = out.unionByName(probability.select((F.col("m") + n).alias("m"), "g", "logp", F.lit(None).cast("double").alias("bow")))
         out = out.unionByName(weights.select((F.col("m") + n - 1).alias("m"), "g", F.lit(None).cast("double").alias("logp"), "bow"))
-    return written(out.groupBy("m", "g").agg(F.max("logp").alias("logp"), F.max("bow").alias("bow")), "model")
-
-
-def _asked(c: np.ndarray) -> dict[int, np.ndarray]:
-    """The n-grams of each length that scoring the codes c looks at: all ends, and all that precede an end's last character."""
-    out, front = {ORDER: c}, c
-    for n in range(ORDER - 1, 0, -1):
-        mask = np.uint64((1 << 16 * n) - 1)
-        out[n] = np.unique(np.concatenate([c & mask, (c >> _BITS) & mask]))
-    return out
-
-
-def _requests(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, m, g: each distinct n-gram of each block once."""
-
-    def run(batches):
-        found: dict[int, _Counts] = defaultdict(_Counts)
-        for b in batches:
-            for block, m, t in zip(b["block"], b["m"], b["text"], strict=True):
-                if t:
-                    found[block].add(m, codes(t))
-        for block, counts in found.items():
-            for m, (c, _) in counts.all():
-                for n, g in _asked(c).items():
-                    yield {"block": [block] * len(g), "m": [m + n] * len(g), "g": g.view(np.int64)}
-                yield {"block": [block], "m": [m], "g": [0]}
-
-    return arrow_map(docs, run, "block int, m bigint, g bigint")
+    return written(out.groupBy("m", "g").agg(F.max("logp").cast("float").alias("logp"), F.max("bow").cast("float").alias("bow")), "model")
 
 
 class _Block:
@@ -232,19 +246,17 @@ class _Block:
         return out
 
 
-def score(docs: DataFrame, model: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, m, chars, logp: the language's key, number of characters and mean log probability of one (null: no model, or no character)."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(blocks)).cast("int")
-    rows = pick(docs.select("doc_id", "lang", "text", block.alias("block")), "doc_id", "lang", "text", "block")
-    asked = _requests(rows.select("block", F.expr(_LANG).alias("m"), "text"), blocks).distinct()
-    answers = asked.join(model, ["m", "g"]).select("block", F.lit(0).alias("kind"), "m", "g", "logp", "bow", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("z"))
-    texts = packed(rows, "block").select("block", F.lit(1).alias("kind"), "m", F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("double").alias("logp"), F.lit(None).cast("double").alias("bow"), "doc_id", "z")
+def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, m, chars, logp: the language's key, number of characters and mean log probability of one (null: no model, or no character).
+
+    grams: of block_grams, with the same documents and block size."""
+    blocks, block = _block_of(docs, block_bytes)
+    none = F.lit(None)
+    answers = grams.join(model, ["m", "g"]).select("block", F.lit(0).alias("kind"), "m", "g", "logp", "bow", none.cast("bigint").alias("doc_id"), none.cast("binary").alias("z"))
+    texts = packed(docs).select(block.alias("block"), F.lit(1).alias("kind"), "m", none.cast("bigint").alias("g"), none.cast("float").alias("logp"), none.cast("float").alias("bow"), "doc_id", "z")
 
     def run(batches):
-        z, answers, block, waiting = zstandard.ZstdDecompressor(), defaultdict(list), None, []
+        z, answers, block = zstandard.ZstdDecompressor(), defaultdict(list), None
         for b in batches:
             kind = np.array(b["kind"])
             first = int((kind == 0).sum())
@@ -301,8 +313,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.4) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold, kept; one row per document."""
     good = trusted_ids(labels)
-    model = train(written(_ngram_counts(packed(docs).join(good, "doc_id", "left_semi")), "counts"))
-    scored = written(score(docs, model), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
+    grams = written(block_grams(docs, good), "grams")
+    counts = grams.where("c > 0").groupBy((F.col("m") - ORDER).alias("m"), "g").agg(F.sum("c").alias("c"))
+    model = train(written(counts, "counts"))
+    scored = written(score(docs, grams.drop("c"), model), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
     limits = scored.join(good, "doc_id", "left_semi").groupBy("m").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     rows = scored.join(F.broadcast(limits), "m", "left")
     kept = F.when(F.col("chars") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -112,7 +112,9 @@ def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, fa
     out = finished[0]
     for x in finished[1:]:
         out = out.unionByName(x)
-    return out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("parts").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
+    # A number for each bin, in a step of its own: beside explode it would number the pieces.
+    numbered = out.withColumn("sequence_id", F.monotonically_increasing_id())
+    return numbered.select("sequence_id", F.explode("parts").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARATOR) -> DataFrame:

@@ -33,8 +33,10 @@ from palimpsest.llm.common import arrow_map, pick
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Outside these ranges character classes depend on the Unicode version; there the library itself splits the text.
 _UNSURE = regex.compile(r"[^\x00-՗ -⁯₠-₿　-〿ぁ-ゖ゠-ヿ一-龥가-힣]")
+#: A space beside other white space.
+_CROWDED = regex.compile(r" \s|\s ")
 _LONG = regex.compile(r"\s{500}|\S{20000}")
-_CACHED = 200_000
+_CACHED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -199,45 +201,189 @@ class Lexicon:
 
 
 class Encoder:
-    """Text to ids and back; words seen before are remembered, up to a fixed number."""
+    """Text to ids and back; what was seen before is remembered, up to a fixed number.
+
+    Most text splits at single spaces into stretches that the word pattern treats alike wherever they stand, so a
+    stretch's ids are remembered whole. Text with other white space next to a space is split by the pattern throughout.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.merger = Merger(vocabulary)
+        self.word: dict[str, tuple[int, ...]] = {}
+        self.after_space: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _CACHED:
-            self.known, new = {}, list(words)
+        """Makes sure that the ids of words are remembered: from the lexicon, else by merging."""
+        new = [w for w in words if w not in self.word]
+        if len(self.word) + len(new) > _CACHED:
+            self.word, new = {}, list(words)
         raw = [w.encode() for w in new]
-        found = self.lexicon.index(raw) if self.lexicon is not None and new else np.full(len(new), -1)
-        for w, b, i in zip(new, raw, found.tolist(), strict=True):
+        found = self.lexicon.index(raw).tolist() if self.lexicon is not None and new else [-1] * len(new)
+        start, ids = (self.lexicon.start, self.lexicon.ids) if self.lexicon is not None else (None, None)
+        unseen = []
+        for w, i in zip(new, found, strict=True):
             if i >= 0:
-                self.known[w] = tuple(self.lexicon.ids[self.lexicon.start[i] : self.lexicon.start[i + 1]].tolist())
+                self.word[w] = tuple(ids[start[i] : start[i + 1]].tolist())
             else:
-                self.known[w] = self.v.merge(b)
+                unseen.append(w)
+        self.word.update(zip(unseen, self.merger.merge_all([w.encode() for w in unseen]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size > 4_000_000:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
 
     def encode(self, text: str) -> list[int]:
-        if self.v.stops is None or not (found := list(self.v.stops.finditer(text))):
-            return self._ordinary(text)
-        out, last = [], 0
-        for m in found:
-            out += [*self._ordinary(text[last : m.start()]), self.v.special[m[0]]]
-            last = m.end()
-        return out + self._ordinary(text[last:])
-
-    def _ordinary(self, text: str) -> list[int]:
-        words = self.v.words(text)
-        try:
-            return list(chain.from_iterable(map(self.known.__getitem__, words)))
-        except KeyError:
-            self.learn(set(words))
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        return self._group([text])[0]
+
+    def _group(self, texts: list[str]) -> list[list[int]]:
+        cut = [self._cut(t) for t in texts]
+        words: set[str] = set()
+        rest: set[str] = set()
+        for first, others in cut:
+            words.update(first)
+            if others:
+                rest.update(others)
+        rest.difference_update(self.after_space)
+        if len(self.after_space) + len(rest) > _CACHED:
+            self.after_space = {}
+            rest = {p for _, others in cut for p in others or ()}
+        split = self._split(rest)
+        words.update(split)
+        words.difference_update(self.v.special)
+        self.learn(words)
+        self._remember(rest, split)
+        known = {**self.word, **{s: (i,) for s, i in self.v.special.items()}} if any(s in f for f, o in cut if o is None for s in self.v.special) else self.word
+        out = []
+        for first, others in cut:
+            one = list(chain.from_iterable(map(known.__getitem__, first)))
+            if others:
+                one.extend(chain.from_iterable(map(self.after_space.__getitem__, others)))
+            out.append(one)
+        return out
+
+    def _split(self, stretches) -> list[str]:
+        """The words of stretches, none empty and each after a space, one after the other; a stretch's first word starts with its space."""
+        return WORDS.findall(" " + " ".join(stretches)) if stretches else []
+
+    def _remember(self, stretches: set[str], words: list[str]) -> None:
+        ids, each, one = self.word, iter(stretches), []
+        last = None
+        for w in words:
+            if w[0] == " ":
+                if last is not None:
+                    self.after_space[last] = one[0] if len(one) == 1 else tuple(chain.from_iterable(one))
+                last, one = next(each), []
+            one.append(ids[w])
+        if last is not None:
+            self.after_space[last] = tuple(chain.from_iterable(one))
+
+    def _cut(self, text: str) -> tuple[list[str], list[str] | None]:
+        """Words, then stretches that each follow a space."""
+        if self.v.stops is not None and any(s in text for s in self.v.special):
+            words, last = [], 0
+            for m in self.v.stops.finditer(text):
+                words += [*self.v.words(text[last : m.start()]), m[0]]
+                last = m.end()
+            return words + self.v.words(text[last:]), None
+        if _CROWDED.search(text) or text[-1:] == " " or _UNSURE.search(text):
+            return self.v.words(text), []
+        first, *others = text.split(" ")
+        return self.v.words(first), others
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Merger:
+    """Merges many words at once, exactly as Vocabulary.merge does each: in every round each word's pair of least rank, the leftmost at ties, becomes one."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.single = np.array(vocabulary.single, np.int32)
+        pair = np.array([a << 32 | b for a, b in vocabulary.rank], np.uint64)
+        rank = np.array([n for n, _ in vocabulary.rank.values()], np.int32)
+        self.made = np.zeros(len(rank) + 1, np.int32)
+        self.made[rank] = [m for _, m in vocabulary.rank.values()]
+        # Tables that hold a pair's rank at a hashed place; pairs that collide go to the next table.
+        self.tables, multiplier = [], 0x9E3779B97F4A7C15
+        while len(pair):
+            bits = max(4, int(4 * len(pair)).bit_length())
+            at = (pair * np.uint64(multiplier)) >> np.uint64(64 - bits)
+            keys, ranks = np.full(1 << bits, ~np.uint64(0)), np.full(1 << bits, self.NONE)
+            keys[at], ranks[at] = pair, rank
+            self.tables.append((np.uint64(multiplier), np.uint64(64 - bits), keys, ranks))
+            rest = keys[at] != pair
+            pair, rank = pair[rest], rank[rest]
+            multiplier = (multiplier * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        out = np.full(pair.shape, self.NONE)
+        for multiplier, shift, keys, ranks in self.tables:
+            at = (pair * multiplier) >> shift
+            hit = keys[at] == pair
+            out[hit] = ranks[at[hit]]
+        return out
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = [()] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) > 48:
+                out[i] = self.v.merge(w)
+            else:
+                by_width.setdefault((len(w) + 3) & ~3, []).append(i)
+        for width, those in by_width.items():
+            for a in range(0, len(those), 20_000):
+                some = those[a : a + 20_000]
+                for i, ids in zip(some, self._rounds([words[i] for i in some], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rounds(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
+        n = len(words)
+        length = np.fromiter(map(len, words), np.int64, n)
+        ids = self.single[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)]
+        place = np.arange(width)
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        rank[place[None, 1:] >= length[:, None]] = self.NONE
+        live = np.arange(n)
+        while len(live):
+            r = rank[live]
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(live)), at]
+            go = best < self.NONE
+            live, at, best = live[go], at[go], best[go]
+            if not len(live):
+                break
+            k = np.arange(len(live))
+            # Everything right of the pair moves one place to the left.
+            source = np.minimum(place[None, :] + (place[None, :] > at[:, None]), width - 1)
+            row = np.take_along_axis(ids[live], source, axis=1)
+            row[k, at] = self.made[best]
+            r = np.take_along_axis(rank[live], np.minimum(source[:, :-1], width - 2), axis=1)
+            length[live] -= 1
+            end = length[live]
+            left, right = np.maximum(at - 1, 0), np.minimum(at + 1, width - 1)
+            new = np.where((at > 0), self.ranks(row[k, left], row[k, at]), self.NONE)
+            r[k, np.minimum(left, width - 2)] = np.where(at > 0, new, r[k, np.minimum(left, width - 2)])
+            inside = at < width - 1
+            r[k[inside], at[inside]] = np.where(at[inside] + 1 < end[inside], self.ranks(row[k[inside], at[inside]], row[k[inside], right[inside]]), self.NONE)
+            r[place[None, 1:] >= end[:, None]] = self.NONE
+            ids[live], rank[live] = row, r
+        return [tuple(x[:m]) for x, m in zip(ids.tolist(), length.tolist(), strict=True)]
+
+
 _LOADED: dict[tuple, object] = {}
 
 
@@ -277,14 +423,27 @@ def frequent_words(docs: DataFrame, path: str, n: int) -> list[str]:
     """The n most frequent words of all texts, ties by word; words of one batch are counted before they are sent on."""
 
     def count(batches):
-        v, found = encoder(path).v, Counter()
+        e, words, rest = encoder(path), Counter(), Counter()
+
+        def flush():
+            times = iter(rest.values())
+            for w in e._split(rest):
+                if w[0] == " ":
+                    n = next(times)
+                words[w] += n
+            out = {"word": list(words), "n": list(words.values())}
+            words.clear()
+            rest.clear()
+            return out
+
         for b in batches:
             for t in b["text"]:
-                found.update(v.words(t))
-            if len(found) > _CACHED:
-                yield {"word": list(found), "n": list(found.values())}
-                found = Counter()
-        yield {"word": list(found), "n": list(found.values())}
+                first, others = e._cut(t)
+                words.update(first)
+                rest.update(others or ())
+            if len(words) + len(rest) > 2 * _CACHED:
+                yield flush()
+        yield flush()
 
     counted = arrow_map(pick(docs, "text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
@@ -307,7 +466,7 @@ def encode(docs: DataFrame, path: str, lexicon_file: str | None = None) -> DataF
     def run(batches):
         e = encoder(path, lexicon_file)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "ids": [np.array(e.encode(t), np.int32) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "ids": [np.array(i, np.int32) for i in e.encode_all(b["text"])]}
 
     return arrow_map(pick(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>")
 
@@ -323,7 +482,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, path: str, frequent: int = 20_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, frequent: int = 200_000) -> DataFrame:
     """The columns that op7 returns: encodes each text with a lexicon of the corpus' frequent words and decodes the ids."""
     docs = pick(docs, "doc_id", "text")
     lexicon_file = ship_lexicon(docs.sparkSession, frequent_words(docs, path, frequent), path)
@@ -333,8 +492,7 @@ def round_trip(docs: DataFrame, path: str, frequent: int = 20_000) -> DataFrame:
         numeral = {i: str(i) for i in e.v.bytes_of}
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in b["text"]:
-                ids = e.encode(t)
+            for ids in e.encode_all(b["text"]):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(numeral.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())

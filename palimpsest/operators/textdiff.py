@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,21 +75,36 @@ def replaced_method(source: str, name: str, method: str) -> str | None:
 def fold_patches(sources: DataFrame, patches: DataFrame, *key: str) -> DataFrame:
     """Sources (key, text) after their patches (key, seq, raw), applied in the order of seq: key, text, applied, rejected.
 
-    The order comes from the data. A patch that does not fit is rejected and the rest goes on. A key's patches are a file's edits,
-    which one task holds.
+    The order comes from the data. A patch that does not fit is rejected and the rest goes on. A key's text is the only state kept.
     """
     kinds = dict(sources.dtypes)
-
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        text, done, refused = next((t for t in rows["text"] if t is not None), ""), 0, 0
-        for raw in rows[rows["raw"].notna()].sort_values("seq")["raw"]:
-            try:
-                text, done = applied(text, raw), done + 1
-            except ValueError:
-                refused += 1
-        return pd.DataFrame([(*k, text, done, refused)], columns=[*key, "text", "applied", "rejected"])
-
+    n = len(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, text, done, refused = None, "", 0, 0
+        out: list[tuple] = []
+        for b in batches:
+            for row in b.itertuples(index=False, name=None):
+                k, first, raw = row[:n], row[n], row[n + 2]
+                if k != now:
+                    if now is not None:
+                        out.append((*now, text, done, refused))
+                    now, text, done, refused = k, "", 0, 0
+                if first is not None:
+                    text = first
+                elif raw is not None:
+                    try:
+                        text, done = applied(text, raw), done + 1
+                    except ValueError:
+                        refused += 1
+            yield pd.DataFrame(out, columns=names)
+            out = []
+        if now is not None:
+            yield pd.DataFrame([(*now, text, done, refused)], columns=names)
+
+    names = [*key, "text", "applied", "rejected"]
     none = F.lit(None)
     both = sources.select(*key, "text", none.cast("bigint").alias("seq"), none.cast("string").alias("raw")).unionByName(patches.select(*key, none.cast("string").alias("text"), F.col("seq").cast("bigint"), "raw"))
-    return both.groupBy(*key).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", text string, applied bigint, rejected bigint")
-
+    # Sorted runs of a key stream through one pass; no group is built in memory.
+    ordered = both.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_first())
+    return ordered.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", text string, applied bigint, rejected bigint")

@@ -72,6 +72,16 @@ def replaced_method(source: str, name: str, method: str) -> str | None:
     return None if found is None else source[: found[0]] + method.strip() + "\n" + source[found[1] :]
 
 
+def replace_method(source: str | Column, name: str | Column, method: str | Column) -> Column:
+    """replaced_method as a column; null where the method is not there."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None or z is None else replaced_method(x, y, z) for x, y, z in zip(s, n, m, strict=True)], dtype=object)
+
+    return run(source, name, method)
+
+
 def fold_patches(sources: DataFrame, patches: DataFrame, *key: str) -> DataFrame:
     """Sources (key, text) after their patches (key, seq, raw), applied in the order of seq: key, text, applied, rejected.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import features, guards
 from palimpsest.operators import lineage, textdiff
-from palimpsest.sources import audit, patches
+from palimpsest.sources import audit, external, patches, storage
+from palimpsest.streaming import audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -254,10 +255,84 @@ def diff_roundtrip(spark, sf_dir):
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS event, count(*) AS n FROM events GROUP BY ALL""")
 def audit_windows(spark, sf_dir):
     """The batch form of the stream's windowed counts."""
-    from palimpsest.streaming.audit_stream import windowed_counts
-
     recs = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("event"))
-    return windowed_counts(recs, "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event", "n")
+    return audit_stream.windowed_counts(recs, "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event", "n")
+
+
+@query(f"""
+WITH m AS ({_METHOD_SQL})
+SELECT lang, kind, CAST(sum(b) AS BIGINT) AS n_before, CAST(sum(a) AS BIGINT) AS n_after FROM (
+  SELECT lang, unnest([{", ".join(f"'{k}'" for k in features.ASSERTIONS)}]) AS kind, unnest([{", ".join(_count_sql("before", rf"{chr(92)}bassert{k}{chr(92)}s*{chr(92)}(") for k in features.ASSERTIONS)}]) AS b,
+    unnest([{", ".join(_count_sql("after", rf"{chr(92)}bassert{k}{chr(92)}s*{chr(92)}(") for k in features.ASSERTIONS)}]) AS a FROM m)
+GROUP BY ALL""")
+def assertion_kinds(spark, sf_dir):
+    """Calls of each kind of assertion before and after, by language."""
+    rows = features.counts(_methods(spark, sf_dir), "before", "after")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"assert_{k.lower()}_before").alias("b"), F.col(f"assert_{k.lower()}_after").alias("a")) for k in features.ASSERTIONS))
+    return rows.select("lang", F.inline(kinds)).groupBy("lang", "kind").agg(F.sum("b").alias("n_before"), F.sum("a").alias("n_after"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn % 3 <> 0")
+def guard_enforced(spark, sf_dir):
+    """Rows through the strict guard, which would stop the job at the first that lacks its method."""
+    rows = _declared(spark, sf_dir).where("turn % 3 <> 0").join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return guards.enforced(rows, "java", "role").select("conv_id", "turn", "role")
+
+
+@query("SELECT event_id, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') AS run FROM events")
+def run_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", patches.run_stamp("ts").alias("run"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def directory_copy(spark, sf_dir):
+    """A written table's directory copied over another one, read from there."""
+    base = f"{_shared(spark)}/palimpsest/copy-{uuid.uuid4().hex}"
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nation.write.parquet(f"{base}/new")
+    nation.limit(1).write.parquet(f"{base}/old")
+    storage.ensure_empty_dir(spark, f"{base}/empty")
+    storage.copytree(spark, f"{base}/new", f"{base}/old")
+    return spark.read.parquet(f"{base}/old")
+
+
+@query("SELECT 'compile test' AS output")
+def build_step(spark, sf_dir):
+    """A command's output as a row; the command here is a harmless one."""
+    return spark.createDataFrame([(external.run_build(".", ["compile", "test"], "echo").strip(),)], "output string")
+
+
+@query(r"""
+SELECT doc_id, 'class T {' || chr(10) || '@Test' || chr(10) || 'void repaired() { }' || chr(10) || chr(10) || '}' AS source FROM documents""")
+def method_replacement(spark, sf_dir):
+    """The first method of a source replaced by another, trimmed and followed by a blank line."""
+    pairs = _methods(spark, sf_dir).select("doc_id", F.concat(F.lit("class T {\n"), "before", F.lit("\n}")).alias("source"), F.concat(F.lit("test"), "doc_id").alias("name"))
+    return pairs.select("doc_id", textdiff.replace_method("source", "name", F.lit("  @Test\nvoid repaired() { }\n")).alias("source"))
+
+
+@query("SELECT doc_id, 1 AS hunk_no, 3 AS old_start FROM documents")
+def hunk_headers(spark, sf_dir):
+    """Hunks of patches read by expressions alone."""
+    d = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("--- a/T.java\n+++ b/T.java\n@@ -3,1 +3,1 @@\n-"), d, F.lit("\n+x"), d, F.lit("\n"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("project_id"), F.lit("r").alias("run_ts"), F.lit("C").alias("class_name"), F.lit("t").alias("test_name"), raw.alias("raw"))
+    return patches.hunks(rows).select(F.col("project_id").alias("doc_id"), "hunk_no", "old_start")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
+def audit_stream_windows(spark, sf_dir):
+    """The log read as a stream until it is drained, windows counted with a watermark."""
+    base = f"{_shared(spark)}/palimpsest/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_type")
+    audit.append(audit.records(events, F.col("event_type"), "ts"), f"{base}/log")
+    counts = audit_stream.windowed_counts(audit_stream.read_stream(spark, f"{base}/log"), "1 day")
+    out = counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event", "n")
+
+    def store(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    out.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 def _shared(spark: SparkSession) -> str:

@@ -44,26 +44,60 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._palimpsest_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs one task.
 
-    What the finished step exchanged is then garbage; collecting it lets Spark delete those files before the next step.
+    kept: also beyond the scratch() around it. What the finished step exchanged is then garbage; collecting it lets Spark delete those files before the next step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH and not kept:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; nothing that reads them may be used after it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _file_system(spark, path)[0].delete(_file_system(spark, path)[1], True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file to the shared folder and hands it to every executor, present and later; returns the name that they know it by."""
+    name = f"{name}-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, f"{shared_dir(spark)}/palimpsest/{name}")
+    out = fs.create(p)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(p).toString())
+    return name
+
+
 def arrow_map(df: DataFrame, func: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, object]]], schema: str) -> DataFrame:
     """mapInArrow with batches as dicts of Python lists in, dicts of lists or arrays out."""
     types = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # batches make millions of small objects and no cycles
         for out in func(b.to_pydict() for b in batches if b.num_rows):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        gc.enable()
         _give_back()
 
     return df.mapInArrow(run, schema)

@@ -25,8 +25,8 @@ def odd_texts():
 
 def test_encodes_and_decodes_as_the_library(library):
     texts = odd_texts()
-    words = {w for t in texts[:1000] for w in bpe.Vocabulary(PATH).words(t)}
     v = bpe.Vocabulary(PATH)
+    words = {w for t in texts[:1000] for w in v.words(t)}
     lexicon = bpe.Lexicon(bpe.Lexicon.compile({w.encode(): v.merge(w.encode()) for w in list(words)[::2]}))
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     for e in (bpe.Encoder(v), bpe.Encoder(v, lexicon)):
@@ -69,3 +69,12 @@ def test_round_trip_query(spark, library):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id bigint, text string"), PATH).collect() == []
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((r["text"] for r in back), key=len) == sorted((t or "" for _, t, _ in rows), key=len)
+
+
+def test_plain_pattern_splits_as_the_library(library):
+    """Every character that the plain pattern may see, in several places."""
+    pre = library.pre_tokenizer
+    for c in [*range(0x2D0), *range(0x2000, 0x2030), 0x20AC]:
+        if not bpe._NOT_PLAIN.search(chr(c)):
+            s = f"a{chr(c)}1{chr(c)} {chr(c)}.'s {chr(c)}{chr(c)} 've'll "
+            assert [x for _, x in pre.pre_tokenize_str(s)] == [m.span() for m in bpe._PLAIN_WORDS.finditer(s)], hex(c)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import jaccard, language, packing, pii, suffixes
-from palimpsest.llm.common import read_table, written
+from palimpsest.llm.common import read_table, scratch, written
 from palimpsest.llm.queries import tokenizer_path
 
 
@@ -55,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, every stage applied in turn to the whole table of documents."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, kept=True)
     return docs

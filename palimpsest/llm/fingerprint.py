@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from palimpsest.llm.common import arrow_map, kgram_hashes, pick, sliding
 
@@ -68,6 +70,8 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 _FIRST = -(1 << 63)
+#: Partitions at most; beyond, each is larger and its sort spills.
+_MOST_PARTS = 20_000
 
 
 def in_order(docs: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
@@ -79,12 +83,10 @@ def in_order(docs: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"))
     size = keyed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    n = max(1, min(size["n"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // partition_bytes))))
+    n = max(1, min(size["n"], _MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // partition_bytes))))
     cuts = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("c")).first()["c"] if size["n"] else []
     cuts = sorted(set(cuts)) if n > 1 else []
-    # Number of cuts at or below k, by binary search in a short sorted array.
-    part = _rank("k", cuts)
-    keyed = keyed.withColumn("part", part)
+    keyed = keyed.withColumn("part", _rank("k", cuts) if cuts else F.lit(0))
     first = sorted((r["part"], r["k"]) for r in keyed.groupBy("part").agg(F.min("k").alias("k")).collect())
     follows = spark.createDataFrame([(first[(i + 1) % len(first)][1], p) for i, (p, _) in enumerate(first)], "k bigint, before int")
     follows = follows.groupBy("k").agg(F.collect_list("before").alias("before"))
@@ -95,17 +97,14 @@ def in_order(docs: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
 
 
 def _rank(column: str, cuts: list[int]):
-    """How many of the sorted cuts are at or below column, as nested conditions of logarithmic depth."""
-    if not cuts:
-        return F.lit(0)
+    """How many of the sorted cuts are at or below column."""
+    bounds = np.array(cuts, np.int64)
 
-    def within(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col(column) < cuts[m], within(a, m)).otherwise(within(m + 1, b))
+    @F.pandas_udf(IntegerType())
+    def rank(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
 
-    return within(0, len(cuts))
+    return rank(column)
 
 
 def with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

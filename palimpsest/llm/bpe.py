@@ -297,6 +297,8 @@ class Merger:
             rest = keys[at] != pair
             pair, rank = pair[rest], rank[rest]
             multiplier = (multiplier * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
+        every = np.arange(256)
+        self.byte_rank = self.ranks(*(self.single[x] for x in np.meshgrid(every, every, indexing="ij")))
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         pair = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
@@ -325,9 +327,9 @@ class Merger:
     def _rounds(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
         n = len(words)
         length = np.fromiter(map(len, words), np.int64, n)
-        ids = self.single[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)]
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        ids, rank = self.single[raw], self.byte_rank[raw[:, :-1], raw[:, 1:]]
         place = np.arange(width)
-        rank = self.ranks(ids[:, :-1], ids[:, 1:])
         rank[place[None, 1:] >= length[:, None]] = self.NONE
         live = np.arange(n)
         while len(live):

@@ -25,6 +25,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+#: Every 400-byte string of every document, by its digest.
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT rid, i, md5(substr(h, 2 * i - 1, 800)) AS k FROM (SELECT rid, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM d WHERE length(h) >= 800)),
+again AS (SELECT rid, i, i > lag(i, 1, -400) OVER (PARTITION BY rid ORDER BY i) + 400 AS fresh FROM places JOIN (SELECT k FROM places GROUP BY k HAVING count(*) > 1) USING (k)),
+runs AS (SELECT rid, min(i) AS s, max(i) + 400 AS e FROM (SELECT rid, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS run FROM again) GROUP BY rid, run),
+parts AS (SELECT rid, s, e, lag(e, 1, 1) OVER (PARTITION BY rid ORDER BY s) AS p FROM runs),
+rest AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS gone, max(e) AS last, string_agg(substr(h, 2 * p - 1, 2 * (s - p)), '' ORDER BY s) AS kept FROM parts JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substr(h, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN rest USING (rid)
+"""
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -123,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL}

@@ -38,6 +38,16 @@ def neighbours(rows: DataFrame, key: list[str], number: str, state: str) -> Data
     return rows.where(F.col("next_number") == F.col(number) + 1).drop("next_number")
 
 
+def signature_visibility(sides: DataFrame, name: str) -> DataFrame:
+    """sides (before, removed, added of each patch) with `visible`: where the method's signature shows. A patch that shows none
+    says nothing about the method; the guard belongs on the whole text."""
+    from palimpsest.functions.guards import method_present
+
+    seen = lambda c: method_present(c, F.col(name))
+    visible = F.when(seen("added") & seen("removed"), "both").when(seen("added"), "added").when(seen("removed"), "removed").when(seen("before"), "context").otherwise("nowhere")
+    return sides.withColumn("visible", visible)
+
+
 def violations(rows: DataFrame, text: str, markers: list[str]) -> DataFrame:
     """Rows whose added text has a marker; none is the rule."""
     from palimpsest.functions.guards import first_marker

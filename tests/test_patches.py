@@ -136,6 +136,13 @@ def test_fold_applies_in_the_order_of_the_data(spark):
     assert {tuple(r) for r in got.collect()} == {("k", three, 2, 1), ("other", "x\n", 0, 0)}
 
 
+def test_signature_visibility(spark):
+    one = "void t() {"
+    rows = [("both", one, one, one), ("added", "", "", one), ("removed", one, one, ""), ("context", one, "x", "y"), ("nowhere", "a", "b", "c")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "want string, before string, removed string, added string, name string")
+    assert all(r["visible"] == r["want"] for r in lineage.signature_visibility(df, "name").collect())
+
+
 def test_lineage(spark):
     rows = spark.createDataFrame([("k", 1, "a", "b"), ("k", 2, "b", "c"), ("k", 3, "b", "d"), ("k", 5, "x", "y"), ("m", 1, None, "q"), ("m", 2, "q", "r")], "key string, n int, before string, after string")
     got = lineage.chains(rows, ["key"], ["n"], "before", "after").orderBy("key", "n").collect()

@@ -24,7 +24,6 @@ BATCH_ROWS = 500
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's reader only."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,11 +94,14 @@ def arrow_map(df: DataFrame, func: Callable[[Iterator[dict[str, list]]], Iterabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # batches make millions of small objects and no cycles
-        for out in func(b.to_pydict() for b in batches if b.num_rows):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
-        gc.enable()
-        _give_back()
-
+        try:
+            for out in func(b.to_pydict() for b in batches if b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        finally:
+            gc.enable()
+            _give_back()
+
+    _small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -112,9 +114,14 @@ def batch_map(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch]) -
                 yield func(b)
         _give_back()
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
     """batch with a column's values replaced, its type kept."""
     i = batch.schema.get_field_index(name)

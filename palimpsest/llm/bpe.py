@@ -19,10 +19,10 @@ import heapq
 import json
 import os
 import re
-from collections import Counter
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,8 @@ _NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u0
 _LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02c1"
 _PLAIN_WORDS = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _LONG = regex.compile(r"\s{500}|\S{20000}")
-_CACHED = 300_000
+#: Words remembered: some 150 MB a worker at most.
+_CACHED = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -204,74 +205,105 @@ class Lexicon:
         return out
 
 
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
-    """Text to ids and back; words seen before are remembered, up to a fixed number."""
+    """Text to ids and back; words seen before are remembered, up to a fixed number.
+
+    The words of a batch are numbered in one step, so each distinct one is looked up once, and ids are put together from
+    one flat store.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
         self.merger = Merger(vocabulary)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Makes sure that the ids of words are remembered: from the lexicon, else by merging."""
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > _CACHED:
-            self.known, new = {}, list(words)
-        raw = [w.encode() for w in new]
-        found = self.lexicon.index(raw) if self.lexicon is not None and new else np.full(len(new), -1)
-        unseen = np.flatnonzero(found < 0).tolist()
-        self.known.update(zip([new[i] for i in unseen], self.merger.merge_all([raw[i] for i in unseen]), strict=True))
-        if len(unseen) < len(new):
-            at = found[found >= 0]
-            begin, end = self.lexicon.start[at].tolist(), self.lexicon.start[at + 1].tolist()
-            every = self.lexicon.ids
-            for i, x, y in zip(np.flatnonzero(found >= 0).tolist(), begin, end, strict=True):
-                self.known[new[i]] = tuple(every[x:y].tolist())
+        size = max(vocabulary.bytes_of) + 1
+        tokens = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
+        self.token_length = np.array([len(t) for t in tokens])
+        self.token_start = np.cumsum(self.token_length) - self.token_length
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Special tokens are words that no pattern yields.
+        self.place: dict[str, int] = {t: n for n, t in enumerate(self.v.special)}
+        self.flat = np.array(list(self.v.special.values()), np.int32)
+        self.start, self.length = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words, none of them known, to the store: from the lexicon, else by merging."""
+        raw = [w.encode() for w in words]
+        found = self.lexicon.index(raw) if self.lexicon is not None else np.full(len(raw), -1)
+        known, unseen = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+        length = np.zeros(len(raw), np.int64)
+        parts = [self.flat]
+        start, at = np.zeros(len(raw), np.int64), len(self.flat)
+        if len(known):
+            begin = np.asarray(self.lexicon.start[found[known]])
+            length[known] = np.asarray(self.lexicon.start[found[known] + 1]) - begin
+            parts.append(np.asarray(self.lexicon.ids[ragged(begin, length[known])], np.int32))
+            start[known] = at + np.cumsum(length[known]) - length[known]
+            at += len(parts[-1])
+        ids, length[unseen] = self.merger.merge_all([raw[i] for i in unseen.tolist()])
+        start[unseen] = at + np.cumsum(length[unseen]) - length[unseen]
+        n = len(self.start)
+        self.flat = np.concatenate([*parts, ids])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and where each text's end."""
+        cut = [self.words(t) for t in texts]
+        numbered = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            if len(self.place) + len(new) > _CACHED:
+                self._forget()
+                new = [w for w in distinct if w not in self.place]
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[numbered.indices.to_numpy()]
+        length = self.length[place]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([len(c) for c in cut], dtype=np.int64)]
+        return self.flat[ragged(self.start[place], length)], ends
+
+    def batches(self, texts: list[str], size: int = 4_000_000):
+        """Ids of each text as an array; texts go in groups of about `size` characters."""
+        a = 0
+        while a < len(texts):
+            b, chars = a, 0
+            while b < len(texts) and (b == a or chars + len(texts[b]) <= size):
+                chars += len(texts[b])
+                b += 1
+            ids, ends = self.encode_flat(texts[a:b])
+            yield from np.split(ids, ends[:-1])
+            a = b
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        group, size = [], 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size > 4_000_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
+        return [i.tolist() for i in self.batches(texts)]
 
     def encode(self, text: str) -> list[int]:
-        return self._group([text])[0]
-
-    def _group(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if isinstance(c, list)), *(w for c in cut if isinstance(c, tuple) for w in c[0])))
-        ids = self.known.__getitem__
-        out = []
-        for c in cut:
-            if isinstance(c, list):
-                out.append(list(chain.from_iterable(map(ids, c))))
-            else:
-                one: list[int] = []
-                for words, special in zip(*c, strict=True):
-                    one.extend(chain.from_iterable(map(ids, words)))
-                    if special is not None:
-                        one.append(self.v.special[special])
-                out.append(one)
-        return out
+        return self.encode_all([text])[0]
 
-    def cut(self, text: str) -> list[str] | tuple[list[list[str]], list[str | None]]:
-        """The text's words; where it has special tokens, the words before each and that token, None after the last words."""
+    def words(self, text: str) -> list[str]:
+        """The text's words, special tokens among them."""
         if self.v.stops is None or not any(s in text for s in self.v.special):
             return self.v.words(text)
-        words, specials, last = [], [], 0
+        out, last = [], 0
         for m in self.v.stops.finditer(text):
-            words.append(self.v.words(text[last : m.start()]))
-            specials.append(m[0])
+            out += [*self.v.words(text[last : m.start()]), m[0]]
             last = m.end()
-        return [*words, self.v.words(text[last:])], [*specials, None]
+        return out + self.v.words(text[last:])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        return self.bytes_of(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return self.token_bytes[ragged(self.token_start[ids], self.token_length[ids])].tobytes()
 
 
 class Merger:
@@ -309,22 +341,30 @@ class Merger:
             out[hit] = ranks[at[hit]]
         return out
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, one word after the other, and how many each has."""
+        length = np.zeros(len(words), np.int64)
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) > 48:
-                out[i] = self.v.merge(w)
-            else:
-                by_width.setdefault((len(w) + 3) & ~3, []).append(i)
+            by_width.setdefault((len(w) + 3) & ~3 if len(w) <= 48 else 0, []).append(i)
+        parts, order = [np.zeros(0, np.int32)], []
         for width, those in by_width.items():
             for a in range(0, len(those), 20_000):
                 some = those[a : a + 20_000]
-                for i, ids in zip(some, self._rounds([words[i] for i in some], width), strict=True):
-                    out[i] = ids
-        return out
-
-    def _rounds(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
+                if width:
+                    ids, length[some] = self._rounds([words[i] for i in some], width)
+                else:
+                    merged = [self.v.merge(words[i]) for i in some]
+                    ids, length[some] = np.array(list(chain.from_iterable(merged)), np.int32), [len(m) for m in merged]
+                parts.append(ids)
+                order += some
+        start = np.zeros(len(words), np.int64)
+        if order:
+            done = length[order]
+            start[order] = np.cumsum(done) - done
+        return np.concatenate(parts)[ragged(start, length)], length
+
+    def _rounds(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
         length = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -355,7 +395,7 @@ class Merger:
             r[k[inside], at[inside]] = np.where(at[inside] + 1 < end[inside], self.ranks(row[k[inside], at[inside]], row[k[inside], right[inside]]), self.NONE)
             r[place[None, 1:] >= end[:, None]] = self.NONE
             ids[live], rank[live] = row, r
-        return [tuple(x[:m]) for x, m in zip(ids.tolist(), length.tolist(), strict=True)]
+        return ids[place[None, :] < length[:, None]], length
 
 
 _LOADED: dict[tuple, object] = {}
@@ -397,16 +437,23 @@ def frequent_words(docs: DataFrame, path: str, n: int) -> list[str]:
     """The most frequent words of all texts, n at most and all of a count or none; words of a task are counted before they are sent on."""
 
     def count(batches):
-        e, found = encoder(path), Counter()
+        e, held, size = encoder(path), [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}) if len(held) > 1 else held[0]
+
         for b in batches:
-            for t in b["text"]:
-                c = e.cut(t)
-                for words in [c] if isinstance(c, list) else c[0]:
-                    found.update(words)
-            if len(found) > 2 * _CACHED:
-                yield {"word": list(found), "n": list(found.values())}
-                found.clear()
-        yield {"word": list(found), "n": list(found.values())}
+            words = pa.array(list(chain.from_iterable(map(e.words, b["text"]))), pa.large_string()).value_counts()
+            held.append(pa.table({"word": words.field("values"), "n": words.field("counts")}))
+            size += len(words)
+            if size > _CACHED:
+                held = [summed()]
+                size = len(held[0])
+                if size > _CACHED // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield summed()
 
     counted = arrow_map(pick(docs, "text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     # The least count that at most n words reach, from a histogram of a few hundred steps: only those words are sent to the driver.
@@ -433,7 +480,7 @@ def encode(docs: DataFrame, path: str, lexicon_file: str | None = None) -> DataF
     def run(batches):
         e = encoder(path, lexicon_file)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "ids": [np.array(i, np.int32) for i in e.encode_all(b["text"])]}
+            yield {"doc_id": b["doc_id"], "ids": list(e.batches(b["text"]))}
 
     return arrow_map(pick(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>")
 
@@ -459,9 +506,9 @@ def round_trip(docs: DataFrame, path: str, frequent: int = 200_000) -> DataFrame
         numeral = {i: str(i) for i in e.v.bytes_of}
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in e.encode_all(b["text"]):
+            for ids in e.batches(b["text"]):
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(numeral.__getitem__, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(numeral.__getitem__, ids.tolist())).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
             yield {"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 

@@ -89,14 +89,17 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
 
 
 def arrow_map(df: DataFrame, func: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, object]]], schema: str) -> DataFrame:
-    """mapInArrow with batches as dicts of Python lists in, dicts of lists or arrays out."""
+    """mapInArrow with batches as dicts of Python lists in; dicts of lists or arrays, or Arrow tables, out."""
     types = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # batches make millions of small objects and no cycles
         try:
             for out in func(b.to_pydict() for b in batches if b.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+                if isinstance(out, pa.Table):
+                    yield from out.cast(types).combine_chunks().to_batches(max_chunksize=100_000)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
         finally:
             gc.enable()
             _give_back()

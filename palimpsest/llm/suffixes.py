@@ -276,14 +276,14 @@ def repeated_stretches(docs: DataFrame, span: int = SPAN, k: int = K, crowd: int
     """k1, k2 (see _keyed) and stretches: array of start * 2 * span + length, any order, overlapping, end perhaps beyond the text; only rows that have some."""
     keyed = _keyed(docs)
     rows = written(_anchor_rows(keyed, span, k), "anchors")
-    # Written, so that the join exchanges both sides and a gram of very many anchors can be split.
+    # Written, and merged, so that the join exchanges both sides and a gram of very many anchors can be split.
     grams = written(rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).where("n > 1").select("gram", "lo", "hi"), "grams")
-    several = written(rows.join(grams, "gram").select("k1", "k2", "pos", "gram", "reach", (F.col("lo") == F.col("hi")).alias("same")), "repeated")
+    several = written(rows.join(grams.hint("merge"), "gram").select("k1", "k2", "pos", "gram", "reach", (F.col("lo") == F.col("hi")).alias("same")), "repeated")
     mixed = several.where("not same")
     reaches = written(mixed.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one")), "reaches")
     crowded = reaches.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded"))
     chosen = reaches.join(crowded, "gram", "left").select("one.k1", "one.k2", "one.pos", "gram", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    settled = several.where("same").select("k1", "k2", "pos").unionByName(mixed.join(reaches.where("n > 1").select("gram", "reach"), ["gram", "reach"]).select("k1", "k2", "pos"))
+    settled = several.where("same").select("k1", "k2", "pos").unionByName(mixed.join(reaches.where("n > 1").select("gram", "reach").hint("merge"), ["gram", "reach"]).select("k1", "k2", "pos"))
     whole = settled.select("k1", "k2", F.greatest(F.lit(0), F.col("pos") - (span - k)).alias("start"), (F.col("pos") + span).alias("end"))
     found = whole.unionByName(_compared(chosen, keyed, span, k, per_task))
     # Start and length in one number: no stretch is as long as two spans.

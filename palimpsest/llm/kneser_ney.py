@@ -10,18 +10,20 @@ each block asks once for each of its distinct n-grams; these requests meet the
 model's shards in a join on the n-gram; the answers go back to the block, where
 every character of its documents is looked up. No task holds the whole model.
 
-A document is kept if its perplexity is at most the `quantile` of the trusted
-documents' in its language, times `slack`.
+A document is kept if its perplexity is at most the `quantile` of what trusted documents
+of its language have under a model that was not counted on them: they are dealt by their text
+into folds, copies together, and each fold has a model of the other folds beside the whole one.
 
 Defined cases: a character outside the 16-bit range counts as one of a kind; null
 and empty text have no perplexity and are not kept; a language (null is one of its
 own) without trusted text has no model, so its documents have no perplexity and are
-kept; texts are read whole; repeated rows are answered once each and count each
+kept; one whose trusted texts share a fold takes the quantile of their own perplexity; texts are read whole; repeated rows are answered once each and count each
 time; labels that repeat count once; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -36,6 +38,8 @@ _BITS, _START, _OTHER = np.uint64(16), 2, 0xFFFF
 _SLICE = 1 << 20
 #: Bytes of text in a block.
 BLOCK_BYTES = 32 << 20
+#: Trusted documents are judged by a model of the other folds, whose key is the language's plus _HELD for each fold up to the one left out.
+FOLDS, _HELD = 2, 1 << 40
 #: Of 30 bits for a language's key; the n-gram's length is added.
 _LANG = "cast(crc32(cast(coalesce(concat('=', lang), '') as binary)) * 8 as bigint)"
 
@@ -47,6 +51,16 @@ def codes(text: str) -> np.ndarray:
     return u[:-3] << np.uint64(48) | u[1:-2] << np.uint64(32) | u[2:-1] << _BITS | u[3:]
 
 
+def fold_of(text: bytes) -> int:
+    """The fold of a trusted text; copies share it."""
+    return zlib.crc32(text) % FOLDS
+
+
+def without(m: int, fold: int) -> int:
+    """Key of the language's model that leaves a fold out."""
+    return m + _HELD * (fold + 1)
+
+
 def packed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, m (the language's key), z (compressed text) and more: what is exchanged instead of texts."""
 
@@ -98,8 +112,9 @@ def _block_of(docs: DataFrame, block_bytes: int) -> tuple[int, object]:
 
 
 def block_grams(docs: DataFrame, good: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, m (language's key plus length), g, c: each n-gram that scoring a block looks at, once, and how often it ends in
-    the block's trusted documents (full length only, else 0). One exchange by block brings documents and trusted ids together."""
+    """block, m (model's key plus length), g, c: each n-gram that scoring a block looks at, once, and how often it ends in
+    the block's trusted documents (full length only, else 0); in block -1, what models count but no document of the block
+    looks at. One exchange by block brings documents and trusted ids together."""
     blocks, block = _block_of(docs, block_bytes)
     none = F.lit(None)
     ids = good.select(block.alias("block"), "doc_id", F.lit(0).alias("kind"), none.cast("bigint").alias("m"), none.cast("binary").alias("z"))
@@ -113,19 +128,31 @@ def block_grams(docs: DataFrame, good: DataFrame, block_bytes: int = BLOCK_BYTES
             for block, doc_id, kind, m, t in zip(b["block"], b["doc_id"], b["kind"], b["m"], b["z"], strict=True):  # noqa: B007
                 if kind == 0:
                     trusted = doc_id
-                elif text := z.decompress(t).decode():
-                    c = codes(text)
+                elif text := z.decompress(t):
+                    c = codes(text.decode())
                     seen.add(m, c)
                     if doc_id is not None and doc_id == trusted:
                         learnt.add(m, c)
+                        mine = fold_of(text)
+                        seen.add(without(m, mine), c)
+                        for k in range(FOLDS):
+                            if k != mine:
+                                learnt.add(without(m, k), c)
         counts = dict(learnt.all())
         for m, (c, _) in seen.all():
             times = np.zeros(len(c), np.int64)
             if m in counts:
-                times[np.searchsorted(c, counts[m][0])] = counts[m][1]
+                own, n = counts[m]
+                at = np.minimum(np.searchsorted(c, own), len(c) - 1)
+                hit = c[at] == own
+                times[at[hit]] = n[hit]
+                counts[m] = own[~hit], n[~hit]
             yield _gram_rows(block, m + ORDER, c, times)
             for n, g in _shorter(c).items():
                 yield _gram_rows(block, m + n, g, np.zeros(len(g), np.int64))
+        for m, (own, n) in counts.items():
+            if len(own):
+                yield _gram_rows(-1, m + ORDER, own, n)
 
     return arrow_map(rows, run, "block int, m bigint, g bigint, c bigint")
 
@@ -246,20 +273,25 @@ class _Block:
         return out
 
 
-def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, m, chars, logp: the language's key, number of characters and mean log probability of one (null: no model, or no character).
+def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES, good: DataFrame | None = None) -> DataFrame:
+    """doc_id, m, chars, logp, held_out: the language's key, number of characters and mean log probability of one (null: no model,
+    or no character), under the whole model and, for ids in good, under the model without the text's fold.
 
     grams: of block_grams, with the same documents and block size."""
     blocks, block = _block_of(docs, block_bytes)
     none = F.lit(None)
-    answers = grams.join(model, ["m", "g"]).select("block", F.lit(0).alias("kind"), "m", "g", "logp", "bow", none.cast("bigint").alias("doc_id"), none.cast("binary").alias("z"))
-    texts = packed(docs).select(block.alias("block"), F.lit(1).alias("kind"), "m", none.cast("bigint").alias("g"), none.cast("float").alias("logp"), none.cast("float").alias("bow"), "doc_id", "z")
+    answers = grams.where("block >= 0").join(model, ["m", "g"]).select("block", F.lit(0).alias("kind"), "m", "g", "logp", "bow", none.cast("bigint").alias("doc_id"), none.cast("binary").alias("z"))
+    texts = packed(docs).select(block.alias("block"), F.lit(2).alias("kind"), "m", none.cast("bigint").alias("g"), none.cast("float").alias("logp"), none.cast("float").alias("bow"), "doc_id", "z")
+    both = answers.unionByName(texts)
+    if good is not None:
+        both = both.unionByName(good.select(block.alias("block"), F.lit(1).alias("kind"), "doc_id"), allowMissingColumns=True)
 
     def run(batches):
-        z, answers, block = zstandard.ZstdDecompressor(), defaultdict(list), None
+        z, answers, block, trusted = zstandard.ZstdDecompressor(), defaultdict(list), None, set()
         for b in batches:
             kind = np.array(b["kind"])
-            first = int((kind == 0).sum())
+            first, texts = np.searchsorted(kind, [1, 2]).tolist()
+            trusted.update(b["doc_id"][first:texts])
             if first:
                 ms = np.array(b["m"][:first], np.int64)
                 g = np.array(b["g"][:first], np.int64).view(np.uint64)
@@ -267,18 +299,23 @@ def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int
                 for m in np.unique(ms).tolist():
                     mine = ms == m
                     answers[m].append((g[mine], logp[mine], bow[mine]))
-            if first < len(kind):
+            if texts < len(kind):
                 if block is None:
                     block, answers = _Block(answers), None
-                yield _scored(block, z, b, first)
+                yield _scored(block, z, b, texts, trusted)
+
+    def _scored(block, z, b, first, trusted):
+        raw = [z.decompress(t) for t in b["z"][first:]]
+        texts, ids, keys = [t.decode() for t in raw], b["doc_id"][first:], b["m"][first:]
+        held = [without(m, fold_of(t)) if i in trusted else None for i, m, t in zip(ids, keys, raw, strict=True)]
+        return {"doc_id": ids, "m": keys, "chars": [len(t) for t in texts], "logp": _means(block, texts, keys), "held_out": _means(block, texts, held)}
 
-    def _scored(block, z, b, first):
-        texts = [z.decompress(t).decode() for t in b["z"][first:]]
-        by_lang, mean = defaultdict(list), [None] * len(texts)
-        for i, m in enumerate(b["m"][first:]):
+    def _means(block, texts, keys):
+        by_key, mean = defaultdict(list), [None] * len(texts)
+        for i, m in enumerate(keys):
             if texts[i] and m in block.tables:
-                by_lang[m].append(i)
-        for m, those in by_lang.items():
+                by_key[m].append(i)
+        for m, those in by_key.items():
             group, size = [], 0
             for i in [*those, None]:
                 if group and (i is None or size + len(texts[i]) > _SLICE):
@@ -299,10 +336,10 @@ def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int
                 if i is not None:
                     group.append(i)
                     size += len(texts[i])
-        return {"doc_id": b["doc_id"][first:], "m": b["m"][first:], "chars": [len(t) for t in texts], "logp": mean}
+        return mean
 
-    both = answers.unionByName(texts).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind").drop("block")
-    return arrow_map(both, run, "doc_id bigint, m bigint, chars bigint, logp double")
+    rows = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("kind").drop("block")
+    return arrow_map(rows, run, "doc_id bigint, m bigint, chars bigint, logp double, held_out double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -310,14 +347,15 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.4) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold, kept; one row per document."""
     good = trusted_ids(labels)
     grams = written(block_grams(docs, good), "grams")
     counts = grams.where("c > 0").groupBy((F.col("m") - ORDER).alias("m"), "g").agg(F.sum("c").alias("c"))
     model = train(written(counts, "counts"))
-    scored = written(score(docs, grams.drop("c"), model), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
-    limits = scored.join(good, "doc_id", "left_semi").groupBy("m").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
+    scored = written(score(docs, grams.drop("c"), model, good=good), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
+    unseen, own = (F.percentile_approx(p, quantile, 10_000) for p in (F.exp(-F.col("held_out")), F.col("perplexity")))
+    limits = scored.join(good, "doc_id", "left_semi").groupBy("m").agg(F.coalesce(unseen, own).alias("threshold"))
     rows = scored.join(F.broadcast(limits), "m", "left")
     kept = F.when(F.col("chars") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return rows.select("doc_id", F.col("chars").alias("n_chars"), "perplexity", "threshold", kept.alias("kept"))

@@ -89,3 +89,31 @@ def test_empty_tables(spark):
     assert kn.classify(df, lab).collect() == []
     one = spark.createDataFrame([(1, "x", "en")], "doc_id bigint, text string, lang string")
     assert [(r["perplexity"], r["kept"]) for r in kn.classify(one, lab).collect()] == [(None, True)]
+
+
+def held_out_corpus():
+    r = random.Random(7)
+    words = ["".join(r.choices(["th", "in", "ou", "er", "and", "re"], k=r.randint(1, 3))) for _ in range(60)]
+    odd = ["".join(r.choices(["zug", "kwa", "plof"], k=2)) for _ in range(8)]
+    text = lambda share: " ".join(r.choice(odd if r.random() < share else words) for _ in range(r.randint(60, 120)))
+    kinds = [(0, 200, 0.0, 1, 0), (1000, 50, 0.08, 1, 1), (2000, 50, 0.5, 0, 0)]
+    docs = [(first + i, text(share), "en") for first, n, share, _, _ in kinds for i in range(n)]
+    labels = [(first + i, quality, toxic) for first, n, _, quality, toxic in kinds for i in range(n)]
+    return docs + [(5000, docs[0][1], "en")], labels + [(5000, 1, 0)]
+
+
+def test_threshold_is_the_quantile_of_held_out_documents(spark):
+    docs, labels = held_out_corpus()
+    got = kn.classify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    trusted = {i for i, q, t in labels if q == 1 and t == 0}
+    folds = [[t for i, t, _ in docs if i in trusted and kn.fold_of(t.encode()) == k] for k in range(kn.FOLDS)]
+    assert all(folds)
+    held = []
+    for k, mine in enumerate(folds):
+        p, _ = brute_model([t for j, f in enumerate(folds) if j != k for t in f])
+        held += [math.exp(-sum(math.log(p((chr(2) * 3 + t)[j : j + 4])) for j in range(len(t))) / len(t)) for t in mine]
+    want = sorted(held)[math.ceil(0.995 * len(held)) - 1]
+    assert {abs(r["threshold"] - want) < 1e-4 * want for r in got} == {True}
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    share = lambda quality, toxic: sum(kept[i] for i, q, t in labels if (q, t) == (quality, toxic)) / sum((q, t) == (quality, toxic) for _, q, t in labels)
+    assert share(1, 0) >= 0.98 and share(1, 1) <= 0.1 and share(0, 0) == 0

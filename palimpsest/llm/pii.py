@@ -116,8 +116,9 @@ _SPELLED_AT = rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:
 _SPELLED_DOT = r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])"
 _SPACED_AT = r"(?<=[A-Za-z0-9])\s+@\s+(?=[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)*\s*\.\s*[A-Za-z]{2,}\b)"
 _REWRITE = re.compile(rf"(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
-#: Without one of these no rewrite applies. Letters of western European languages are not among them.
-_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.|@)\s*[\])}}>]|\b(?:{_DOT_WORDS})\b|\s@\s|[0-9][OolI][0-9]|\b(?:{_WORD})\b[\s,.-]+(?:\b(?:{_WORD}|dash|hyphen)\b|[0-9])|[0-9][\s,.-]+\b(?:{_WORD})\b", re.I)
+_SAID = rf"{_WORD}|dash|hyphen"
+#: Without one of these no rewrite applies: a run without dots has two neighbours of which one is said, or plus before figures. Letters of western European languages are not among them.
+_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.|@)\s*[\])}}>]|\b(?:{_DOT_WORDS})\b|\s@\s|[0-9][OolI][0-9]|\bplus\s+[0-9]|\b(?:{_SAID})\b[\s,.-]+(?:(?:{_SAID})\b|[0-9])|[0-9][\s,.-]+(?:{_SAID})\b", re.I)
 _ODD = re.compile(r"[^\x00-\x7f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-ɏ‘-”…€]")
 
 

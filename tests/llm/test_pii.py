@@ -85,3 +85,18 @@ def test_query_columns_and_edge_cases(spark):
 
 def test_overlapping_spans_are_redacted_once():
     assert pii.redacted("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a<CARD>f"
+
+
+@pytest.mark.parametrize("text,found", [("call plus 44 20 7946 0958 now", "plus 44 20 7946 0958"), ("+44 dash 20 dash 79460958", "+44 dash 20 dash 79460958"), ("+44 hyphen 20 hyphen 79460958", "+44 hyphen 20 hyphen 79460958")])
+def test_disguises_around_figures(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.added_spans(text, [])] == [("phone", found)]
+    assert pii.redacted(text, pii.added_spans(text, [])) == text.replace(found, "<PHONE>")
+
+
+def test_hint_leaves_no_rewrite_out(monkeypatch):
+    r = random.Random(11)
+    parts = ["plus", "+", "dash", "hyphen", "Dash", "five", "vier", "cero", "dot", "punto", "at", "[at]", "(dot)", "[.]", "@", "44", "7", "1l1", "4O4", "x", "joe", "site.org", "é", "_"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", "-", ", ", ".", "", "\n"]) for _ in range(r.randint(1, 9))) for _ in range(30_000)]
+    hinted = [pii.normalise(t) for t in texts]
+    monkeypatch.setattr(pii, "_HINT", re.compile(""))
+    assert [t for t, n in zip(texts, hinted, strict=True) if pii.normalise(t) != n] == []

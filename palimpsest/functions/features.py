@@ -25,7 +25,12 @@ PATTERNS = {
     "reflection": r"\bsetAccessible\s*\(|\bgetDeclared(?:Field|Method)\s*\(",
     "throws_exception": r"\bthrows Exception\b",
     "non_ascii": r"[^\x00-\x7F]",
+    "state_calls": r"\.\s*(?:set|add|put|remove|push|append|insert|clear)\w*\s*\(",
 }
+#: A value in a test's text: a number or a string.
+LITERAL = r"-?\b[0-9]+(?:\.[0-9]+)?\b|\"[^\"\n]*\""
+#: Both values of a two-sided assertion, where neither has a call or a comma of its own.
+TWO_SIDED = r"\bassert(?:Equals|Same)\s*\(\s*([^,()\n]+)\s*,\s*([^,()\n]+)\)"
 # Kinds of assertion.
 ASSERTIONS = ("NotNull", "Equals", "True", "False", "Null", "Same", "NotEquals", "NotSame", "ArrayEquals", "Throws")
 
@@ -34,6 +39,12 @@ def count_of(text: str | Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(pattern)).cast("bigint")
 
 
+def self_comparing(text: Column) -> Column:
+    """Assertions whose two sides are the same text."""
+    sides = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TWO_SIDED), F.lit(i)), lambda x: F.trim(x)) for i in (1, 2)]
+    return F.size(F.filter(F.zip_with(*sides, lambda a, b: a == b), lambda same: same)).cast("bigint")
+
+
 def counts(rows: DataFrame, before: str, after: str) -> DataFrame:
     """rows with <pattern>_before and <pattern>_after for every pattern and kind of assertion."""
     wanted = PATTERNS | {f"assert_{a.lower()}": rf"\bassert{a}\s*\(" for a in ASSERTIONS}
@@ -45,18 +56,24 @@ def flags(rows: DataFrame, before: str = "before", after: str = "after") -> Data
     c = F.col
     got, lost = lambda n: (c(f"{n}_before") == 0) & (c(f"{n}_after") > 0), lambda n: (c(f"{n}_before") > 0) & (c(f"{n}_after") == 0)
     blank = lambda x: F.regexp_replace(x, r"\s+", "")
+    literals = lambda x: F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(LITERAL), F.lit(0))
     timeout = lambda x: F.regexp_extract(x, r"timeout\s*=\s*([0-9]+)", 1)
     return rows.withColumns({
         "try_to_expected": lost("try_blocks") & got("expected"),
         "try_lost": lost("try_blocks") & (c("expected_after") == 0),
+        "value_test": lost("try_blocks") & (c("expected_after") == 0) & (c("asserts_after") > 0) & (F.size(F.array_except(literals(c(after)), literals(c(before)))) > 0),
         "try_kept": (c("try_blocks_before") > 0) & (c("try_blocks_after") > 0),
         "try_gained": got("try_blocks"),
         "more_asserts": c("asserts_after") > c("asserts_before"),
         "fewer_asserts": c("asserts_after") < c("asserts_before"),
+        "same_asserts": c("asserts_after") == c("asserts_before"),
         "assert_free_fixed": got("asserts"),
         "assert_free_gained": lost("asserts"),
         "unchecked_after": (c("asserts_after") == 0) & (c("expected_after") == 0) & (c("fails_after") == 0),
         "whitespace_only": (c(before) != c(after)) & (blank(c(before)) == blank(c(after))),
+        "state_before_assert": (c("state_calls_after") > c("state_calls_before")) & F.coalesce(F.rlike(c(after), F.lit(rf"(?s){PATTERNS['state_calls']}.*\bassert\w+\s*\(")), F.lit(False)),
+        "throws_narrowed": got("throws_exception"),
+        "self_comparing": self_comparing(c(after)) > 0,
         "timeout_dropped": lost("timeouts"),
         "timeout_changed": (c("timeouts_before") > 0) & (c("timeouts_after") > 0) & (timeout(c(before)) != timeout(c(after))),
         "expected_type": F.nullif(F.regexp_extract(c(after), r"@Test\s*\([^)]*expected\s*=\s*([\w.]+)\.class", 1), F.lit("")),

@@ -38,6 +38,24 @@ def neighbours(rows: DataFrame, key: list[str], number: str, state: str) -> Data
     return rows.where(F.col("next_number") == F.col(number) + 1).drop("next_number")
 
 
+def evidence(rows: DataFrame, key: list[str], number: str) -> DataFrame:
+    """What patches of neighbouring numbers (context, removed, added) show of each other, and what follows about their order.
+
+    `this_shows`: the neighbour's added text is in this patch's context (repaired), its removed text is (original), or neither.
+    `order`: this first or next first, if just one of them shows the other repaired; unapplied, if each shows the other as it
+    was, so that one of them was saved and never applied; else unknown. The order of work comes from here, never from numbers.
+    """
+    w = Window.partitionBy(*key).orderBy(number)
+    nxt = {f"_{c}": F.lead(c).over(w) for c in (number, "context", "removed", "added")}
+    shows = lambda context, added, removed: F.when(F.contains(context, added), "repaired").when(F.contains(context, removed), "original").otherwise("neither")
+    c = F.col
+    rows = rows.withColumns(nxt).where(c(f"_{number}") == c(number) + 1)
+    rows = rows.withColumns({"this_shows": shows(c("context"), c("_added"), c("_removed")), "next_shows": shows(c("_context"), c("added"), c("removed"))})
+    this, that = c("this_shows"), c("next_shows")
+    order = F.when((this == "original") & (that == "original"), "unapplied").when((that == "repaired") & (this != "repaired"), "this first").when((this == "repaired") & (that != "repaired"), "next first").otherwise("unknown")
+    return rows.withColumn("order", order).drop(*nxt)
+
+
 def signature_visibility(sides: DataFrame, name: str) -> DataFrame:
     """sides (before, removed, added of each patch) with `visible`: where the method's signature shows. A patch that shows none
     says nothing about the method; the guard belongs on the whole text."""

@@ -70,14 +70,37 @@ def parse_lines(raw: str) -> Iterator[tuple[int, int, str, int | None, int | Non
             at += 1
 
 
-def patch_lines(patches: DataFrame) -> DataFrame:
-    """One row per line of every hunk: the keys, hunk_no, line_no, op, old_no, new_no, text. Batches go through Python once, without a shuffle."""
+def fault(raw: str | Column) -> Column:
+    """Why a patch cannot be parsed; null if it can. For an output of its own: patches.where(fault("raw").isNotNull())."""
+
+    @F.pandas_udf("string")
+    def run(raws: pd.Series) -> pd.Series:
+        return pd.Series([_fault(r) for r in raws], dtype=object)
+
+    return run(raw)
+
+
+def _fault(raw: str | None) -> str | None:
+    if raw is None:
+        return "null"
+    try:
+        for _ in parse_lines(raw):
+            pass
+    except ValueError as e:
+        return str(e)
+    return None
+
+
+def patch_lines(patches: DataFrame, strict: bool = True) -> DataFrame:
+    """One row per line of every hunk: the keys, hunk_no, line_no, op, old_no, new_no, text. Batches go through Python once, without
+    a shuffle. A malformed patch stops the job; unless strict, it gives no lines (fault() tells which and why)."""
     keys = list(KEY)
     kinds = dict(patches.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(*(r[k] for k in keys), *line) for r in b.to_dict("records") for line in parse_lines(r["raw"])]
+            records = [r for r in b.to_dict("records") if strict or _fault(r["raw"]) is None]
+            rows = [(*(r[k] for k in keys), *line) for r in records for line in parse_lines(r["raw"])]
             out = pd.DataFrame(rows, columns=[*keys, "hunk_no", "line_no", "op", "old_no", "new_no", "text"])
             yield out.astype({"old_no": "Int32", "new_no": "Int32"})
 

@@ -29,6 +29,14 @@ def ensure_empty_dir(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file with these bytes; missing parents are created."""
+    _, _, fs, p = _fs(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(data))
+    out.close()
+
+
 def copytree(spark: SparkSession, src: str, dst: str) -> None:
     """dst equals src afterwards, whatever it held. A missing src or one that overlaps dst is refused, and dst stays."""
     jvm, conf, sfs, s = _fs(spark, src)

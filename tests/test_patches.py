@@ -152,3 +152,27 @@ def test_lineage(spark):
     same = lineage.distinct_edits(rows.unionByName(rows.where("n = 1")), ["key"], "before", "after")
     assert sorted(r["copies"] for r in same.collect()) == [1, 1, 1, 1, 2, 2]
     assert lineage.violations(rows, "after", ["c"]).select("marker").collect()[0][0] == "c"
+
+
+def test_malformed_patches_are_told_apart(spark):
+    good = "--- a/T.java\n+++ b/T.java\n@@ -1,1 +1,1 @@\n-a\n+b\n"
+    raws = [good, "no patch", good + "@@ -9,2 +9,1 @@\n-x\n", None, good + "\ntail"]
+    rows = spark.createDataFrame([(i, "r", "C", "t", x) for i, x in enumerate(raws)], "project_id int, run_ts string, class_name string, test_name string, raw string")
+    faults = [r["f"] for r in rows.select("project_id", patches.fault("raw").alias("f")).orderBy("project_id").collect()]
+    assert faults[0] is None and all(faults[1:]) and faults[3] == "null"
+    assert {r["project_id"] for r in patches.patch_lines(rows, strict=False).collect()} == {0}
+    with pytest.raises(Exception, match="no header"):
+        patches.patch_lines(rows).collect()
+
+
+def test_order_of_work_comes_from_what_patches_show(spark):
+    rows = [
+        ("A", 1, "x", "old1", "new1"), ("A", 2, "new1 y", "old2", "new2"),  # 2 sees 1 repaired
+        ("B", 1, "new2", "old1", "new1"), ("B", 2, "old1", "old2", "new2"),  # 1 sees 2 repaired
+        ("C", 1, "old2", "old1", "new1"), ("C", 2, "old1", "old2", "new2"),  # neither took effect for the other
+        ("D", 1, "", "old1", "new1"), ("D", 2, "", "old2", "new2"), ("D", 4, "new2", "o", "n"),  # not next to each other
+        ("E", 1, None, "old1", "new1"), ("E", 2, "old1", None, "new2"),
+    ]
+    df = spark.createDataFrame(rows, "c string, no int, context string, removed string, added string")
+    got = {(r["c"], r["no"]): r["order"] for r in lineage.evidence(df, ["c"], "no").collect()}
+    assert got == {("A", 1): "this first", ("B", 1): "next first", ("C", 1): "unapplied", ("D", 1): "unknown", ("E", 1): "unknown"}

@@ -14,6 +14,23 @@ import palimpsest
 _SHIPPED: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is named, a local session takes the warehouse; elsewhere that might be
+    a folder of one machine, so it is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/")
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Once for each application: the package as a zip file in the shared folder, added for executors present and later."""
     sc = spark.sparkContext
@@ -24,8 +41,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/palimpsest/palimpsest-{uuid.uuid4().hex}.zip")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/palimpsest/palimpsest-{uuid.uuid4().hex}.zip")
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     out = fs.create(path)
     out.write(bytearray(packed.getvalue()))

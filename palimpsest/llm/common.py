@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.plans.shipping import is_local, shared_folder
+
 #: Columns of the documents table.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of a batch handed to Python; a batch of the longest texts still fits a worker.
@@ -33,10 +36,9 @@ def pick(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
+    """The folder that driver and executors share; in a local session a temporary one where none is named."""
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir") or not is_local(spark):
+        return shared_folder(spark)
     if not getattr(spark, "_palimpsest_dir", None):
         spark._palimpsest_dir = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, spark._palimpsest_dir, True)
@@ -77,6 +79,18 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """rows joined with table, a written one that has each key once and as `size` how many rows have it.
+
+    Keys with more than one in `share` of those rows are fewer than `share`, so they are broadcast, and their rows stay
+    where they are; the rest is exchanged without any hot key.
+    """
+    most = (table.agg(F.sum(size)).first()[0] or 0) // share
+    hot = F.broadcast(table.where(F.col(size) > most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.where(F.col(size) <= most), keys))
+
+
 def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a file to the shared folder and hands it to every executor, present and later; returns the name that they know it by."""
     name = f"{name}-{uuid.uuid4().hex}"
@@ -108,6 +122,19 @@ def arrow_map(df: DataFrame, func: Callable[[Iterator[dict[str, list]]], Iterabl
     return df.mapInArrow(run, schema)
 
 
+def counts_of(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> for each kind of span in an array column of (kind, start, end)."""
+    of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    return [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+
+
+def spans_text(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of each span, by start, then kind as listed, then end, joined by commas."""
+    rank = F.array(*map(F.lit, kinds))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"], F.array_position(rank, s["kind"]), s["end"], s["kind"]))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def batch_map(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """df through func a batch at a time; the columns stay the same ones, and those that func leaves alone pass untouched."""
 
@@ -145,6 +172,16 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+class WordHashes(dict):
+    """Hash of each word seen, up to a fixed number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def sliding(values: np.ndarray, width: int, pick_one=np.minimum) -> np.ndarray:
     """Minimum (or maximum) of each window of `width` values, by doubling; len - width + 1 values."""
     out, span = values, 1

@@ -14,7 +14,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, batch_map, pick, with_column
+from palimpsest.llm.common import arrow_map, batch_map, counts_of, pick, spans_text, with_column
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -106,19 +105,35 @@ _DIGIT_WORDS = {
 }
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|point|punto"
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_DOT_MARK = rf"\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*"
-_AT_MARK = rf"\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*"
-_ITEM = rf"(?:(?:{_WORD}|{_DOT_WORDS}|dash|hyphen)\b|[0-9]+)"
+_DOT_ENTITY, _AT_ENTITY = "&(?:#46|#x2e|period);", "&(?:#64|#x40|commat);"
+_DOT_MARK = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*|{_DOT_ENTITY})"
+_AT_MARK = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|{_AT_ENTITY})"
+_TIMES = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
+_SEVERAL = rf"(?:{'|'.join(_TIMES)})\s+(?:(?:{_WORD})\b|[0-9]\b)"
+_ITEM = rf"(?:{_SEVERAL}|(?:{_WORD}|{_DOT_WORDS}|dash|hyphen)\b|[0-9]+)"
 _RUN = rf"(?:\bplus\s+|\+\s*)?(?<!\w){_ITEM}(?:(?:{_DOT_MARK}|[\s,.-]+){_ITEM}){{2,}}(?!\w)"
-_PART = re.compile(rf"(?P<dot>{_DOT_MARK}|(?:{_DOT_WORDS})\b)|(?P<dash>dash|hyphen)|(?P<plus>plus)|(?P<word>(?:{_WORD})\b)|(?P<num>[0-9]+)|(?P<other>[\s\S])", re.I)
+_PART = re.compile(rf"(?P<times>\b{_SEVERAL})|(?P<dot>{_DOT_MARK}|(?:{_DOT_WORDS})\b)|(?P<dash>dash|hyphen)|(?P<plus>plus)|(?P<word>(?:{_WORD})\b)|(?P<num>[0-9]+)|(?P<other>[\s\S])", re.I)
 # A lone "at" between words is prose; it counts only where a dot is spelled after it.
 _SPELLED_AT = rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+|{_DOT_MARK})[A-Za-z0-9])"
 _SPELLED_DOT = r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])"
 _SPACED_AT = r"(?<=[A-Za-z0-9])\s+@\s+(?=[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)*\s*\.\s*[A-Za-z]{2,}\b)"
-_REWRITE = re.compile(rf"(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
-_SAID = rf"{_WORD}|dash|hyphen"
+_LABEL = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+
+
+def _address(at: str, dot: str) -> str:
+    """An address with at and at least one dot after it in words."""
+    return rf"\s+(?:{at})\s+{_LABEL}(?:(?:\s+(?:{dot})\s+|{_DOT_MARK}){_LABEL})+"
+
+
+# English prose has "at the point of", so there "point" is a dot only after an at of the language.
+_LOCAL_SAID = r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:\s+(?:dot|punkt|punto)\s+[A-Za-z0-9._%+-]+)*"
+_ADDRESS = rf"{_LOCAL_SAID}(?:{_address('arroba|arobase', _DOT_WORDS)}|{_address('at', 'dot|punkt|punto')})"
+_SPACED = rf"(?<=[A-Za-z0-9])\s+@\s+[A-Za-z0-9-]+(?:(?:\s+\.\s+|\.)[A-Za-z0-9-]+)*(?:\s+\.\s+|\.)[A-Za-z]{{2,}}\b"
+_ADDRESS_PART = re.compile(rf"(?P<at>\s+(?:{_AT_WORDS})\s+|{_AT_MARK}|\s+@\s+)|(?P<dot>\s+(?:{_DOT_WORDS})\s+|{_DOT_MARK}|\s+\.\s+)", re.I)
+_REWRITE = re.compile(rf"(?P<address>{_ADDRESS}|{_SPACED})|(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
+_SAID = rf"{_WORD}|dash|hyphen|{'|'.join(_TIMES)}"
 #: Without one of these no rewrite applies: a run without dots has two neighbours of which one is said, or plus before figures. Letters of western European languages are not among them.
-_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.|@)\s*[\])}}>]|\b(?:{_DOT_WORDS})\b|\s@\s|[0-9][OolI][0-9]|\bplus\s+[0-9]|\b(?:{_SAID})\b[\s,.-]+(?:(?:{_SAID})\b|[0-9])|[0-9][\s,.-]+(?:{_SAID})\b", re.I)
+_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.|@)\s*[\])}}>]|{_AT_ENTITY}|{_DOT_ENTITY}|\b(?:{_DOT_WORDS})\b|\s@\s|[0-9][OolI][0-9]|\bplus\s+[0-9]|\b(?:{_SAID})\b[\s,.-]+(?:(?:{_SAID})\b|[0-9])|[0-9][\s,.-]+(?:{_SAID})\b", re.I)
 _ODD = re.compile(r"[^\x00-\x7f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-ɏ‘-”…€]")
 
 
@@ -151,7 +166,14 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
             continue
         keep_as_is(last, m.start())
         last = m.end()
-        if m.lastgroup == "run":
+        if m.lastgroup == "address":
+            at = m.start()
+            for p in _ADDRESS_PART.finditer(flat, m.start(), m.end()):
+                keep_as_is(at, p.start())
+                put("@" if p.lastgroup == "at" else ".", p.start(), p.end())
+                at = p.end()
+            keep_as_is(at, m.end())
+        elif m.lastgroup == "run":
             parts = list(_PART.finditer(flat, m.start(), m.end()))
             parts = [p for p in parts if p.end() <= m.end()]
             solid = [p for p in parts if p.lastgroup != "other"]
@@ -166,6 +188,9 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
                 before, after = p, next(nxt, None)
                 if p.lastgroup == "num":
                     keep_as_is(p.start(), p.end())
+                elif p.lastgroup == "times":
+                    times, digit = p[0].lower().split()
+                    put(_DIGIT_WORDS.get(digit, digit) * _TIMES[times], p.start(), p.end())
                 else:
                     put({"dot": ".", "dash": "-", "plus": "+"}.get(p.lastgroup) or _DIGIT_WORDS[p[0].lower()], p.start(), p.end())
         else:
@@ -217,21 +242,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The columns that op1 returns: counts and hash of plain spans, all spans as text."""
-
-    def run(batches):
-        for b in batches:
-            plain = [[(s["kind"], s["start"], s["end"]) for s in r] for r in b["plain"]]
-            added = [[(s["kind"], s["start"], s["end"]) for s in r] for r in b["added"]]
-            yield {
-                "doc_id": b["doc_id"],
-                **{f"n_{k}": [sum(s[0] == k for s in r) for r in plain] for k in KINDS},
-                "base_sha256": [hashlib.sha256(joined(r).encode()).hexdigest() for r in plain],
-                "spans": [joined(p + a) for p, a in zip(plain, added, strict=True)],
-                "n_added": [len(a) for a in added],
-            }
-
-    return arrow_map(found, run, "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint")
+    """The columns that op1 returns: counts and hash of plain spans, all spans as text, and how many of them."""
+    every = F.concat("plain", "added")
+    return found.select("doc_id", *counts_of("plain", KINDS), F.sha2(spans_text(F.col("plain"), KINDS), 256).alias("base_sha256"), spans_text(every, KINDS).alias("spans"), F.size("added").cast("bigint").alias("n_added"), F.size(every).cast("bigint").alias("n_found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -23,8 +22,9 @@ from re import _parser as parser
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, pick
+from palimpsest.llm.common import arrow_map, counts_of, pick, spans_text
 
 Query = frozenset | None  # a set of alternatives, each a set of trigrams that must all occur; None: no condition
 _MOST = 64  # strings or alternatives kept while a query is derived; beyond, the condition is weakened, never wrong
@@ -56,7 +56,7 @@ RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]++@[A-Za-z0-9.-]+"),
 )
 _RANK = {r.kind: i for i, r in enumerate(RULES)}
 
@@ -199,17 +199,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The columns that op6 returns: counts and hash of base spans, all spans as text."""
-
-    def run(batches):
-        for b in batches:
-            spans = [[(s["kind"], s["start"], s["end"]) for s in r] for r in b["spans"]]
-            text = lambda r: ",".join(f"{k}:{a}:{z}" for k, a, z in r)
-            yield {
-                "doc_id": b["doc_id"],
-                **{f"n_{k}": [sum(s[0] == k for s in r) for r in spans] for k in BASE_KINDS},
-                "base_sha256": [hashlib.sha256(text([s for s in r if s[0] in BASE_KINDS]).encode()).hexdigest() for r in spans],
-                "spans": [text(r) for r in spans],
-            }
-
-    return arrow_map(found, run, "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in BASE_KINDS) + ", base_sha256 string, spans string")
+    """The columns that op6 returns: counts and hash of base spans, all spans as text, and how many of them."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    kinds = tuple(_RANK)
+    return found.select("doc_id", *counts_of("spans", BASE_KINDS), F.sha2(spans_text(base, kinds), 256).alias("base_sha256"), spans_text(F.col("spans"), kinds).alias("spans"), F.size("spans").cast("bigint").alias("n_found"))

@@ -52,6 +52,14 @@ def test_plain_spans_match_the_patterns():
     ("jоhn＠exаmple．com", "email", "jоhn＠exаmple．com"),
     ("call + one five five five, two three four five six seven eight now", "phone", "+ one five five five, two three four five six seven eight"),
     ("plus vier neun drei null eins zwei drei vier fünf sechs sieben", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+    ("juan arroba ejemplo punto es", "email", "juan arroba ejemplo punto es"),
+    ("max at firma punkt de", "email", "max at firma punkt de"),
+    ("zoé écrit à luc arobase site point fr", "email", "luc arobase site point fr"),
+    ("john @ example . com", "email", "john @ example . com"),
+    ("john&#64;example.com", "email", "john&#64;example.com"),
+    ("john&commat;example&period;com", "email", "john&commat;example&period;com"),
+    ("+49 double three one five two triple seven six", "phone", "+49 double three one five two triple seven six"),
+    ("plus four nine doppel drei 1 5 2 double 7 seis", "phone", "plus four nine doppel drei 1 5 2 double 7 seis"),
     ("ip 192[.]168[.]1[.]1 ok", "ip", "192[.]168[.]1[.]1"),
     ("one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
@@ -64,7 +72,7 @@ def test_disguises(text, kind, found):
     assert added == ([(kind, found)] if kind else [])
 
 
-@pytest.mark.parametrize("text", ["look at example.com", "we met at noon. dot dot", "un deux trois soleil", "See you at seven at the point of no return", "eins und zwei", "the point is at hand", "café №5 — déjà vu", "a (at) b", "x"])
+@pytest.mark.parametrize("text", ["look at example.com", "arrive at this point in time", "bob and I @ home. Then we left", "a double three shot", "we met at noon. dot dot", "un deux trois soleil", "See you at seven at the point of no return", "eins und zwei", "the point is at hand", "café №5 — déjà vu", "a (at) b", "x"])
 def test_prose_is_left_alone(text):
     assert pii.added_spans(text, pii.plain_spans(text)) == [] and pii.redacted(text, pii.plain_spans(text)) == text
 
@@ -95,8 +103,50 @@ def test_disguises_around_figures(text, found):
 
 def test_hint_leaves_no_rewrite_out(monkeypatch):
     r = random.Random(11)
-    parts = ["plus", "+", "dash", "hyphen", "Dash", "five", "vier", "cero", "dot", "punto", "at", "[at]", "(dot)", "[.]", "@", "44", "7", "1l1", "4O4", "x", "joe", "site.org", "é", "_"]
+    parts = ["plus", "+", "dash", "hyphen", "Dash", "five", "vier", "cero", "dot", "punto", "punkt", "at", "arroba", "double", "triple", "&#64;", "&period;", "[at]", "(dot)", "[.]", "@", "44", "7", "1l1", "4O4", "x", "joe", "site.org", "é", "_"]
     texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", "-", ", ", ".", "", "\n"]) for _ in range(r.randint(1, 9))) for _ in range(30_000)]
     hinted = [pii.normalise(t) for t in texts]
     monkeypatch.setattr(pii, "_HINT", re.compile(""))
     assert [t for t, n in zip(texts, hinted, strict=True) if pii.normalise(t) != n] == []
+
+
+def disguised(r, kind):
+    """An identifier in a random disguise: text, whether it is disguised, in pieces that each stand for a character or more."""
+    words = [w.split() for w in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve")]
+    digits = lambda n: [r.randint(0, 9) for _ in range(n)]
+    if kind == "email":
+        at, dot = r.choice([(" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), (" arroba ", " punto "), (" @ ", " . "), ("&#64;", "."), ("＠", "．"), ("\u200b@", ".\u200b")])
+        name = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 8)))
+        return name() + at + dot.join(name() for _ in range(r.randint(2, 3)))
+    if kind == "ip":
+        dot = r.choice(["[.]", " (dot) ", "．", " dot "])
+        return dot.join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        d = digits(15)
+        d.append(next(x for x in range(10) if luhn("".join(map(str, [*d, x])))))
+        return r.choice(["".join(chr(0xFF10 + x) for x in d), "\u200b".join(map(str, d)), " ".join(r.choice(words)[x] for x in d)])
+    d, own = digits(r.randint(10, 13)), r.choice(words)
+    return r.choice(["plus ", "+ ", "+"]) + " ".join(own[x] for x in d)
+
+
+def test_planted_disguises_are_found_where_they_stand():
+    """Random identifiers in random disguises among prose: exactly they are found, from their first to their last character."""
+    r = random.Random(21)
+    prose = lambda: " ".join(r.choices(["the", "house", "stood", "über", "la", "casa;", "we", "saw,", "naïve", "things.", "(more)"], k=r.randint(0, 12)))
+    for _ in range(4000):
+        text, want = prose() + " said: ", []
+        for _ in range(r.randint(1, 3)):
+            kind = r.choice(pii.KINDS)
+            own = disguised(r, kind)
+            want.append((kind, len(text), len(text) + len(own)))
+            text += own + "; " + prose() + " said: "
+        plain = pii.plain_spans(text)
+        assert plain == [] and pii.added_spans(text, plain) == want, text
+
+
+def test_a_disguise_takes_only_its_own_text():
+    """Plain identifiers beside disguises stay plain, and none is found twice."""
+    text = "a@b.co, 10.0.0.1; then joe [at] site [dot] org and 10[.]0[.]0[.]2"
+    plain = pii.plain_spans(text)
+    assert [text[a:b] for _, a, b in plain] == ["a@b.co", "10.0.0.1"]
+    assert [text[a:b] for _, a, b in pii.added_spans(text, plain)] == ["joe [at] site [dot] org", "10[.]0[.]0[.]2"]

@@ -29,7 +29,7 @@ def test_base_spans_match_the_patterns():
 
 def test_every_rule_finds_what_a_full_scan_finds():
     r = random.Random(9)
-    extra = ["ghp_" + "a" * 36, "xoxb-1234567890-abc", "sk_live_0123456789abcdefgh", "AIza" + "x" * 35, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM_", "https://user:pass@host.example", "rk_live_"]
+    extra = ["ghp_" + "a" * 36, "xoxb-1234567890-abc", "sk_live_0123456789abcdefgh", "AIza" + "x" * 35, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM_", "https://user:pass@host.example", "https://bot:" + "t" * 300 + "@host.example", "rk_live_"]
     texts = ["".join(r.choices(PARTS + extra, k=r.randint(0, 10))) for _ in range(2000)]
     got = secrets.Scanner().scan(texts)
     for t, spans in zip(texts, got, strict=True):
@@ -50,5 +50,5 @@ def test_query_columns_and_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")
     got = sorted((tuple(r) for r in secrets.digest(secrets.find_secrets(docs)).collect()), key=str)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert got == sorted([(1, 1, 0, 0, sha("assign:0:14"), "assign:0:14")] * 2 + [(2, 0, 0, 0, sha(""), ""), (3, 0, 0, 0, sha(""), ""), (None, 0, 1, 0, sha("access:200001:200021"), "access:200001:200021")], key=str)
+    assert got == sorted([(1, 1, 0, 0, sha("assign:0:14"), "assign:0:14", 1)] * 2 + [(2, 0, 0, 0, sha(""), "", 0), (3, 0, 0, 0, sha(""), "", 0), (None, 0, 1, 0, sha("access:200001:200021"), "access:200001:200021", 1)], key=str)
     assert secrets.digest(secrets.find_secrets(spark.createDataFrame([], "doc_id bigint, text string"))).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,21 +55,27 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEASURES = {
     "m_length": "CAST(floor(8 * log2(greatest(n_words, 1)) + 1e-9) AS BIGINT)",
     "m_word": "20 * word_chars // greatest(n_words, 1)",
-    "m_symbols": "1000 * n_symbols // greatest(word_chars, 1)",
-    "m_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
-    "m_repeated": "1000 * n_repeat_words // greatest(n_words, 1)",
+    "m_symbols": "six(1000000 * n_symbols // greatest(word_chars, 1))",
+    "m_lines": "six(1000000 * n_dup_lines // greatest(n_lines, 1))",
+    "m_repeated": "six(1000000 * n_repeat_words // greatest(n_words, 1))",
 }
 
 
-def _fences_sql(name: str, by: str) -> str:
-    """Per group: documents, and bounds of each measure as rows."""
+def _six(sql: str) -> str:
+    """six(x): x with all but its first binary digits cleared."""
+    return re.sub(r"six\((.*)\)$", rf"((\1) >> greatest(0, length(bin(\1)) - {rules.BITS})) << greatest(0, length(bin(\1)) - {rules.BITS})", sql)
+
+
+def _exact_bounds_sql(name: str, by: str) -> str:
+    """Per group: documents, and each measure's bounds from exact quantiles of the sorted values."""
+    at = lambda q: f"v[(len(v) * {q} + 99) // 100]"
+    reach = f"{rules.REACH} * ({at(75)} - {at(25)})"
     return f"""
-{name}_q AS (SELECT {by} measure, max(n_all) AS docs, min(bucket) FILTER (upto * 100 >= n_all * 25) AS q1, min(bucket) FILTER (upto * 100 >= n_all * 75) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {by} measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by} measure) AS n_all
-    FROM (SELECT {by} measure, bucket, count(*) AS n FROM long GROUP BY ALL)) GROUP BY ALL),
-{name} AS (SELECT {by} measure, docs, q1 - greatest(slack, {rules.REACH} * (q3 - q1)) AS low, q3 + greatest(slack, {rules.REACH} * (q3 - q1)) AS high FROM {name}_q JOIN slacks USING (measure))"""
+{name} AS (SELECT * EXCLUDE (v), len(v) AS docs, least({at(rules.TAIL)}, {at(25)} - {reach}) AS low, greatest({at(100 - rules.TAIL)}, {at(75)} + {reach}) AS high
+  FROM (SELECT {by} measure, list_sort(list(bucket)) AS v FROM long GROUP BY ALL))"""
 
 
+_BOTH_ENDS = ", ".join(f"'{m}'" for m in rules.BOTH_ENDS)
 OP4_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -81,13 +88,13 @@ c AS (
   SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM d LEFT JOIN covered USING (rid)
-), long AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {e} AS bucket FROM c WHERE n_words > 0" for m, e in _MEASURES.items())}),
-slacks AS (SELECT unnest({list(rules.SLACK)}) AS measure, unnest({list(rules.SLACK.values())}) AS slack),{_fences_sql("a", "lang, source,")},{_fences_sql("b", "lang,")},{_fences_sql("e", "")},
+), long AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {_six(e)} AS bucket FROM c WHERE n_words > 0" for m, e in _MEASURES.items())}),{_exact_bounds_sql("a", "lang, source,")},{_exact_bounds_sql("b", "lang,")},{_exact_bounds_sql("e", "")},
 beyond AS (
-  SELECT rid, list_position({list(rules.SLACK)}, x.measure) AS place FROM long x
+  SELECT rid, list_position({list(_MEASURES)}, x.measure) AS place FROM long x
   JOIN a ON a.measure = x.measure AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source JOIN b ON b.measure = x.measure AND b.lang IS NOT DISTINCT FROM x.lang JOIN e ON e.measure = x.measure
-  WHERE bucket < CASE WHEN a.docs >= {rules.LEAST_DOCS} THEN a.low WHEN b.docs >= {rules.LEAST_DOCS} THEN b.low ELSE e.low END OR bucket > CASE WHEN a.docs >= {rules.LEAST_DOCS} THEN a.high WHEN b.docs >= {rules.LEAST_DOCS} THEN b.high ELSE e.high END
-), first AS (SELECT rid, min_by(measure, place) AS measure FROM (SELECT rid, place, {list(rules.SLACK)}[place] AS measure FROM beyond) GROUP BY rid)
+  WHERE x.measure IN ({_BOTH_ENDS}) AND bucket < CASE WHEN a.docs >= {rules.LEAST_DOCS} THEN a.low WHEN b.docs >= {rules.LEAST_DOCS} THEN b.low ELSE e.low END
+    OR bucket > CASE WHEN a.docs >= {rules.LEAST_DOCS} THEN a.high WHEN b.docs >= {rules.LEAST_DOCS} THEN b.high ELSE e.high END
+), first AS (SELECT rid, {list(_MEASURES)}[min(place)] AS measure FROM beyond GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND measure IS NULL AS kept, CASE WHEN failed THEN 'base' ELSE measure END AS failed_rule
 FROM (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS failed FROM c) LEFT JOIN first USING (rid)
 """

@@ -1,12 +1,20 @@
 """Quality rules whose thresholds adapt to each language and source. DataFrame functions only.
 
-Each document gets a few measures. A sketch of every measure's distribution is kept
-for each (language, source): counts of values by bucket, a bucket being a fixed
-relative (word count) or absolute (shares) width. Such sketches merge by addition,
-whatever the order, so the result is the same however the work is split. Their
-quartiles give fences, and a document beyond a fence fails. A source with fewer
-than `LEAST_DOCS` documents of a language is judged by the language's merged sketch,
-and such a language by all documents'.
+Each document gets five measures. A sketch of every measure's distribution is kept
+for each (language, source): counts of values by bucket. Shares (of symbols, of
+repeated lines, of repeated words) are in millionths, rounded down to `BITS`
+significant binary digits, which resolves the tail to 1 part in 32 at every size of
+share; lengths go by eighths of a doubling, mean word lengths by twentieths of a
+character. Such sketches merge by addition, whatever the order, and a quantile of a
+sketch is exactly the bucket of the data's quantile.
+
+A document fails a measure if it lies beyond both the outer fence of its group
+(three times the distance of the quartiles from them) and the group's outer
+quantile (`TAIL` % at an end). So where a measure spreads, only what is far out
+fails; where it hardly ever differs from zero, the tail decides; and no measure
+takes more than `TAIL` % of a group at an end. There is no cutoff in the measure's own units. Shares
+fail only upwards. A source with fewer than `LEAST_DOCS` documents of a language is
+judged by the language's merged sketch, and such a language by all documents'.
 
 Fixed limits of the contract (fewer than 20 words; over 30 % of words in repeated
 8-word windows) apply besides.
@@ -27,8 +35,13 @@ from palimpsest.llm.common import written
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own.
 LEAST_DOCS = 50
-#: How far beyond the outer quartiles a fence lies: so many times their distance, and at least so many buckets.
-REACH, SLACK = 3, {"m_length": 24, "m_word": 40, "m_symbols": 30, "m_lines": 300, "m_repeated": 300}
+#: How many times the distance of the quartiles a fence lies beyond them, and the share in % that an end's tail has at most.
+REACH, TAIL = 3, 5
+#: Significant binary digits of a share.
+BITS = 6
+#: The measures, and which of them may fail downwards, too.
+MEASURES = ("m_length", "m_word", "m_symbols", "m_lines", "m_repeated")
+BOTH_ENDS = ("m_length", "m_word")
 _SPACE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
@@ -63,6 +76,12 @@ def _repeated_words(hashes: Column) -> Column:
     return _bind(hashes, windows)
 
 
+def _rounded(value: Column) -> Column:
+    """A whole number with all but its first BITS binary digits cleared."""
+    cleared = F.greatest(F.lit(0), F.length(F.bin(value)) - BITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, cleared), cleared)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source with the contract's counts and the measures in buckets."""
     text = F.coalesce("text", F.lit(""))
@@ -79,7 +98,7 @@ def measured(docs: DataFrame) -> DataFrame:
     counted = counted.select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_lines")
     words, lines_ = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    share = lambda a, b: F.floor(1000 * F.col(a) / b).cast("bigint")
+    share = lambda a, b: _rounded(F.floor(1_000_000 * F.col(a) / b).cast("bigint"))
     return counted.withColumns({
         "base_failed": failed,
         "m_length": F.floor(8 * F.log2(words) + 1e-9).cast("bigint"),
@@ -91,39 +110,48 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n: the mergeable sketch of each group. At most a few hundred buckets a measure matter, so its size follows the number of groups, not of documents."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in SLACK))
+    """lang, source, measure, bucket, n: the mergeable sketch of each group. A measure has some hundreds of buckets at most, so its size follows the number of groups, not of documents."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in MEASURES))
     return rows.select("lang", "source", F.explode(pairs).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """Per group `by`: docs and, for each measure, low_ and high_ bounds from the quartiles of the merged sketches."""
-    merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by, "measure")
+def _levels() -> Column:
+    """The groups that a row's language and source belong to, narrowest first; level 2 has all rows."""
+    nothing = F.lit(None).cast("string")
+    return F.array(*(F.struct(F.lit(i).alias("level"), a.alias("lang"), b.alias("source")) for i, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), nothing), (nothing, nothing)])))
+
+
+def bounds(sketch: DataFrame) -> DataFrame:
+    """level, lang, source, docs and, for each measure, low_ (where it may fail downwards) and high_ bounds from the merged sketches."""
+    group = ["level", "lang", "source", "measure"]
+    merged = sketch.select(F.explode(_levels()).alias("g"), "measure", "bucket", "n").groupBy("g.level", "g.lang", "g.source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*group)
     seen = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    quartiles = seen.groupBy(*by, "measure").agg(F.max("all").alias("docs"), at(25).alias("q1"), at(75).alias("q3"))
-    aggs = [F.max("docs").alias("docs")]
-    for m, slack in SLACK.items():
-        reach = F.greatest(F.lit(slack), REACH * (F.col("q3") - F.col("q1")))
-        mine = F.col("measure") == m
-        aggs += [F.max(F.when(mine, F.col("q1") - reach)).alias(f"low_{m}"), F.max(F.when(mine, F.col("q3") + reach)).alias(f"high_{m}")]
-    return quartiles.groupBy(*by).agg(*aggs)
+    quantiles = seen.groupBy(*group).agg(F.max("all").alias("docs"), at(TAIL).alias("first"), at(25).alias("q1"), at(75).alias("q3"), at(100 - TAIL).alias("last"))
+    reach = REACH * (F.col("q3") - F.col("q1"))
+    ends = {"low": F.least(F.col("first"), F.col("q1") - reach), "high": F.greatest(F.col("last"), F.col("q3") + reach)}
+    aggs = [F.max(F.when(F.col("measure") == m, v)).alias(f"{end}_{m}") for m in MEASURES for end, v in ends.items() if end == "high" or m in BOTH_ENDS]
+    return quantiles.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *aggs)
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """g_lang, g_source and bounds: of the narrowest group with enough documents, for each language and source in the sketch."""
+    found = bounds(sketch)
+    names = [c for c in found.columns if c.startswith(("low_", "high_"))]
+    groups = sketch.select("lang", "source").distinct().select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.explode(_levels()).alias("g"))
+    same = (F.col("g.level") == found["level"]) & F.col("g.lang").eqNullSafe(found["lang"]) & F.col("g.source").eqNullSafe(found["source"])
+    enough = groups.join(found, same).where((F.col("docs") >= LEAST_DOCS) | (found["level"] == 2))
+    return enough.groupBy("g_lang", "g_source").agg(F.min_by(F.struct(*names), found["level"]).alias("x")).select("g_lang", "g_source", "x.*")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """The columns that op4 returns: contract's counts, base_failed and kept, with the rule that failed first."""
     rows = written(measured(docs), "measures")
-    sketch = sketches(rows.where("n_words > 0"))
-    sketch = sketch.withColumn("every", F.lit(1))
-    per_source, per_lang, whole = fences(sketch, "every", "lang", "source"), fences(sketch, "lang"), fences(sketch, "every")
-    bounds = [c for c in whole.columns if c.startswith(("low_", "high_"))]
-    a, b, c = per_source.alias("a"), per_lang.alias("b"), whole.alias("c")
-    both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.col("a.every") == F.col("c.every"))
-    pick = lambda x: F.when(F.col("a.docs") >= LEAST_DOCS, F.col(f"a.{x}")).when(F.col("b.docs") >= LEAST_DOCS, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    limits = both.select(F.col("a.lang").alias("g_lang"), F.col("a.source").alias("g_source"), *(pick(x).alias(x) for x in bounds))
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    sketch = written(sketches(rows.where("n_words > 0")), "sketches")
+    joined = rows.join(limits(sketch), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     rule = F.when(F.col("base_failed"), "base")
-    for m in SLACK:
-        rule = rule.when((F.col(m) < F.col(f"low_{m}")) | (F.col(m) > F.col(f"high_{m}")), m)
+    for m in MEASURES:
+        beyond = F.col(m) > F.col(f"high_{m}")
+        rule = rule.when(beyond | (F.col(m) < F.col(f"low_{m}")) if m in BOTH_ENDS else beyond, m)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", rule.isNull().alias("kept"), rule.alias("failed_rule"))

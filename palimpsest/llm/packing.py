@@ -1,13 +1,12 @@
 """Best-fit packing of documents into sequences, from partitions upwards.
 
 Every partition packs its pieces best-fit, longest first. Bins that are nearly
-full are done. Underfull bins go one level up, where fewer partitions pack them
-again as items, and so on until one partition is left, which finishes all. An
-item carries its pieces along, so no level has to look anything up.
-
-A partition hands on at most `carry` underfull bins, the emptiest ones; fuller
-ones beyond that are done as they are. So the last level's size has a bound, and
-no piece is ever dropped.
+full are done. All underfull bins go one level up, where they are dealt anew to as
+many partitions as their number asks for and packed again as items. So it goes on
+until one partition is left, or until a level hardly lessens the bins: as items are
+dealt at random, every partition has the same mix, and what finds no partner in one
+finds none in another. An item carries its pieces along, so no level has to look
+anything up, and a partition holds a bounded number of items and of pieces.
 
 Defined cases: null text is read as empty; a document's ids end with the
 separator, so an empty one is a piece of one token; texts of any length are
@@ -76,39 +75,40 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, fan_in: int = 8, slack: int = 2, carry: int = 4000) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, pieces_per_partition: int = 200_000, slack: int = 2, least_gain: float = 0.01) -> DataFrame:
+    """The pieces with sequence_id and offset. A level that lessens the underfull bins by less than least_gain is the last."""
 
-    def level(last: bool):
-        def run(batches):
-            items = [x for b in batches for x in zip(b["length"], b["parts"], strict=True)]
-            items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"] is None, x[1][0]["doc_id"] or 0, x[1][0]["piece"]))
+    def level(batches):
+        items = [x for b in batches for x in zip(b["length"], b["parts"], strict=True)]
+        items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"] is None, x[1][0]["doc_id"] or 0, x[1][0]["piece"]))
+        chosen = best_fit([n for n, _ in items], size)
+        for a in range(0, len(chosen), 1000):
             made = []
-            for chosen in best_fit([n for n, _ in items], size):
+            for bin_ in chosen[a : a + 1000]:
                 parts, at = [], 0
-                for i in chosen:
+                for i in bin_:
                     parts += [{**p, "offset": p["offset"] + at} for p in items[i][1]]
                     at += items[i][0]
                 made.append((at, parts))
-            made.sort(key=lambda x: x[0])
-            for a in range(0, len(made), 1000):
-                some = made[a : a + 1000]
-                yield {"done": [last or n >= size - slack or a + i >= carry for i, (n, _) in enumerate(some)], "length": [n for n, _ in some], "parts": [p for _, p in some]}
-
-        return run
+            yield {"done": [n >= size - slack for n, _ in made], "length": [n for n, _ in made], "parts": [p for _, p in made]}
 
     whole = F.array(F.struct(*(x.split(":")[0] for x in PIECE.split(", ")), F.lit(0).cast("bigint").alias("offset"))).alias("parts")
     items = cut.where(F.col("length") < size).select("length", whole)
     finished = [cut.where(F.col("length") >= size).select(F.lit(True).alias("done"), "length", whole)]
-    n = max(1, -(-items.count() // items_per_partition))
+    before = items.count()
+    n = max(1, -(-before // items_per_partition))
     while True:
         # Dealt by row number, not by document: no key can gather many rows.
         dealt = items.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())).repartition(n, "deal").select("length", "parts")
-        packed = written(arrow_map(dealt, level(n == 1), _BIN), "bins")
+        packed = written(arrow_map(dealt, level, _BIN), "bins")
         finished.append(packed.where("done"))
-        if n == 1:
+        items = packed.where("not done").select("length", "parts")
+        left = items.agg(F.count("*").alias("bins"), F.sum(F.size("parts")).alias("pieces")).first()
+        if n == 1 or left["bins"] > (1 - least_gain) * before:
+            finished.append(packed.where("not done"))
             break
-        items, n = packed.where("not done").select("length", "parts"), -(-n // fan_in)
+        before = left["bins"]
+        n = max(1, -(-before // items_per_partition), -(-(left["pieces"] or 0) // pieces_per_partition))
     out = finished[0]
     for x in finished[1:]:
         out = out.unionByName(x)

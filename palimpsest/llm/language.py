@@ -1,19 +1,21 @@
 """Language identification by character trigrams in bit-sliced Bloom filters.
 
-All languages share one filter: a slot holds a word with one bit for each
-language. Three slots belong to a trigram; the bitwise AND of their words names
-every language that (perhaps) has the trigram. A document's set bits are summed
-for each language, each sum is corrected for that language's rate of false
-positives, and the largest share of the document's trigrams decides.
+All languages share one filter: a slot holds a bit for each language, in as many
+words as there are languages for. Three slots belong to a trigram; the bitwise AND of
+their words names every language that (perhaps) has the trigram. A document's set
+bits are summed for each language, each sum is corrected for that language's rate of
+false positives, and the largest share of the document's trigrams decides.
 
 Fitting uses about `docs_per_language` labelled documents of each language, picked
-by a hash of doc_id (all of them if there are fewer); their whole texts count.
+by a hash of doc_id and text (all of them if there are fewer); their whole texts
+count. A language's trigrams are those that make up `least_share` of its sample or
+more, so they are at most 1 / least_share; the filter has twelve slots for each
+trigram of the richest language.
 
 Defined cases: null text and text without letters give `und`, score 0; so does
 everything if there is nothing to learn from; at a tie the first language in
 alphabetical order wins; texts are read whole; repeated rows are answered once
-each; other columns are ignored. At most 64 languages, the most frequent ones,
-are told apart.
+each and learnt from once; rows of null doc_id are picked by their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, batch_map, mix, pick
+from palimpsest.llm.common import arrow_map, batch_map, mix, pick, written
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SLICE = 1 << 18  # characters handled at once
@@ -47,39 +49,45 @@ def trigram_hashes(chars: str) -> np.ndarray:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # rows of words: language i is bit i % (bits of a word) of row i // (bits of a word)
     false_rates: np.ndarray
 
     @classmethod
-    def build(cls, grams: dict[str, list[str]], bits: int = 18) -> Filters:
+    def build(cls, grams: dict[str, list[str]], bits: int | None = None) -> Filters:
         """grams: the trigrams of each language."""
         languages = sorted(grams)
+        most = max((len(g) for g in grams.values()), default=0)
+        bits = min(21, max(16, (12 * most - 1).bit_length())) if bits is None else bits
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        slots = np.zeros(1 << bits, kind)
+        width = 8 * kind().itemsize
+        slots = np.zeros((max(1, -(-len(languages) // width)), 1 << bits), kind)
+        filled = []
         for i, lang in enumerate(languages):
-            h = np.concatenate([trigram_hashes(g) for g in grams[lang]]) if grams[lang] else np.zeros(0, np.uint64)
-            for at in cls._places(h, bits):
-                slots[at] |= kind(1 << i)
-        filled = np.array([((slots >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
-        return cls(languages, slots, filled**3)
+            row, bit = slots[i // width], kind(1 << i % width)
+            for at in cls._places(np.concatenate([trigram_hashes(g) for g in grams[lang]] or [np.zeros(0, np.uint64)]), bits):
+                row[at] |= bit
+            filled.append(np.count_nonzero(row & bit) / len(row))
+        return cls(languages, slots, np.array(filled) ** 3)
 
     @staticmethod
     def _places(h: np.ndarray, bits: int):
         mask = np.uint64((1 << bits) - 1)
-        return (h & mask, (h >> np.uint64(20)) & mask, (h >> np.uint64(44)) & mask)
+        return (h & mask, (h >> np.uint64(21)) & mask, (h >> np.uint64(42)) & mask)
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For texts that letters() returned, none empty: the corrected share of trigrams in each language."""
         sizes = np.array([len(t) - 2 for t in texts])
         h = trigram_hashes("".join(texts))
-        a, b, c = self._places(h, int(len(self.slots)).bit_length() - 1)
-        words = self.slots[a] & self.slots[b] & self.slots[c]
+        a, b, c = self._places(h, self.slots.shape[1].bit_length() - 1)
         starts = np.cumsum([0, *(sizes[:-1] + 2)])  # the two trigrams that span a border are cut off below
-        kind, out = words.dtype.type, np.zeros((len(texts), len(self.languages)))
-        for i in range(len(self.languages)):
-            run = np.concatenate([[0], np.cumsum((words >> kind(i)) & kind(1), dtype=np.int64)])
-            hits = run[starts + sizes] - run[starts]
-            out[:, i] = np.clip((hits / sizes - self.false_rates[i]) / (1 - self.false_rates[i]), 0, 1)
+        kind, out = self.slots.dtype.type, np.zeros((len(texts), len(self.languages)))
+        width = 8 * kind().itemsize
+        for first, row in zip(range(0, len(self.languages), width), self.slots, strict=True):
+            words = row[a] & row[b] & row[c]
+            for i in range(first, min(first + width, len(self.languages))):
+                run = np.concatenate([[0], np.cumsum((words >> kind(i - first)) & kind(1), dtype=np.int64)])
+                hits = run[starts + sizes] - run[starts]
+                out[:, i] = np.clip((hits / sizes - self.false_rates[i]) / (1 - self.false_rates[i]), 0, 1)
         return out, sizes
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -102,16 +110,16 @@ class Filters:
         return langs, scores
 
 
-def fit(docs: DataFrame, docs_per_language: int = 2000, grams_per_language: int = 6000) -> Filters:
-    """Learns from text and lang of docs; rows without either are passed over. Only counts of the sampled rows' trigrams leave the executors."""
-    labelled = docs.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    if not counts:
-        return Filters.build({})
-    share = F.lit(None)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(docs_per_language / n)).otherwise(share)
-    sample = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < share)
+def sample(docs: DataFrame, share: DataFrame) -> DataFrame:
+    """lang and text of labelled rows, picked by a hash of doc_id and text as share (lang, share) says; equal rows once."""
+    picked = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6 < F.col("share"))
+    return picked.select("lang", "doc_id", "text").distinct().select("lang", "text")
+
+
+def fit(docs: DataFrame, docs_per_language: int = 2000, least_share: float = 1 / 20_000) -> Filters:
+    """Learns from text and lang of docs; rows without either are passed over. Only the languages and their trigrams leave the executors."""
+    labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    share = labelled.groupBy("lang").agg((docs_per_language / F.count("*")).alias("share"))
 
     def count(batches):
         found: dict[str, Counter] = defaultdict(Counter)
@@ -122,16 +130,14 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, grams_per_language: int
         for lang, c in found.items():
             yield {"lang": [lang] * len(c), "gram": list(c), "n": list(c.values())}
 
-    total = arrow_map(sample.select("lang", "text"), count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams: dict[str, list[str]] = {lang: [] for lang in counts}
-    # One list of bounded length for each of at most 64 languages.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for r in total.withColumn("rank", rank).where(F.col("rank") <= grams_per_language).collect():
-        top[r["lang"]].append((r["gram"], r["n"]))
-    for lang, found in top.items():
-        seen = sum(n for _, n in found)
-        grams[lang] = [g for g, n in found if n * 200_000 >= seen]
+    total = arrow_map(sample(labelled, share), count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = written(total, "trigrams")
+    seen = total.groupBy("lang").agg(F.sum("n").alias("seen"))
+    kept = total.join(F.broadcast(seen), "lang").where(F.col("n") >= least_share * F.col("seen"))
+    # A language whose sample has no trigram still is one that was seen.
+    grams: dict[str, list[str]] = {r["lang"]: [] for r in share.collect()}
+    for r in kept.select("lang", "gram").collect():
+        grams[r["lang"]].append(r["gram"])
     return Filters.build(grams)
 
 

@@ -3,14 +3,21 @@
 Every run of `k` code points is hashed; of each `window` consecutive hashes the
 least is kept, the rightmost one at ties, with its position. Two texts that share
 `k + window - 1` code points in a row are sure to share a kept hash, wherever
-the stretch lies.
+the stretch lies. A text of fewer than `8 * window` hashes has a window of an eighth
+of them, so that short texts keep several; what a longer window keeps, a shorter one
+keeps as well, so the guarantee stands.
 
 Defined cases: null text is read as empty and has an empty fingerprint; a text
 shorter than `k` is hashed whole, one with fewer hashes than a window keeps the
 least of them; equal texts have equal fingerprints. Two empty fingerprints are
 alike (1), an empty and another one are not (0). Texts are read whole. Rows with
-equal doc_id follow each other by text, a null doc_id comes first. Other columns
-are ignored.
+equal doc_id follow each other by a hash of their text, a null doc_id comes first.
+Other columns are ignored.
+
+The next document's text has to meet this one's, so texts are exchanged once, by
+ranges of (doc_id, hash of text): rows of one id, or without any, are split as well.
+A task reads its sorted range as a stream, two texts at a time; beyond
+`_MOST_PARTS` ranges they grow with the data, its memory does not.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     h = kgram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k)
     # Upper half: hash. Lower half: smaller the further right, so that the least value is the rightmost least hash.
     order = (h & _HIGH) | (_LOW - np.arange(len(h), dtype=np.uint64))
-    at = _LOW - (sliding(order, min(window, len(h))) & _LOW)
+    at = _LOW - (sliding(order, max(1, min(window, len(h) // 8))) & _LOW)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return h[at], at
 
@@ -77,34 +84,36 @@ _MOST_PARTS = 20_000
 def in_order(docs: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, text, tail: partitions of consecutive documents, sorted; after each partition's own rows those that follow its last one (`tail`).
 
-    The cuts are quantiles of doc_id, so a recomputed task gets the same rows. Only the cuts and the first id of each
-    partition, one number each, reach the driver.
+    The cuts are quantiles of doc_id, so a recomputed task gets the same rows. Only the cuts and the first key of each
+    partition, a few numbers each, reach the driver.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"))
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.xxhash64("text").alias("h"))
     size = keyed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     n = max(1, min(size["n"], _MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // partition_bytes))))
-    cuts = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("c")).first()["c"] if size["n"] else []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    keyed = keyed.withColumn("part", _rank("k", cuts) if cuts else F.lit(0))
-    first = sorted((r["part"], r["k"]) for r in keyed.groupBy("part").agg(F.min("k").alias("k")).collect())
-    follows = spark.createDataFrame([(first[(i + 1) % len(first)][1], p) for i, (p, _) in enumerate(first)], "k bigint, before int")
-    follows = follows.groupBy("k").agg(F.collect_list("before").alias("before"))
+    cuts = sorted(keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("c")).first()["c"]) if n > 1 else []
+    keyed = keyed.withColumn("part", _rank(cuts) if cuts else F.lit(0))
+    first = sorted((r["part"], *r["at"]) for r in keyed.groupBy("part").agg(F.min(F.struct("k", "h")).alias("at")).collect())
+    follows = spark.createDataFrame([(*first[(i + 1) % len(first)][1:], p) for i, (p, _, _) in enumerate(first)], "k bigint, h bigint, before int")
+    follows = follows.groupBy("k", "h").agg(F.collect_list("before").alias("before"))
     own = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")))
     tails = F.transform(F.coalesce("before", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("tail")))
-    rows = keyed.join(F.broadcast(follows), "k", "left").select("doc_id", "text", "k", F.explode(F.concat(own, tails)).alias("x")).select("doc_id", "text", "k", "x.part", "x.tail")
-    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("tail", "k", "text").select("doc_id", "text", "tail")
+    rows = keyed.join(F.broadcast(follows), ["k", "h"], "left").select("doc_id", "text", "k", "h", F.explode(F.concat(own, tails)).alias("x")).select("doc_id", "text", "k", "h", "x.part", "x.tail")
+    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("tail", "k", "h", "text").select("doc_id", "text", "tail")
 
 
-def _rank(column: str, cuts: list[int]):
-    """How many of the sorted cuts are at or below column."""
+def _rank(cuts: list[int]):
+    """The range of a row (k, h) between sorted cuts of k; a cut that stands r times has r ranges by h, which spreads evenly."""
     bounds = np.array(cuts, np.int64)
 
     @F.pandas_udf(IntegerType())
-    def rank(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
+    def rank(k: pd.Series, h: pd.Series) -> pd.Series:
+        below, upto = (np.searchsorted(bounds, k.to_numpy(), side).astype(np.uint64) for side in ("left", "right"))
+        high = (h.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        inside = (high * (upto - below) >> np.uint64(32)) + np.uint64(1)
+        return pd.Series((below + np.where(upto > below, inside, np.uint64(0))).astype(np.int32))
 
-    return rank(column)
+    return rank("k", "h")
 
 
 def with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from palimpsest.llm import common, fingerprint
 
@@ -17,7 +18,7 @@ def test_winnow_keeps_the_rightmost_least_of_each_window():
             continue
         units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         h = [int(common.kgram_hashes(units[i : i + k], k)[0]) for i in range(len(text) - k + 1)]
-        size = min(w, len(h))
+        size = max(1, min(w, len(h) // 8))
         want = set()
         for i in range(len(h) - size + 1):
             least = min(x >> 32 for x in h[i : i + size])
@@ -35,7 +36,8 @@ def test_shared_stretch_shares_a_hash():
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode()))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1] or "")))
     out = []
     for i, (doc_id, text) in enumerate(order):
         text, nxt = text or "", order[(i + 1) % len(order)][1] or ""
@@ -49,7 +51,8 @@ def brute(rows):
 def test_next_document_in_any_partitioning(spark):
     r = random.Random(3)
     rows = [(i, "".join(r.choices("abc éß", k=r.choice([0, 1, 3, 90, 400])))) for i in r.sample(range(10_000), 60)]
-    rows += [(rows[0][0], "another text"), (None, "no id"), (20_000, None), (20_001, rows[0][1])]
+    rows += [(rows[0][0], "another text"), (None, "no id"), (20_000, None), (20_001, rows[0][1]), (20_002, "x" * 300_000)]
+    rows += [(None, f"without an id {i}") for i in range(40)] + [(5000, f"of one id {i}") for i in range(40)]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id bigint, text string, tail int")
     want = sorted(map(str, brute(rows)))
     for n in ("1", "4", "13"):
@@ -59,6 +62,25 @@ def test_next_document_in_any_partitioning(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_rows_of_one_id_are_split(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 20) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    sizes = [r["count"] for r in fingerprint.in_order(docs).groupBy(fingerprint.F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) >= 25 and max(sizes) <= 250
+
+
+def test_short_texts_keep_several_hashes():
+    r = random.Random(6)
+    for n in (60, 100, 200, 400):
+        text = "".join(r.choices("abcdefgh ", k=n))
+        edited = text[: n - n // 4] + "".join(r.choices("abcdefgh ", k=n // 4))
+        assert 0 < fingerprint.likeness(fingerprint.winnow(text)[0], fingerprint.winnow(edited)[0]) < 1
+    long = "".join(r.choices("abcdefgh ", k=5000))
+    assert len(fingerprint.winnow(long)[0]) < 5000 / 20
+
+
 def test_edge_cases(spark):
     assert fingerprint.likeness(*(np.zeros(0, np.uint64),) * 2) == 1.0
     one = spark.createDataFrame([(7, "abcdefgh")], "doc_id bigint, text string")

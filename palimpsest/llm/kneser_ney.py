@@ -5,7 +5,8 @@ every document that the labels trust, none left out, so the counts grow with the
 corpus. Discounts, continuation counts and back-off weights are aggregations and
 joins of count tables.
 
-Scoring joins counts by shards: documents are dealt into blocks of bounded size;
+Scoring joins counts by shards: documents are dealt into blocks of bounded size, rows of a frequent id (or of
+none) into several;
 each block asks once for each of its distinct n-grams; these requests meet the
 model's shards in a join on the n-gram; the answers go back to the block, where
 every character of its documents is looked up. No task holds the whole model.
@@ -25,10 +26,11 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, pick, written
@@ -61,17 +63,16 @@ def without(m: int, fold: int) -> int:
     return m + _HELD * (fold + 1)
 
 
-def packed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, m (the language's key), z (compressed text) and more: what is exchanged instead of texts."""
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, m (the language's key), h (a hash of the text) and z (compressed text): what is exchanged instead of texts."""
 
     def run(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield {**{x: b[x] for x in b if x != "text"}, "z": [c.compress(t.encode()) for t in b["text"]]}
 
-    rows = pick(docs, "doc_id", "lang", "text", *more).withColumn("m", F.expr(_LANG)).select("doc_id", "m", "text", *more)
-    types = dict(rows.dtypes)
-    return arrow_map(rows, run, ", ".join(f"{c} {types[c]}" for c in ("doc_id", "m", *more)) + ", z binary")
+    rows = pick(docs, "doc_id", "lang", "text").select("doc_id", F.expr(_LANG).alias("m"), F.xxhash64("text").alias("h"), "text")
+    return arrow_map(rows, run, "doc_id bigint, m bigint, h bigint, z binary")
 
 
 class _Counts:
@@ -104,22 +105,47 @@ class _Counts:
         return self.done.items()
 
 
-def _block_of(docs: DataFrame, block_bytes: int) -> tuple[int, object]:
-    """Number of blocks and the block of a row, by doc_id."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    return blocks, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+@dataclass
+class Dealing:
+    """How rows are dealt into blocks: by doc_id, and rows of an id that would fill several blocks (null is one) by their text as well."""
 
+    blocks: int
+    hot: DataFrame
 
-def block_grams(docs: DataFrame, good: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    @classmethod
+    def of(cls, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Dealing:
+        """Ids that are split have more than 4 blocks' rows and 1 in 100,000 of all, so they are few, whatever the data."""
+        size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        blocks = max(1, -(-(size or 0) // block_bytes))
+        rows = max(1, n // blocks)
+        hot = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > max(4 * rows, n // 100_000))
+        return cls(blocks, written(hot.select(F.col("doc_id").alias("hot_id"), F.ceil(F.col("c") / rows).cast("int").alias("parts")), "hot"))
+
+    def _block(self, part: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", part), F.lit(self.blocks)).cast("int").alias("block")
+
+    def _with_parts(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+
+    def rows(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """docs (doc_id, h, a hash of the text, and columns) with their block."""
+        part = F.pmod("h", F.coalesce("parts", F.lit(1)).cast("bigint")).cast("int")
+        return self._with_parts(docs).select(self._block(part), "doc_id", *columns)
+
+    def ids(self, ids: DataFrame, *columns: Column) -> DataFrame:
+        """ids (doc_id), each in every block that has rows of it."""
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        return self._with_parts(ids).select("doc_id", each.alias("part")).select(self._block(F.col("part")), "doc_id", *columns)
+
+
+def block_grams(docs: DataFrame, good: DataFrame, dealing: Dealing) -> DataFrame:
     """block, m (model's key plus length), g, c: each n-gram that scoring a block looks at, once, and how often it ends in
     the block's trusted documents (full length only, else 0); in block -1, what models count but no document of the block
     looks at. One exchange by block brings documents and trusted ids together."""
-    blocks, block = _block_of(docs, block_bytes)
     none = F.lit(None)
-    ids = good.select(block.alias("block"), "doc_id", F.lit(0).alias("kind"), none.cast("bigint").alias("m"), none.cast("binary").alias("z"))
-    texts = packed(docs).select(block.alias("block"), "doc_id", F.lit(1).alias("kind"), "m", "z")
-    rows = ids.unionByName(texts).repartitionById(blocks, F.col("block")).sortWithinPartitions("doc_id", "kind")
+    ids = dealing.ids(good, F.lit(0).alias("kind"), none.cast("bigint").alias("m"), none.cast("binary").alias("z"))
+    texts = dealing.rows(packed(docs).withColumn("kind", F.lit(1)), "kind", "m", "z")
+    rows = ids.unionByName(texts).repartitionById(dealing.blocks, F.col("block")).sortWithinPartitions("doc_id", "kind")
 
     def run(batches):
         z, seen, learnt = zstandard.ZstdDecompressor(), _Counts(), _Counts()
@@ -273,18 +299,17 @@ class _Block:
         return out
 
 
-def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES, good: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, grams: DataFrame, model: DataFrame, dealing: Dealing, good: DataFrame | None = None) -> DataFrame:
     """doc_id, m, chars, logp, held_out: the language's key, number of characters and mean log probability of one (null: no model,
     or no character), under the whole model and, for ids in good, under the model without the text's fold.
 
-    grams: of block_grams, with the same documents and block size."""
-    blocks, block = _block_of(docs, block_bytes)
+    grams: of block_grams, with the same documents and dealing."""
     none = F.lit(None)
     answers = grams.where("block >= 0").join(model, ["m", "g"]).select("block", F.lit(0).alias("kind"), "m", "g", "logp", "bow", none.cast("bigint").alias("doc_id"), none.cast("binary").alias("z"))
-    texts = packed(docs).select(block.alias("block"), F.lit(2).alias("kind"), "m", none.cast("bigint").alias("g"), none.cast("float").alias("logp"), none.cast("float").alias("bow"), "doc_id", "z")
+    texts = dealing.rows(packed(docs), F.lit(2).alias("kind"), "m", none.cast("bigint").alias("g"), none.cast("float").alias("logp"), none.cast("float").alias("bow"), "z")
     both = answers.unionByName(texts)
     if good is not None:
-        both = both.unionByName(good.select(block.alias("block"), F.lit(1).alias("kind"), "doc_id"), allowMissingColumns=True)
+        both = both.unionByName(dealing.ids(good, F.lit(1).alias("kind")), allowMissingColumns=True)
 
     def run(batches):
         z, answers, block, trusted = zstandard.ZstdDecompressor(), defaultdict(list), None, set()
@@ -338,7 +363,7 @@ def score(docs: DataFrame, grams: DataFrame, model: DataFrame, block_bytes: int
                     size += len(texts[i])
         return mean
 
-    rows = both.repartitionById(blocks, F.col("block")).sortWithinPartitions("kind").drop("block")
+    rows = both.repartitionById(dealing.blocks, F.col("block")).sortWithinPartitions("kind").drop("block")
     return arrow_map(rows, run, "doc_id bigint, m bigint, chars bigint, logp double, held_out double")
 
 
@@ -350,10 +375,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold, kept; one row per document."""
     good = trusted_ids(labels)
-    grams = written(block_grams(docs, good), "grams")
+    dealing = Dealing.of(docs)
+    grams = written(block_grams(docs, good, dealing), "grams")
     counts = grams.where("c > 0").groupBy((F.col("m") - ORDER).alias("m"), "g").agg(F.sum("c").alias("c"))
     model = train(written(counts, "counts"))
-    scored = written(score(docs, grams.drop("c"), model, good=good), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
+    scored = written(score(docs, grams.drop("c"), model, dealing, good), "scores").withColumn("perplexity", F.exp(-F.col("logp")))
     unseen, own = (F.percentile_approx(p, quantile, 10_000) for p in (F.exp(-F.col("held_out")), F.col("perplexity")))
     limits = scored.join(good, "doc_id", "left_semi").groupBy("m").agg(F.coalesce(unseen, own).alias("threshold"))
     rows = scored.join(F.broadcast(limits), "m", "left")

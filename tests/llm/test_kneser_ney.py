@@ -75,11 +75,20 @@ def test_many_blocks_agree_with_one(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
     good = kn.trusted_ids(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     out = []
+    # A third of the rows share an id that is trusted, another third have none.
+    trusted = {r["doc_id"] for r in good.collect()}
+    one = next(d for d in docs if d[0] in trusted and d[1])
+    more = [(one[0], f"{one[1]} {i}", "en") for i in range(60)] + [(None, f"{one[1]} {i}", "de") for i in range(60)]
+    df = df.unionByName(spark.createDataFrame(more, df.schema))
     for size in (1 << 25, 900):
-        grams = kn.block_grams(df, good, size).cache()
+        dealing = kn.Dealing.of(df, size)
+        assert {r["hot_id"] for r in dealing.hot.collect()} == (set() if size > 900 else {one[0], None})
+        most = dealing.rows(kn.packed(df)).groupBy("block").count().agg({"count": "max"}).first()[0]
+        assert size > 900 or most < 30
+        grams = kn.block_grams(df, good, dealing).cache()
         counts = grams.where("c > 0").groupBy((grams.m - kn.ORDER).alias("m"), "g").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c")
-        rows = kn.score(df, grams.drop("c"), kn.train(counts), size).collect()
-        out.append(sorted((str(r["doc_id"]), r["chars"], round(r["logp"] or 0, 4)) for r in rows))
+        rows = kn.score(df, grams.drop("c"), kn.train(counts), dealing).collect()
+        out.append(sorted((str(r["doc_id"]), r["chars"], round(r["logp"] or 0, 3)) for r in rows))
     assert out[0] == out[1]
 
 

@@ -4,16 +4,20 @@ A document is the set of its runs of five words. In each of several runs a set i
 split recursively: a path is a list of shared tokens, and the path's own hash picks
 the next `FANOUT` tokens of the set, so similar sets follow the same paths. After
 `DEPTH` tokens the sets of a path form a bucket. A bucket over `limit` sets is
-split by further tokens; others are compared by brute force. With 2 tokens a step
-two sets of similarity 0.8 miss each other with a chance of about 0.03 a run;
-`RUNS` runs bring that to about 1e-6, below the target of 1e-5.
+split by further tokens; others are compared by brute force. `runs_for` says how many
+runs bring the chance that two sets of similarity 0.8 meet in none below the target
+(2 tokens a step: 0.03 a run, so four runs for 1e-5). The target is then measured: one
+more run, over all documents, is a probe, and the share of its finds that the runs
+before had missed estimates what they miss. Runs are repeated, each taking in what
+it finds, until that share is within the target.
 
 Within a bucket, sets are compared by a sketch of 128 bits (a pair of similarity
 0.8 passes but for about 1e-6). Members reached from one another through passing
 pairs form a candidate class; classes that share members are joined. Every class
 then gets its members' texts, once each, and the exact similarity of all its pairs
 decides the links. A class over `block` members is compared block by block in
-separate tasks, so none has to hold all of it.
+separate tasks, so none has to hold all of it; as links are counted exactly, that work
+grows with the square of the distinct sets of a class (copies cost nothing).
 
 Documents with equal sets are represented by one of them throughout, the one of
 least doc_id, so copies cost a row each, never a pair.
@@ -27,37 +31,30 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, mix, pick, written
+from palimpsest.llm.common import WordHashes, arrow_map, hot_join, mix, pick, written
 
 WORDS, LEAST = 5, (4, 5)  # similarity of 4/5 at least
-RUNS, DEPTH, FANOUT = 4, 2, 2
+DEPTH, FANOUT, RECALL = 2, 2, 1 - 1e-5
 SKETCH_BITS, SKETCH_DIFFERENT = 128, 30
 _FIRST = -(1 << 63)
 _U = np.uint64
 
 
-class _Words(dict):
-    """Hash of each word seen, up to a fixed number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
+_WORDS = WordHashes()
 _STEP = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """The set of hashes of n words in a row, ascending."""
-    w = (text or "").encode().split()
+def shingles(text: str | bytes | None, n: int = WORDS) -> np.ndarray:
+    """The set of hashes of n words in a row, ascending; of a text or its UTF-8 bytes."""
+    w = (text if isinstance(text, bytes) else (text or "").encode()).split()
     if not w:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
@@ -68,7 +65,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-_SEEDS = mix(np.arange(1, 64, dtype=np.uint64) * _STEP[0])
+_SEEDS = mix(np.arange(1, 256, dtype=np.uint64) * _STEP[0])
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -82,8 +79,33 @@ def extend(tokens: np.ndarray, paths: np.ndarray, fanout: int = FANOUT) -> np.nd
     return mix(paths[:, None] * _STEP[1] + tokens[at])
 
 
-def leaf_paths(tokens: np.ndarray, runs: int = RUNS, depth: int = DEPTH) -> np.ndarray:
-    paths = _SEEDS[:runs]
+def miss_chance(similarity: float, depth: int = DEPTH, fanout: int = FANOUT) -> float:
+    """Chance that two large sets share no path of a run: extinction of the branching process of the tokens that both pick."""
+
+    def shared_picks(a: int, b: int) -> list[float]:
+        """Chances of 0, 1, ... further shared picks once the sets have picked a and b; tokens come in order of hash."""
+        out = [0.0] * (fanout + 1)
+        if fanout in (a, b):
+            return [1.0, *out[1:]]
+        for chance, more, shift in ((similarity, shared_picks(a + 1, b + 1), 1), ((1 - similarity) / 2, shared_picks(a + 1, b), 0), ((1 - similarity) / 2, shared_picks(a, b + 1), 0)):
+            for i, p in enumerate(more[: fanout + 1 - shift]):
+                out[i + shift] += chance * p
+        return out
+
+    picks, gone = shared_picks(0, 0), 0.0
+    for _ in range(depth):
+        gone = sum(p * gone**i for i, p in enumerate(picks))
+    return gone
+
+
+def runs_for(recall: float = RECALL, depth: int = DEPTH, fanout: int = FANOUT) -> int:
+    """Runs that find a pair of the least similarity with that chance."""
+    return max(1, math.ceil(math.log(max(1 - recall, 1e-12)) / math.log(miss_chance(LEAST[0] / LEAST[1], depth, fanout))))
+
+
+def leaf_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, first: int = 0) -> np.ndarray:
+    """Paths of so many runs, from run number `first` on."""
+    paths = _SEEDS[first : first + runs]
     for _ in range(depth):
         paths = extend(tokens, paths).ravel()
     return np.unique(paths)
@@ -105,20 +127,21 @@ def _set_key(tokens: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, runs: int, depth: int) -> DataFrame:
-    """k1, k2 (which tell rows apart), set key, size, paths and sketch of every document; no set: null."""
+    """k1, k2 (which tell rows apart), set key, size, paths, the probe's paths and sketch of every document; no set: null."""
 
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("k1", "k2", "set", "n", "paths", "s1", "s2")}
+            out: dict[str, list] = {c: [] for c in ("k1", "k2", "set", "n", "paths", "probe", "s1", "s2")}
             for k1, k2, text in zip(b["k1"], b["k2"], b["text"], strict=True):
                 t = shingles(text)
                 s = sketch(t).view(np.int64) if len(t) else (0, 0)
-                values = (k1, k2, _set_key(t) if len(t) else None, len(t), leaf_paths(t, runs, depth).view(np.int64) if len(t) else None, s[0], s[1])
+                paths, probe = (leaf_paths(t, *how).view(np.int64) if len(t) else None for how in ((runs, depth), (1, depth, runs)))
+                values = (k1, k2, _set_key(t) if len(t) else None, len(t), paths, probe, s[0], s[1])
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
             yield out
 
-    return arrow_map(docs.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, set binary, n bigint, paths array<bigint>, s1 bigint, s2 bigint")
+    return arrow_map(docs.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, set binary, n bigint, paths array<bigint>, probe array<bigint>, s1 bigint, s2 bigint")
 
 
 def linked(s1: np.ndarray, s2: np.ndarray, n: np.ndarray, most: int = SKETCH_DIFFERENT) -> list[np.ndarray]:
@@ -188,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _exact_links(texts: DataFrame) -> DataFrame:
-    """texts: task, x, y, side, rep, copies, text, sorted by task and rep. Of blocks x and y of a class, per rep: (rep, links,
+    """texts: task, x, y, side, rep, copies, z (compressed text), sorted by task and rep. Of blocks x and y of a class, per rep: (rep, links,
     root) with links counted in documents and root the least rep reached within the task."""
 
     def close(rows, out):
@@ -198,7 +221,8 @@ def _exact_links(texts: DataFrame) -> DataFrame:
         rep = np.array([r[4] for r in rows], np.int64)
         copies = np.array([r[5] for r in rows], np.int64)
         side = np.array([r[3] for r in rows])
-        sets = [shingles(r[6]) for r in rows]
+        unpack = zstandard.ZstdDecompressor()
+        sets = [shingles(unpack.decompress(r[6])) for r in rows]
         size = np.array([len(s) for s in sets])
         token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(token, kind="stable")
@@ -242,7 +266,7 @@ def _exact_links(texts: DataFrame) -> DataFrame:
         rows, task = [], None
         for b in batches:
             out: dict[str, list] = {"rep": [], "links": [], "root": []}
-            for r in zip(*(b[c] for c in ("task", "x", "y", "side", "rep", "copies", "text")), strict=True):
+            for r in zip(*(b[c] for c in ("task", "x", "y", "side", "rep", "copies", "z")), strict=True):
                 if r[0] != task:
                     close(rows, out)
                     rows, task = [], r[0]
@@ -294,36 +318,77 @@ def _split(keyed: DataFrame, reps: DataFrame, members: DataFrame, limit: int, mo
     return small.unionByName(members.select(F.explode(pairs).alias("bucket"), "rep", "n", "s1", "s2"))
 
 
-def similar(docs: DataFrame, runs: int = RUNS, depth: int = DEPTH, limit: int = 50_000, extra_depth: int = 6, block: int = 1500, block_shingles: int = 1_000_000) -> DataFrame:
-    """One row per document: k1, k2 (doc_id, null as the least number, and hash of its text), class_k1 (of the documents with
-    an equal set, the least k1), group_k1 and group_k2 (the first document of those connected by links), n_links (other
-    documents of similarity 0.8 or more). A document without a set is alone."""
-    spark = docs.sparkSession
-    keyed = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_FIRST)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
-    rows = written(_sets(keyed, runs, depth), "sets")
-    same = [F.any_value(c).alias(c) for c in ("n", "s1", "s2", "paths")]
-    reps = rows.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2")).alias("one"), *same)
-    reps = written(reps.select("set", "copies", "one.*", "n", "s1", "s2", "paths").withColumn("rep", F.monotonically_increasing_id()), "reps")
-    paths = reps.select("rep", "n", "s1", "s2", F.explode("paths").alias("bucket"))
+def _bucket_links(keyed: DataFrame, reps: DataFrame, paths: DataFrame, limit: int, extra_depth: int, name: str) -> DataFrame:
+    """(a, b): members of classes within the buckets of paths (rep, n, s1, s2, bucket), each with the class's least."""
     sizes = paths.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("w1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("w2")).where("size > 1")
     # Buckets of the same members need one comparison.
     chosen = written(sizes.groupBy("size", "w1", "w2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     members = paths.join(chosen, "bucket")
-    if (chosen.agg(F.max("size")).first()[0] or 0) > limit:
+    most, total = chosen.agg(F.max("size"), F.sum("size")).first()
+    if (most or 0) > limit:
         members = _split(keyed, reps, members, limit, extra_depth)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(keyed, (total or 0) // 500_000)
     dealt = members.select("bucket", "rep", "n", "s1", "s2").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    classes = written(components(_bucket_edges(dealt).selectExpr("rep a", "root b")), "classes")
+    return written(_bucket_edges(dealt).where("rep != root").selectExpr("rep a", "root b"), name)
+
+
+def _parts(df: DataFrame, wanted: int) -> int:
+    """Tasks for an exchange: as many as the session asks for, or as the data does."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 100_000))
+
+
+def _run_paths(keyed: DataFrame, reps: DataFrame, run: int, depth: int) -> DataFrame:
+    """rep, n, s1, s2, bucket of one further run, from the texts."""
+
+    def paths(batches):
+        for b in batches:
+            yield {**{c: b[c] for c in ("rep", "n", "s1", "s2")}, "paths": [leaf_paths(shingles(t), 1, depth, run).view(np.int64) for t in b["text"]]}
+
+    rows = _texts(keyed, reps.select("rep", "n", "s1", "s2", "k1", "k2")).select("rep", "n", "s1", "s2", "text").dropDuplicates(["rep"])
+    return arrow_map(rows, paths, "rep bigint, n bigint, s1 bigint, s2 bigint, paths array<bigint>").select("rep", "n", "s1", "s2", F.explode("paths").alias("bucket"))
+
+
+def _classes(keyed: DataFrame, reps: DataFrame, runs: int, depth: int, limit: int, extra_depth: int, recall: float) -> DataFrame:
+    """(node, root) of the candidate classes: those of the first runs, and of further ones until one finds next to nothing new."""
+    of = lambda paths: reps.select("rep", "n", "s1", "s2", F.explode(paths).alias("bucket"))
+    classes = written(components(_bucket_links(keyed, reps, of("paths"), limit, extra_depth, "linked")), "classes")
+    paths = of("probe")
+    for run in range(runs, len(_SEEDS)):
+        found = _bucket_links(keyed, reps, paths, limit, extra_depth, "probe")
+        root = lambda c: classes.selectExpr(f"node {c}", f"root {c}_root")  # noqa: E731, B023
+        seen = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        new = written(seen.where("a != b"), "missed")
+        n, missed = found.count(), new.count()
+        if missed:
+            classes = written(components(classes.selectExpr("node a", "root b").unionByName(new)), "classes")
+        if missed <= (1 - recall) * n:
+            break
+        paths = written(_run_paths(keyed, reps, run + 1, depth), "paths")
+    return classes
+
+
+def similar(docs: DataFrame, recall: float = RECALL, runs: int | None = None, depth: int = DEPTH, limit: int = 50_000, extra_depth: int = 6, block: int = 3000, block_shingles: int = 2_000_000) -> DataFrame:
+    """One row per document: k1, k2 (doc_id, null as the least number, and hash of its text), class_k1 (of the documents with
+    an equal set, the least k1), group_k1 and group_k2 (the first document of those connected by links), n_links (other
+    documents of similarity 0.8 or more). A document without a set is alone. runs: those before the first probe, by default as recall asks for."""
+    runs = runs or runs_for(recall, depth)
+    keyed = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_FIRST)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
+    rows = written(_sets(keyed, runs, depth), "sets")
+    same = [F.any_value(c).alias(c) for c in ("n", "s1", "s2", "paths", "probe")]
+    reps = rows.where("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2")).alias("one"), *same)
+    reps = written(reps.select("set", "copies", "one.*", "n", "s1", "s2", "paths", "probe").withColumn("rep", F.monotonically_increasing_id()), "reps")
+    classes = _classes(keyed, reps, runs, depth, limit, extra_depth, recall)
     in_class = classes.selectExpr("node rep", "root class").unionByName(classes.selectExpr("root rep", "root class").distinct())
-    in_class = in_class.join(reps.select("rep", "copies", "n", "k1", "k2"), "rep")
+    in_class = written(in_class.join(reps.select("rep", "copies", "n", "k1", "k2"), "rep"), "in_class")
     # Texts of the members, each once; blocks of large classes meet in pairs.
     counted = in_class.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    counted = written(counted.join(in_class.groupBy("class").agg(F.sum("n").alias("shingles"), F.count("*").alias("size")), "class"), "counted")
+    texts = _compressed(_texts(keyed, hot_join(in_class, counted, ["class"], "size").select("rep", "copies", "k1", "k2", "class", "blocks")))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), (k < own).cast("int").alias("side")))
-    dealt = in_class.join(counted, "class").select("rep", "copies", "k1", "k2", "class", F.explode(meets).alias("m"))
-    texts = _texts(keyed, dealt).select(F.xxhash64("class", "m.x", "m.y").alias("task"), "class", "m.x", "m.y", "m.side", "rep", "copies", "text")
-    texts = texts.repartition(parts, "task").sortWithinPartitions("task", "class", "rep").drop("class")
-    exact = written(_exact_links(texts), "links")
+    dealt = texts.select("rep", "copies", "z", "class", F.explode(meets).alias("m")).select(F.xxhash64("class", "m.x", "m.y").alias("task"), "class", "m.x", "m.y", "m.side", "rep", "copies", "z")
+    parts = _parts(keyed, (counted.agg(F.sum(F.col("blocks") * F.col("shingles"))).first()[0] or 0) // block_shingles)
+    exact = written(_exact_links(dealt.repartition(parts, "task").sortWithinPartitions("task", "class", "rep").drop("class")), "links")
     total = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     group = written(components(exact.where("rep != root").selectExpr("rep a", "root b")), "groups").selectExpr("node rep", "root")
     known = reps.select("set", "rep", "k1", "k2", "copies").join(total, "rep", "left").join(group, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -333,6 +398,17 @@ def similar(docs: DataFrame, runs: int = RUNS, depth: int = DEPTH, limit: int =
     return out.select("k1", "k2", F.coalesce("class_k1", "k1").alias("class_k1"), F.coalesce("group_k1", "k1").alias("group_k1"), F.coalesce("group_k2", "k2").alias("group_k2"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("set").isNotNull().alias("has_set"))
 
 
+def _compressed(texts: DataFrame) -> DataFrame:
+    """texts (rep, copies, class, blocks, text) with z for text."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield {**{c: b[c] for c in ("rep", "copies", "class", "blocks")}, "z": [pack.compress(t.encode()) for t in b["text"]]}
+
+    return arrow_map(texts.select("rep", "copies", "class", "blocks", "text"), run, "rep bigint, copies bigint, class bigint, blocks int, z binary")
+
+
 def similar_digest(docs: DataFrame, **how) -> DataFrame:
     """The columns that op5 returns, one row per document: doc_id, class_id, group_id, n_links."""
     back = lambda c: F.when(F.col(c) != _FIRST, F.col(c))

@@ -48,7 +48,7 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("how", [{}, {"limit": 4, "extra_depth": 2, "block": 3}])
+@pytest.mark.parametrize("how", [{}, {"limit": 4, "extra_depth": 2, "block": 3}, {"runs": 1, "block_shingles": 300}, {"limit": 2, "extra_depth": 6}])
 def test_matches_brute_force(spark, how):
     rows = corpus(7)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, k1 int")
@@ -57,6 +57,40 @@ def test_matches_brute_force(spark, how):
     assert sum(r[3] for r in got) > 30
 
 
+def test_runs_follow_from_the_target():
+    assert abs(jaccard.miss_chance(0.8) - 0.0325) < 1e-3 and jaccard.runs_for(1 - 1e-5) == 4
+    assert jaccard.runs_for(0.9) == 1 and jaccard.runs_for(1 - 1e-9) > 4 and jaccard.miss_chance(1.0) == 0
+    # Against pairs of sets of just that similarity.
+    r = random.Random(5)
+    met = [0, 0]
+    for i in range(1500):
+        t = jaccard.np.array(r.sample(range(1 << 60), 220), jaccard.np.uint64)
+        a, b = jaccard.np.sort(t[:200]), jaccard.np.sort(t[20:])
+        met[0] += not set(jaccard.leaf_paths(a, 1, 2, i % 50).tolist()) & set(jaccard.leaf_paths(b, 1, 2, i % 50).tolist())
+        # What a bucket that is too large does: six further tokens.
+        long = [set(jaccard.leaf_paths(x, 1, 8, i % 50).tolist()) for x in (a, b)]
+        met[1] += not long[0] & long[1]
+    want = [jaccard.miss_chance(180 / 220, depth) for depth in (2, 8)]
+    assert abs(met[0] / 1500 - want[0]) < 0.015 and abs(met[1] / 1500 - want[1]) < 0.02
+    assert want[1] ** jaccard.runs_for() < 2e-5
+
+
+def test_runs_are_repeated_until_one_finds_nothing_new(spark, monkeypatch):
+    """Starting from one run that sees nothing, further runs still bring all links."""
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = []
+    links = jaccard._bucket_links
+
+    def counted(keyed, reps, paths, limit, extra_depth, name):
+        made.append(name)
+        return links(keyed, reps, paths.where("false") if name == "linked" else paths, limit, extra_depth, name)
+
+    monkeypatch.setattr(jaccard, "_bucket_links", counted)
+    got = sorted(tuple(r) for r in jaccard.similar_digest(docs, runs=1).collect())
+    assert got == sorted(brute(rows)) and len(made) >= 3
+
+
 def test_a_chain_becomes_one_component(spark):
     n = 40
     order = list(range(n))

@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,30 +49,37 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs one task.
 
-    kept: also beyond the scratch() around it. What the finished step exchanged is then garbage; collecting it lets Spark delete those files before the next step.
+    kept: also beyond the scratch() around it. The table goes when the application ends. What the finished step exchanged is then
+    garbage; collecting it lets Spark delete those files before the next step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH and not kept:
-        _SCRATCH[-1].append(path)
+    if (around := _SCRATCH.get()) is not None and not kept:
+        around.append(path)
     df.write.parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SCRATCH: list[list[str]] = []
+#: Paths written inside the innermost scratch(); each thread has its own.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end; nothing that reads them may be used after it."""
-    _SCRATCH.append([])
+    paths: list[str] = []
+    before = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
-            _file_system(spark, path)[0].delete(_file_system(spark, path)[1], True)
+        _SCRATCH.reset(before)
+        for path in paths:
+            fs, p = _file_system(spark, path)
+            fs.delete(p, True)
 
 
 def _file_system(spark: SparkSession, path: str):

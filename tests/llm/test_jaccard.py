@@ -91,6 +91,20 @@ def test_runs_are_repeated_until_one_finds_nothing_new(spark, monkeypatch):
     assert got == sorted(brute(rows)) and len(made) >= 3
 
 
+def test_very_long_texts(spark):
+    """Sets of more shingles than a sketch takes at once, and classes that are split by shingles."""
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**9)}" for _ in range(30_000)]
+    copy, part = list(base), base[:24_500]
+    for i in r.sample(range(30_000), 300):
+        copy[i] = "x"
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(part)), (4, " ".join(base[:20_000])), (5, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (4, 4, 1, 1), (5, 5, 5, 0)]
+    assert sorted(tuple(x) for x in jaccard.similar_digest(docs).collect()) == want == sorted(brute(rows))
+    assert sorted(tuple(x) for x in jaccard.similar_digest(docs, block_shingles=30_000).collect()) == want
+
+
 def test_a_chain_becomes_one_component(spark):
     n = 40
     order = list(range(n))

@@ -41,6 +41,14 @@ def test_counts_match_brute_force_and_no_python_runs(spark):
     assert "Python" not in rules.measured(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_very_long_text(spark):
+    r = random.Random(12)
+    w = ["".join(r.choices("abcdefgh#", k=r.randint(1, 6))) for _ in range(60_000)]
+    text = " ".join(w + w[100:400]) + "\n" + "again\n" * 500
+    (x,) = rules.judged(spark.createDataFrame([(1, text, "en", "s")], "doc_id bigint, text string, lang string, source string")).collect()
+    assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"], x["base_failed"]) == brute(text)
+
+
 def six(v):
     cleared = max(0, v.bit_length() - 6)
     return v >> cleared << cleared

@@ -7,9 +7,9 @@ the next `FANOUT` tokens of the set, so similar sets follow the same paths. Afte
 split by further tokens; others are compared by brute force. `runs_for` says how many
 runs bring the chance that two sets of similarity 0.8 meet in none below the target
 (2 tokens a step: 0.03 a run, so four runs for 1e-5). The target is then measured: one
-more run, over all documents, is a probe, and the share of its finds that the runs
-before had missed estimates what they miss. Runs are repeated, each taking in what
-it finds, until that share is within the target.
+more run, over all documents, is a probe, and the share of its finds that are links
+(by their texts) and that the runs before had missed estimates what they miss. Runs
+are repeated, each taking in what it finds, until that share is within the target.
 
 Within a bucket, sets are compared by a sketch of 128 bits (a pair of similarity
 0.8 passes but for about 1e-6). Members reached from one another through passing
@@ -144,49 +144,54 @@ def _sets(docs: DataFrame, runs: int, depth: int) -> DataFrame:
     return arrow_map(docs.select("k1", "k2", "text"), run, "k1 bigint, k2 bigint, set binary, n bigint, paths array<bigint>, probe array<bigint>, s1 bigint, s2 bigint")
 
 
-def linked(s1: np.ndarray, s2: np.ndarray, n: np.ndarray, most: int = SKETCH_DIFFERENT) -> list[np.ndarray]:
-    """Classes of members that reach one another through pairs of like sketches and like sizes. A member once reached is not compared again."""
+def linked(s1: np.ndarray, s2: np.ndarray, n: np.ndarray, most: int = SKETCH_DIFFERENT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Classes of members that reach one another through pairs of like sketches and like sizes, each with the member that reached
+    it. A member once reached is not compared again."""
     left, out = np.arange(len(s1)), []
     while len(left):
-        front, left, found = [left[0]], left[1:], [left[:1]]
+        front, found, by = [left[0]], [left[:1]], [left[:1]]
+        left = left[1:]
         while front and len(left):
             i = front.pop()
             ok = np.bitwise_count(s1[left] ^ s1[i]) + np.bitwise_count(s2[left] ^ s2[i]) <= most
             ok &= (5 * n[left] >= 4 * n[i]) & (5 * n[i] >= 4 * n[left])
             if ok.any():
                 found.append(left[ok])
+                by.append(np.full(len(found[-1]), i))
                 front += left[ok].tolist()
                 left = left[~ok]
-        out.append(np.concatenate(found))
+        out.append((np.concatenate(found), np.concatenate(by)))
     return out
 
 
 def _bucket_edges(members: DataFrame) -> DataFrame:
-    """members: bucket, rep, n, s1, s2. (rep, root) for each member of a class of two or more; a row per member, not per pair."""
+    """members: bucket, rep, n, s1, s2. (rep, root, partner) for each member of a class of two or more: the class's least member, and the
+    one that it was compared with; a row per member, not per pair."""
 
     def run(batches):
         held: dict[int, list] = {}
         for b in batches:
-            out: dict[str, list] = {"rep": [], "root": []}
+            out: dict[str, list] = {"rep": [], "root": [], "partner": []}
             for row in zip(b["bucket"], b["rep"], b["n"], b["s1"], b["s2"], strict=True):
                 if row[0] not in held:
                     _close(held, out)
                     held.clear()
                 held.setdefault(row[0], []).append(row[1:])
             yield out
-        out = {"rep": [], "root": []}
+        out = {"rep": [], "root": [], "partner": []}
         _close(held, out)
         yield out
 
     def _close(held, out):
         for rows in held.values():
             rep, n, s1, s2 = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-            for c in linked(s1.view(np.uint64), s2.view(np.uint64), n):
+            for c, by in linked(s1.view(np.uint64), s2.view(np.uint64), n):
                 if len(c) > 1:
                     out["rep"] += rep[c].tolist()
                     out["root"] += [int(rep[c].min())] * len(c)
+                    out["partner"] += rep[by].tolist()
 
-    return arrow_map(members, run, "rep bigint, root bigint")
+    return arrow_map(members, run, "rep bigint, root bigint, partner bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,7 +324,7 @@ def _split(keyed: DataFrame, reps: DataFrame, members: DataFrame, limit: int, mo
 
 
 def _bucket_links(keyed: DataFrame, reps: DataFrame, paths: DataFrame, limit: int, extra_depth: int, name: str) -> DataFrame:
-    """(a, b): members of classes within the buckets of paths (rep, n, s1, s2, bucket), each with the class's least."""
+    """(rep, root, partner) of the classes within the buckets of paths (rep, n, s1, s2, bucket); see _bucket_edges."""
     sizes = paths.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("w1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("w2")).where("size > 1")
     # Buckets of the same members need one comparison.
     chosen = written(sizes.groupBy("size", "w1", "w2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
@@ -329,7 +334,7 @@ def _bucket_links(keyed: DataFrame, reps: DataFrame, paths: DataFrame, limit: in
         members = _split(keyed, reps, members, limit, extra_depth)
     parts = _parts(keyed, (total or 0) // 500_000)
     dealt = members.select("bucket", "rep", "n", "s1", "s2").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return written(_bucket_edges(dealt).where("rep != root").selectExpr("rep a", "root b"), name)
+    return written(_bucket_edges(dealt), name)
 
 
 def _parts(df: DataFrame, wanted: int) -> int:
@@ -344,23 +349,34 @@ def _run_paths(keyed: DataFrame, reps: DataFrame, run: int, depth: int) -> DataF
         for b in batches:
             yield {**{c: b[c] for c in ("rep", "n", "s1", "s2")}, "paths": [leaf_paths(shingles(t), 1, depth, run).view(np.int64) for t in b["text"]]}
 
-    rows = _texts(keyed, reps.select("rep", "n", "s1", "s2", "k1", "k2")).select("rep", "n", "s1", "s2", "text").dropDuplicates(["rep"])
-    return arrow_map(rows, paths, "rep bigint, n bigint, s1 bigint, s2 bigint, paths array<bigint>").select("rep", "n", "s1", "s2", F.explode("paths").alias("bucket"))
+    rows = _texts(keyed, reps.select("rep", "n", "s1", "s2", "k1", "k2")).select("rep", "n", "s1", "s2", "text")
+    found = arrow_map(rows, paths, "rep bigint, n bigint, s1 bigint, s2 bigint, paths array<bigint>").select("rep", "n", "s1", "s2", F.explode("paths").alias("bucket"))
+    return found.distinct()  # equal rows bring a text twice
+
+
+def _true_links(keyed: DataFrame, reps: DataFrame, pairs: DataFrame) -> int:
+    """How many of the pairs (rep, partner) are links, by their texts."""
+    ends = pairs.select(F.xxhash64("rep", "partner").alias("class"), F.explode(F.array("rep", "partner")).alias("rep"), F.lit(1).alias("blocks")).join(reps.select("rep", "copies", "k1", "k2"), "rep")
+    texts = _compressed(_texts(keyed, written(ends, "ends"))).selectExpr("class task", "0 x", "0 y", "0 side", "rep", "copies", "z")
+    exact = _exact_links(texts.repartition(_parts(keyed, 0), "task").sortWithinPartitions("task", "rep"))
+    return exact.where("links > 0").count() // 2
 
 
 def _classes(keyed: DataFrame, reps: DataFrame, runs: int, depth: int, limit: int, extra_depth: int, recall: float) -> DataFrame:
-    """(node, root) of the candidate classes: those of the first runs, and of further ones until one finds next to nothing new."""
+    """(node, root) of the candidate classes: those of the first runs, and of further ones until one finds next to no new link."""
     of = lambda paths: reps.select("rep", "n", "s1", "s2", F.explode(paths).alias("bucket"))
-    classes = written(components(_bucket_links(keyed, reps, of("paths"), limit, extra_depth, "linked")), "classes")
+    classes = written(components(_bucket_links(keyed, reps, of("paths"), limit, extra_depth, "linked").selectExpr("rep a", "root b")), "classes")
     paths = of("probe")
     for run in range(runs, len(_SEEDS)):
         found = _bucket_links(keyed, reps, paths, limit, extra_depth, "probe")
         root = lambda c: classes.selectExpr(f"node {c}", f"root {c}_root")  # noqa: E731, B023
-        seen = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        new = written(seen.where("a != b"), "missed")
-        n, missed = found.count(), new.count()
-        if missed:
-            classes = written(components(classes.selectExpr("node a", "root b").unionByName(new)), "classes")
+        seen = found.join(root("rep"), "rep", "left").join(root("partner"), "partner", "left").select("rep", "root", "partner", F.coalesce("rep_root", "rep").alias("a"), F.coalesce("partner_root", "partner").alias("b"))
+        new = written(seen.where("a != b").distinct(), "missed")
+        if new.isEmpty():
+            break
+        # Sketches also pass pairs below the least similarity; only links count as missed.
+        missed, n = _true_links(keyed, reps, new.select("rep", "partner").distinct()), found.where("rep != partner").count()
+        classes = written(components(classes.selectExpr("node a", "root b").unionByName(new.select("a", "b"))), "classes")
         if missed <= (1 - recall) * n:
             break
         paths = written(_run_paths(keyed, reps, run + 1, depth), "paths")

@@ -70,8 +70,9 @@ def _exact_bounds_sql(name: str, by: str) -> str:
     """Per group: documents, and each measure's bounds from exact quantiles of the sorted values."""
     at = lambda q: f"v[(len(v) * {q} + 99) // 100]"
     reach = f"{rules.REACH} * ({at(75)} - {at(25)})"
+    tail = "(CASE measure " + " ".join(f"WHEN '{m}' THEN {t}" for m, t in rules.TAIL.items()) + " END)"
     return f"""
-{name} AS (SELECT * EXCLUDE (v), len(v) AS docs, least({at(rules.TAIL)}, {at(25)} - {reach}) AS low, greatest({at(100 - rules.TAIL)}, {at(75)} + {reach}) AS high
+{name} AS (SELECT * EXCLUDE (v), len(v) AS docs, least({at(tail)}, {at(25)} - {reach}) AS low, greatest({at(f'(100 - {tail})')}, {at(75)} + {reach}) AS high
   FROM (SELECT {by} measure, list_sort(list(bucket)) AS v FROM long GROUP BY ALL))"""
 
 

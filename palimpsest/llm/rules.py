@@ -10,10 +10,12 @@ sketch is exactly the bucket of the data's quantile.
 
 A document fails a measure if it lies beyond both the outer fence of its group
 (three times the distance of the quartiles from them) and the group's outer
-quantile (`TAIL` % at an end). So where a measure spreads, only what is far out
-fails; where it hardly ever differs from zero, the tail decides; and no measure
-takes more than `TAIL` % of a group at an end. There is no cutoff in the measure's own units. Shares
-fail only upwards. A source with fewer than `LEAST_DOCS` documents of a language is
+quantile (the measure's share of `TAIL` at an end). So where a measure spreads, only
+what is far out fails; where it hardly ever differs from zero, the tail decides; and
+no measure takes more than its tail of a group at an end. There is no cutoff in the
+measure's own units. What a text is made of tells junk apart and has a tail of a
+tenth; length and repetition, which sound texts have too and of which the fixed
+limits take the worst, one of a hundredth. Shares fail only upwards. A source with fewer than `LEAST_DOCS` documents of a language is
 judged by the language's merged sketch, and such a language by all documents'.
 
 Fixed limits of the contract (fewer than 20 words; over 30 % of words in repeated
@@ -35,12 +37,13 @@ from palimpsest.llm.common import written
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own.
 LEAST_DOCS = 50
-#: How many times the distance of the quartiles a fence lies beyond them, and the share in % that an end's tail has at most.
-REACH, TAIL = 3, 5
+#: How many times the distance of the quartiles a fence lies beyond them.
+REACH = 3
 #: Significant binary digits of a share.
 BITS = 6
-#: The measures, and which of them may fail downwards, too.
-MEASURES = ("m_length", "m_word", "m_symbols", "m_lines", "m_repeated")
+#: The measures with the share in % that the tail at an end has at most, and which of them may fail downwards, too.
+TAIL = {"m_length": 1, "m_word": 10, "m_symbols": 10, "m_lines": 1, "m_repeated": 1}
+MEASURES = tuple(TAIL)
 BOTH_ENDS = ("m_length", "m_word")
 _SPACE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -128,7 +131,8 @@ def bounds(sketch: DataFrame) -> DataFrame:
     w = Window.partitionBy(*group)
     seen = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    quantiles = seen.groupBy(*group).agg(F.max("all").alias("docs"), at(TAIL).alias("first"), at(25).alias("q1"), at(75).alias("q3"), at(100 - TAIL).alias("last"))
+    tail = F.coalesce(*(F.when(F.col("measure") == m, F.lit(t)) for m, t in TAIL.items()))
+    quantiles = seen.groupBy(*group).agg(F.max("all").alias("docs"), at(tail).alias("first"), at(25).alias("q1"), at(75).alias("q3"), at(100 - tail).alias("last"))
     reach = REACH * (F.col("q3") - F.col("q1"))
     ends = {"low": F.least(F.col("first"), F.col("q1") - reach), "high": F.greatest(F.col("last"), F.col("q3") + reach)}
     aggs = [F.max(F.when(F.col("measure") == m, v)).alias(f"{end}_{m}") for m in MEASURES for end, v in ends.items() if end == "high" or m in BOTH_ENDS]

@@ -1,9 +1,11 @@
+import random
+
 import __spark_entry__
 import corpus_pipeline
 import pytest
 from test_packing import check
 
-from palimpsest.llm import jaccard, language, pii, suffixes
+from palimpsest.llm import jaccard, language, pii
 
 pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,7 @@ def test_registered():
 def test_stages_match_brute_force(spark):
     """Each stage on its own input, against plain Python over the rows that went in."""
     from test_jaccard import brute as groups
-    from test_suffixes import brute as removed
+    from test_suffixes import brute_words
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
     columns = docs.columns
@@ -36,13 +38,10 @@ def test_stages_match_brute_force(spark):
 
     rows = {r["doc_id"]: r["text"] for r in once.collect()}
     cut = corpus_pipeline.suffix_dedup(spark, once, SF)
-    want = removed(list(rows.values()), suffixes.SPAN)
+    want = dict(zip(rows, brute_words(list(rows.values()), corpus_pipeline.PASSAGE_WORDS), strict=True))
     got = {r["doc_id"]: r for r in cut.collect()}
-    assert cut.columns == columns and set(got) == set(rows)
-    for (i, text), (n, gone, _, _) in zip(rows.items(), want, strict=True):
-        assert len(got[i]["text"].encode()) <= n - gone and n - gone - len(got[i]["text"].encode()) < 8
-        assert gone or got[i]["text"] == text
-        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert cut.columns == columns and {i: r["text"] for i, r in got.items()} == want and want != rows
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
     clean = corpus_pipeline.personal_data(spark, cut, SF)
     assert clean.columns == columns
@@ -54,6 +53,34 @@ def test_stages_match_brute_force(spark):
     check(corpus_pipeline.best_fit_packing(spark, clean, SF).collect(), texts)
 
 
+def test_passages_go_and_clean_documents_stay(spark):
+    """Passages of 51 to 60 words in otherwise unlike documents, through the stages in order."""
+    r = random.Random(4)
+    source = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").select("text").collect()]
+    pool = [w for t in source for w in t.split() if w.isalpha()]
+    short = [w for w in pool if len(w) < 4]
+    passages = [r.choices(short if i % 2 else pool, k=r.randint(51, 60)) for i in range(6)]
+    assert min(len(" ".join(p).encode()) for p in passages) < 250
+    rows, clean = [], {}
+    for i in range(120):
+        w = r.choices(pool, k=r.randint(60, 400))
+        if i % 3:
+            clean[i] = " ".join(w)
+        else:
+            at = r.randint(0, len(w))
+            w[at:at] = passages[i // 3 % 6]
+        rows.append((i, " ".join(w), "en", "s", len(" ".join(w))))
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        got = {x["doc_id"]: x["text"] for x in docs.collect()}
+        assert set(got) == set(range(120)), name
+    assert all(got[i] == t for i, t in clean.items())
+    assert not any(" ".join(p) in t for p in passages for t in got.values())
+    # A word beside a passage may happen to be the same in another document.
+    assert all(len(t.split()) - len(got[i].split()) - len(passages[i // 3 % 6]) in range(5) for i, t, *_ in rows if i % 3 == 0)
+
+
 def test_runs_end_to_end(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, fingerprint, jaccard, kneser_ney, language, packing, pii, rules, secrets, suffixes
+from palimpsest.llm import bpe, exact, fingerprint, jaccard, kneser_ney, language, packing, pii, rules, search, secrets, spelling, suffixes
 from palimpsest.llm.common import read_table
 
 
@@ -140,9 +140,60 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS_SQL} AS terms FROM documents),
+t AS (SELECT sum(len(terms)) AS l, count(*) FILTER (len(terms) > 0) AS n FROM d),
+p AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT rid, doc_id, unnest(terms) AS term, len(terms) AS size FROM d) GROUP BY rid, term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), t),
+s AS (SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * size * n) // l AS BIGINT))))) AS score FROM q JOIN w USING (term) JOIN p USING (term), t GROUP BY item_id, doc_id, rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= {search.TOP}
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+#: Near words by their single deletions; the checksum by a table of 256 remainders made by its rule.
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= {spelling.LEAST_CHARS} GROUP BY ALL),
+drawn AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS x FROM runs), crc),
+words AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT n, CASE WHEN h % {spelling.DELETED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM drawn) WHERE length(w) >= {spelling.LEAST_CHARS} GROUP BY w HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words) UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT x AS word, count(*) AS n_near, first(y ORDER BY n DESC, encode(y)) AS form, max(n) AS form_n FROM pairs JOIN words ON y = word GROUP BY x),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+roots AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM roots r JOIN f ON f.word = r.next)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN roots r ON r.word = f.word AND r.next IS NULL
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, h AS text_sha256
+FROM d WINDOW same AS (PARTITION BY h)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing, op10_kneser_ney)}
+    return {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_best_fit_packing, op4_quality_rules, op5_ngram_jaccard_join, op6_secret_scan, op7_bpe, op8_language_id, op9_winnowing, op10_kneser_ney, op11_ranked_search, op12_spelling_variants, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op11_ranked_search": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_dedup": OP13_SQL}

@@ -37,7 +37,7 @@ LEAST_CHARS, LEAST_COUNT = 5, 3
 #: One in so many runs of a document loses a code point.
 DELETED = 97
 #: Words of a range at most, about; beyond `MOST_RANGES` ranges, whose borders every task knows, they grow with the vocabulary.
-RANGE_WORDS, MOST_RANGES = 4096, 10_000
+RANGE_WORDS, MOST_RANGES = 16_384, 10_000
 
 #: ISO 8859-1 bytes of words as they are, A-Z lower-cased, all others as a space; one byte is one code point.
 _WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 32 for c in range(256))

@@ -81,9 +81,9 @@ class DigestIndex:
 
     def missing(self, keyed: DataFrame) -> DataFrame:
         """digest and keep_id of those in keyed that the index has not: an entry each, by bucket."""
-        # Summed up by digest before the exchange; the second exchange moves an entry per digest to the index's buckets.
-        entries = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id")).repartition(self.buckets, "digest")
-        return entries.join(self.rows().hint("merge"), "digest", "left_anti")
+        # Written first, or the optimizer would join rows, not entries, and exchange a frequent text's rows to one task.
+        entries = written(keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "entries")
+        return entries.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
 
     def add(self, keyed: DataFrame, batch: str) -> DataFrame:
         """Appends what is new in keyed (doc_id, digest); digest and keep_id of all that the batch has brought."""

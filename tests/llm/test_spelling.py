@@ -78,7 +78,7 @@ def test_against_brute_force(spark):
     stems = ["letters", "lettres", "leters", "letter", "Lettérs", "abcdef", "abcdeg", "abcdefg", "xxxxx", "xxxxxx", "xxxxxxx", "naïveté", "naiveté"]
     weights = [40, 3, 4, 20, 2, 9, 4, 1, 30, 10, 3, 8, 2]
     rows = [(i, " ".join(r.choices(stems, weights, k=r.choice([0, 2, 60])))) for i in range(80)]
-    rows += [(None, "Letters×letters÷LETTERS letters"), (3, None), (4, ""), (5, "ab1cdefgh_ijklm–nopqrſtuvwxŸyz"), (rows[9][0], rows[9][1]), (6, ("q" * 200_000 + " ") * 3), (6, "日本letters日本")]
+    rows += [(None, "Letters×letters÷LETTERS letters"), (3, None), (4, ""), (5, "ab1cdefgh_ijklm–nopqrſtuvwxŸyz"), (rows[9][0], rows[9][1]), (6, ("q" * 1500 + " ") * 3), (6, "日本letters日本")]
     df = docs_of(spark, rows)
     want = brute(rows)
     assert any(x[1] for x in want) and any(x[2] not in (x[0], x[1]) for x in want)
@@ -87,6 +87,14 @@ def test_against_brute_force(spark):
     assert spelling.variants(docs_of(spark, [])).collect() == [] and spelling.variants(docs_of(spark, [(1, None)])).collect() == []
 
 
+def test_very_long_words(spark):
+    long = "q" * 200_000
+    rows = [(i, f"{long} {long}r") for i in range(4)]
+    assert 97 not in {zlib.crc32(f"{i}:{x}".encode()) % 97 or 97 for i, _ in rows for x in (long, long + "r")}
+    got = sorted(tuple(r) for r in spelling.variants(docs_of(spark, rows)).collect())
+    assert got == [(long, None, long, 4, 1, None), (long + "r", None, long + "r", 4, 1, None)]
+
+
 def test_long_chains_of_forms(spark):
     rows = [("a" * 5 + "b" * i, 2**i, "a" * 5 + "b" * (i + 1) if i < 20 else None) for i in range(21)]
     df = spark.createDataFrame([(*x, 0, None) for x in rows], "word string, n bigint, form string, n_near int, form_n int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.asof import as_of, stored
+
 
 def latest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     """Each key's last row by the order columns, which should end in a unique one. One sort by key, limited to a row per group before the exchange."""
@@ -30,6 +32,43 @@ def distinct_edits(rows: DataFrame, group: list[str], *texts: str) -> DataFrame:
     return rows.groupBy(*group, digest.alias("content")).agg(F.count("*").alias("copies"))
 
 
+def with_parents(rows: DataFrame, key: list[str], id: str, order: list[str], before: str, after: str) -> DataFrame:
+    """rows with `parent`: the id of the latest earlier row of the same key whose result is what this row starts from; null for an origin.
+
+    The link is the text itself, by its digest, not the place in a series: a run may start from any earlier result. A null text links nothing. `order` ends in a unique column.
+    """
+    digest = lambda c: F.sha2(c, 256)
+    place = F.struct(*order)
+    child = rows.withColumns({"_text": digest(before), "_at": place})
+    results = rows.select(*key, digest(after).alias("_text"), place.alias("_at"), F.col(id).alias("_id"))
+    found = as_of(child, results, [*key, "_text"], "_at", "_at", strict=True)
+    return found.select(*rows.columns, F.col("found._id").alias("parent"))
+
+
+def origins(rows: DataFrame, id: str, parent: str = "parent") -> DataFrame:
+    """rows with `origin`, the id at the end of their chain of parents, and `steps` to it, in log2 of the longest chain rounds.
+
+    Each round follows every open link twice as far and is written to the shared folder, so that neither lineage nor plan grows; links
+    that have arrived are only looked up. Ids are unique; a parent that is not among them is an origin all the same, without a row.
+    A cycle, which links to earlier rows never make, raises ValueError.
+    """
+    c = F.col
+    links = stored(rows.where(c(parent).isNotNull()).select(c(id).alias("_id"), c(parent).alias("_to"), F.lit(1).cast("bigint").alias("_n"), F.lit(False).alias("_there")), "links")
+    n = links.count()
+    reach, left = 1, n
+    while left:
+        if reach > 2 * n:
+            raise ValueError(f"{left} rows are in a cycle of parents")
+        onward = links.select(c("_id").alias("_to"), c("_to").alias("_further"), c("_n").alias("_more"), c("_there").alias("_then"))
+        step = links.where("not _there").join(onward, "_to", "left")
+        step = step.select("_id", F.coalesce("_further", "_to").alias("_to"), (c("_n") + F.coalesce("_more", F.lit(0))).alias("_n"), F.coalesce("_then", F.lit(True)).alias("_there"))
+        links = stored(links.where("_there").unionByName(step), "links")
+        left = links.where("not _there").count()
+        reach *= 2
+    ends = links.select(c("_id").alias(id), c("_to").alias("origin"), c("_n").alias("steps"))
+    return rows.join(ends, id, "left").withColumns({"origin": F.coalesce("origin", id), "steps": F.coalesce("steps", F.lit(0))})
+
+
 def neighbours(rows: DataFrame, key: list[str], number: str, state: str) -> DataFrame:
     """Each row beside that of the next number under the same key, found by one sort, not by a join of the table with itself."""
     w = Window.partitionBy(*key).orderBy(number)

@@ -306,7 +306,9 @@ def _edits(spark, sf_dir):
     """Every document's numbered lines before and after a change of some, and the diff of the two."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x))
     changed = F.transform(lines, lambda x: F.when(F.contains(x, F.lit("es,")), F.concat(x, F.lit(" //"))).otherwise(x))
-    ended = lambda x: F.concat(F.array_join(x, "\n"), F.lit("\n"))
+    # One text in three has CR LF, one in two no end of its last line.
+    end = F.when(F.col("doc_id") % 3 == 0, "\r\n").otherwise("\n")
+    ended = lambda x: F.concat(F.array_join(F.transform(x, lambda y: F.concat(F.when(F.substring_index(y, ": ", 1) == "1", "").otherwise(end), y)), ""), F.when(F.col("doc_id") % 2 == 0, end).otherwise(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", ended(lines).alias("before"), ended(changed).alias("after"))
     rows = rows.withColumn("raw", textdiff.diff("before", "after", F.concat(F.lit("evosuite/T"), "doc_id", F.lit(".java"))))
     return rows.select("doc_id", "before", "after", "raw", F.col("doc_id").alias("project_id"), F.lit("r").alias("run_ts"), F.lit("C").alias("class_name"), F.lit("t").alias("test_name"))

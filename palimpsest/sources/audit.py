@@ -6,6 +6,8 @@ job at a time, and every task writes a file of its own, so writers need no lock.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,33 @@ def append(recs: DataFrame, path: str) -> None:
     as_lines(recs).write.mode("append").text(path)
 
 
+def append_batch(recs: DataFrame, path: str, writer: str, batch: int) -> bool:
+    """Appends a numbered batch to the log at path exactly once; False if it is there already, then nothing changes.
+
+    The lines are written beside the log and then take their place under writer and batch by one rename: rows and number appear
+    together or not at all. A batch that a restarted stream runs again finds its place taken. Numbers are a writer's own.
+    """
+    from palimpsest.sources.storage import exists, move_new, remove
+
+    target = f"{path}/writer={writer}/batch={batch}"
+    if exists(recs.sparkSession, target):
+        return False
+    fresh = f"{path}/_{uuid.uuid4().hex}"  # readers pass over names that begin with _
+    as_lines(recs).write.text(fresh)
+    placed = move_new(recs.sparkSession, fresh, target)
+    if not placed:  # another run of the same batch was faster
+        remove(recs.sparkSession, fresh)
+    return placed
+
+
 def terse(recs: DataFrame) -> DataFrame:
     """recs as shown on a console: without the hidden fields, at the top level only."""
     return recs.drop(*HIDDEN_FIELDS)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """ts, event and, whatever the record holds, `extras`; no inference over the log."""
-    return parsed(spark.read.text(path))
+    """ts, event and, whatever the record holds, `extras`, of appended records and batches; no inference over the log."""
+    return parsed(spark.read.option("recursiveFileLookup", "true").text(path))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

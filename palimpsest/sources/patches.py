@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 KEY = ("project_id", "run_ts", "class_name", "test_name")
 _PATH = r"/(\d+)_([^/]+)/run_(\d{8}_\d{6})/patches/[^/]+/([^/]+)/([^/]+)\.diff$"
-_HUNK = re.compile(r"@@ -(\d+),(\d+) \+(\d+),(\d+) @@")
+_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 RUN_FORMAT = "yyyyMMdd_HHmmss"
 
 
@@ -42,14 +43,28 @@ def run_stamp(ts: str | Column) -> Column:
     return F.concat(F.lit("run_"), F.date_format(ts, RUN_FORMAT))
 
 
-def parse_lines(raw: str) -> Iterator[tuple[int, int, str, int | None, int | None, str]]:
-    """(hunk, line, op, old number, new number, text) of a patch.
+class Hunk(NamedTuple):
+    """Starts and lengths as declared, the header's line number, and lines (op, text, ended): not ended if no newline follows it."""
 
-    Lines are classed by place, inside the lengths that the hunk declares: a removed line may itself begin with a dash.
-    A patch whose lines do not fill its hunks, or that has others, raises ValueError.
+    old_start: int
+    old_len: int
+    new_start: int
+    new_len: int
+    at: int
+    lines: list[tuple[str, str, bool]]
+
+
+def parse_hunks(raw: str | None) -> Iterator[Hunk]:
+    """The hunks of a patch.
+
+    Lines are classed by place, inside the lengths that the hunk declares: a removed line may itself begin with a dash. Only \\n
+    ends a line. A line that begins with a backslash says that the one before it has no end.
+    A null patch, one whose lines do not fill its hunks, or that has others, raises ValueError.
     """
+    if raw is None:
+        raise ValueError("null")
     lines = raw.split("\n")
-    if lines and lines[-1] == "":
+    if lines[-1] == "":
         lines.pop()
     if len(lines) < 2 or not lines[0].startswith("--- ") or not lines[1].startswith("+++ "):
         raise ValueError("no header")
@@ -58,16 +73,37 @@ def parse_lines(raw: str) -> Iterator[tuple[int, int, str, int | None, int | Non
         m = _HUNK.match(lines[at])
         if not m:
             raise ValueError(f"line {at + 1} is in no hunk")
-        old, old_left, new, new_left = map(int, m.groups())
+        sizes = [int(x) if x else 1 for x in m.groups()]
         hunk, at = hunk + 1, at + 1
-        while old_left or new_left:
-            if at >= len(lines) or lines[at][:1] not in (" ", "-", "+"):
+        out = Hunk(*sizes, at, [])
+        _, old_left, _, new_left = sizes
+        while old_left or new_left or lines[at : at + 1] and lines[at][:1] == "\\":
+            if at >= len(lines) or lines[at][:1] not in (" ", "-", "+", "\\"):
                 raise ValueError(f"hunk {hunk} ends early")
             op, text = lines[at][0], lines[at][1:]
+            if op == "\\":
+                if not out.lines or not out.lines[-1][2]:
+                    raise ValueError(f"line {at + 1} follows no line")
+                out.lines[-1] = (*out.lines[-1][:2], False)
+            else:
+                out.lines.append((op, text, True))
+                old_left, new_left = old_left - (op != "+"), new_left - (op != "-")
+                if old_left < 0 or new_left < 0:
+                    raise ValueError(f"hunk {hunk} has more lines than it declares")
+            at += 1
+        yield out
+
+
+def parse_lines(raw: str | None) -> Iterator[tuple[int, int, str, int | None, int | None, str, bool]]:
+    """(hunk, line, op, old number, new number, text, ended) of a patch; see parse_hunks."""
+    for no, h in enumerate(parse_hunks(raw), 1):
+        old, new, at = h.old_start, h.new_start, h.at
+        for op, text, ended in h.lines:
             is_old, is_new = op != "+", op != "-"
-            yield hunk, at + 1, op, old if is_old else None, new if is_new else None, text
-            old, old_left, new, new_left = old + is_old, old_left - is_old, new + is_new, new_left - is_new
             at += 1
+            yield no, at, op, old if is_old else None, new if is_new else None, text, ended
+            at += not ended  # the line that says so
+            old, new = old + is_old, new + is_new
 
 
 def fault(raw: str | Column) -> Column:
@@ -81,10 +117,8 @@ def fault(raw: str | Column) -> Column:
 
 
 def _fault(raw: str | None) -> str | None:
-    if raw is None:
-        return "null"
     try:
-        for _ in parse_lines(raw):
+        for _ in parse_hunks(raw):
             pass
     except ValueError as e:
         return str(e)
@@ -92,8 +126,8 @@ def _fault(raw: str | None) -> str | None:
 
 
 def patch_lines(patches: DataFrame, strict: bool = True) -> DataFrame:
-    """One row per line of every hunk: the keys, hunk_no, line_no, op, old_no, new_no, text. Batches go through Python once, without
-    a shuffle. A malformed patch stops the job; unless strict, it gives no lines (fault() tells which and why)."""
+    """One row per line of every hunk: the keys, hunk_no, line_no, op, old_no, new_no, text, ended. Batches go through Python once, without
+    a shuffle. A malformed or null patch stops the job; unless strict, it gives no lines (fault() tells which and why)."""
     keys = list(KEY)
     kinds = dict(patches.dtypes)
 
@@ -101,10 +135,10 @@ def patch_lines(patches: DataFrame, strict: bool = True) -> DataFrame:
         for b in batches:
             records = [r for r in b.to_dict("records") if strict or _fault(r["raw"]) is None]
             rows = [(*(r[k] for k in keys), *line) for r in records for line in parse_lines(r["raw"])]
-            out = pd.DataFrame(rows, columns=[*keys, "hunk_no", "line_no", "op", "old_no", "new_no", "text"])
+            out = pd.DataFrame(rows, columns=[*keys, "hunk_no", "line_no", "op", "old_no", "new_no", "text", "ended"])
             yield out.astype({"old_no": "Int32", "new_no": "Int32"})
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hunk_no int, line_no int, op string, old_no int, new_no int, text string"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hunk_no int, line_no int, op string, old_no int, new_no int, text string, ended boolean"
     return patches.select(*keys, "raw").mapInPandas(run, schema)
 
 

@@ -37,6 +37,33 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    _, _, fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _, _, fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def move_new(spark: SparkSession, src: str, dst: str) -> bool:
+    """Renames src to dst, which must not be there; whether it did. One step where the file system has it."""
+    _, _, fs, s = _fs(spark, src)
+    _, _, _, d = _fs(spark, dst)
+    fs.mkdirs(d.getParent())
+    if fs.exists(d):
+        return False
+    # A directory that appeared meanwhile would take src into itself.
+    return fs.rename(s, d) and not fs.exists(d.suffix(f"/{s.getName()}"))
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """(name, whether it is a directory, length) of what is in a directory, by name."""
+    _, _, fs, p = _fs(spark, path)
+    return sorted((x.getPath().getName(), x.isDirectory(), x.getLen()) for x in fs.listStatus(p))
+
+
 def copytree(spark: SparkSession, src: str, dst: str) -> None:
     """dst equals src afterwards, whatever it held. A missing src or one that overlaps dst is refused, and dst stays."""
     jvm, conf, sfs, s = _fs(spark, src)

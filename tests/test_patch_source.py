@@ -1,0 +1,46 @@
+from palimpsest.sources import patch_source, patches
+
+
+def patch(i):
+    return f"--- a/tests/org/x/T{i}.java\n+++ b/tests/org/x/T{i}.java\n@@ -1,1 +1,1 @@\n-a\n+é{i}\n"
+
+
+def make(root):
+    for project in ("7_room", "12_c-d", "x_bad"):
+        for run in ("run_20260127_102943", "run_20260128_000001"):
+            for cls in ("_Room", "Calc"):
+                d = root / project / run / "patches" / project.split("_")[1] / cls
+                d.mkdir(parents=True)
+                for i in range(5):
+                    (d / f"test{i:02}.diff").write_text(patch(i))
+    (root / "7_room" / "notes.txt").write_text("x")
+    (root / "7_room" / "run_20260128_000001" / "patches" / "room" / "Empty").mkdir()
+
+
+def test_equals_the_tree_reader_in_packed_tasks(spark, tmp_path):
+    make(tmp_path)
+    patch_source.register(spark)
+    df = spark.read.format("patch_tree").option("files", 7).load(str(tmp_path))
+    want = patches.read_tree(spark, str(tmp_path)).where("project_id is not null")
+    assert df.columns == want.columns and dict(df.dtypes) == dict(want.dtypes)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and df.count() == 40
+    assert df.rdd.getNumPartitions() == 6  # 40 files, 7 a task
+    assert spark.read.format("patch_tree").load(str(tmp_path / "none")).count() == 0
+
+
+def test_filters_drop_directories(spark, tmp_path):
+    make(tmp_path)
+    patch_source.register(spark)
+    df = spark.read.format("patch_tree").option("files", 1).load(str(tmp_path))
+    some = df.where("project = 'room' and class_name = 'Calc'")
+    assert some.rdd.getNumPartitions() == 10 and some.count() == 10
+    assert df.where("project_id in (12, 13)").rdd.getNumPartitions() == 20 and df.where("project_id > 12").count() == 0
+    both = df.where("project_id = 7 and test_no = 3")
+    assert both.count() == 4 and both.rdd.getNumPartitions() == 20
+
+
+def test_pruning_without_spark(tmp_path):
+    make(tmp_path)
+    r = patch_source.PatchTreeReader(str(tmp_path), 3)
+    left = list(r.pushFilters([patch_source.EqualTo(("project",), "c-d"), patch_source.EqualTo(("test_no",), 3)]))
+    assert len(left) == 1 and [sum(len(g[4]) for g in p.groups) for p in r.partitions()] == [3] * 6 + [2]

@@ -1,9 +1,12 @@
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.functions import features
-from palimpsest.operators import lineage, textdiff
+from palimpsest.operators import linediff, lineage, textdiff
 from palimpsest.sources import patches
 
 TWO_HUNKS = """--- a/tests/org/x/Room_T.java
@@ -105,10 +108,80 @@ def test_diff_then_apply_gives_the_new_text(before, after):
     a, b = ("".join(x + "\n" for x in y) for y in (before, after))
     d = textdiff.unified(a, b, "p")
     assert textdiff.applied(a, d) == b
-    n = [(op) for _, _, op, *_ in patches.parse_lines(d)] if d else []
+    n = [op for _, _, op, *_ in patches.parse_lines(d)] if d else []
     assert n.count("+") - n.count("-") == len(after) - len(before)
 
 
+ANY_TEXT = st.text(st.sampled_from("ab\n\r\x0b\x0c\x1c\x85\u2028 -+@\\"), max_size=40)
+
+
+@given(ANY_TEXT, ANY_TEXT)
+@settings(max_examples=500, deadline=None)
+def test_any_line_ends_come_back(before, after):
+    d = textdiff.unified(before, after, "p")
+    assert textdiff.applied(before, d) == after and (d == "") == (before == after)
+    if d and before:
+        assert textdiff.fitted(before + "\nmore" * 3 + before, d) != after
+
+
+def test_missing_newline_is_marked_as_usual():
+    d = textdiff.unified("a\nc", "a\nc\n", "p")
+    assert d == "--- a/p\n+++ b/p\n@@ -1,2 +1,2 @@\n a\n-c\n\\ No newline at end of file\n+c\n"
+    assert [(x[1], x[2], x[6]) for x in patches.parse_lines(d)] == [(4, " ", True), (5, "-", False), (7, "+", True)]
+    assert textdiff.unified("", "x", "p").splitlines()[2] == "@@ -0,0 +1,1 @@" and textdiff.applied("q\nr\n", "--- a/p\n+++ b/p\n@@ -1,0 +2 @@\n+new\n") == "q\nnew\nr\n"
+    for bad in ("--- a\n+++ b\n@@ -1 +1 @@\n\\ x\n-a\n+b\n", "--- a\n+++ b\n@@ -1,1 +1,0 @@\n+a\n"):
+        with pytest.raises(ValueError):
+            textdiff.applied("a\n", bad)
+    with pytest.raises(ValueError, match="no end"):
+        textdiff.applied("a\nb\n", "--- a\n+++ b\n@@ -1 +1 @@\n-a\n+c\n\\ No newline at end of file\n")
+
+
+def test_diff_of_many_lines():
+    r = random.Random(1)
+    for line in (lambda i: f"line {i}", lambda i: "}" if i % 2 else f"x{r.randint(0, 50)}", lambda i: "}"):
+        a = [line(i) for i in range(100_000)]
+        b = [x for x in a if r.random() > 0.01]
+        for _ in range(500):
+            b.insert(r.randrange(len(b)), r.choice(["new", "}", "x3"]))
+        began = time.time()
+        d = textdiff.unified("\n".join(a), "\n".join(b), "p")
+        assert textdiff.applied("\n".join(a), d) == "\n".join(b) and time.time() - began < 30
+
+
+def test_matching_is_in_order_and_longest_in_small_gaps(monkeypatch):
+    def longest(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        return t[0][0]
+
+    r = random.Random(2)
+    anchors = linediff._anchors
+    for costly, even in ((1000, True), (1000, False), (1, True), (1, False)):
+        monkeypatch.setattr(linediff, "COSTLY", costly)
+        monkeypatch.setattr(linediff, "_anchors", anchors if even else lambda a, b, box, even: [] if even else anchors(a, b, box, even))
+        for _ in range(500):
+            a, b = ([r.choice("abcdef"[: r.randint(1, 6)]) for _ in range(r.randint(0, 14))] for _ in "ab")
+            i = j = 0
+            for x, y, n in linediff.matching(a, b):
+                assert x >= i and y >= j and n and a[x : x + n] == b[y : y + n]
+                i, j = x + n, y + n
+            if costly > 1 and not even:
+                assert sum(n for *_, n in linediff.matching(a, b)) == longest(a, b)
+
+
+def test_increasing_run():
+    r = random.Random(3)
+    for _ in range(200):
+        js = [r.randint(0, 20) for _ in range(r.randint(0, 15))]
+        got = linediff.increasing(list(enumerate(js)))
+        best = [1] * len(js)
+        for i in range(len(js)):
+            best[i] = 1 + max((best[k] for k in range(i) if js[k] < js[i]), default=0)
+        assert len(got) == max(best, default=0) and all(x[1] < y[1] and x[0] < y[0] for x, y in zip(got, got[1:], strict=False))
+
+
 SOURCE = '''class T {
   @Test(timeout = 4000)
   public void test1() throws Throwable {
@@ -129,6 +202,23 @@ def test_method_replacement():
     assert textdiff.replaced_method(SOURCE, "none", "x") is None
 
 
+def test_method_without_a_body_and_text_blocks():
+    source = 'interface I {\n  // void t() {\n  String s = "void t() {";\n  void t();\n\n  void u() { String s = """\n } " } \\""" {\n """; }\n  @A("x;y")\n  void v(int a);\n}\n'
+    assert textdiff.replaced_method(source, "t", "void t() { }") == source.replace("  void t();", "void t() { }\n")
+    assert textdiff.replaced_method(source, "u", "void u();") == source[: source.index("  void u")] + "void u();\n" + source[source.index('\n  @A("x') :]
+    a, b = textdiff.method_slice(source, "v")
+    assert source[a:b] == '  @A("x;y")\n  void v(int a);'
+    assert textdiff.method_slice("// void t() { }\n/* void t() { } */", "t") is None and textdiff.method_slice("void t() {", "t") is None
+
+
+def test_fold_rejects_what_has_no_source(spark):
+    add = "--- a/p\n+++ b/p\n@@ -0,0 +1,1 @@\n+x\n"
+    sources = spark.createDataFrame([("empty", ""), ("null", None)], "key string, text string")
+    rows = spark.createDataFrame([("empty", 1, add), ("empty", 2, None), ("null", 1, add), ("none", 1, add)], "key string, seq int, raw string")
+    got = {tuple(r) for r in textdiff.fold_patches(sources, rows, "key").collect()}
+    assert got == {("empty", "x\n", 1, 1), ("null", None, 0, 1), ("none", None, 0, 1)}
+
+
 def test_fold_applies_in_the_order_of_the_data(spark):
     one, two, three = "a\nb\nc\n", "a\nB\nc\n", "a\nB\nC\n"
     rows = [("k", 2, textdiff.unified(two, three, "p")), ("k", 1, textdiff.unified(one, two, "p")), ("k", 3, textdiff.unified(one, two, "p"))]
@@ -161,8 +251,10 @@ def test_malformed_patches_are_told_apart(spark):
     faults = [r["f"] for r in rows.select("project_id", patches.fault("raw").alias("f")).orderBy("project_id").collect()]
     assert faults[0] is None and all(faults[1:]) and faults[3] == "null"
     assert {r["project_id"] for r in patches.patch_lines(rows, strict=False).collect()} == {0}
-    with pytest.raises(Exception, match="no header"):
-        patches.patch_lines(rows).collect()
+    for i, why in enumerate(faults):
+        if why:
+            with pytest.raises(Exception, match=why):
+                patches.patch_lines(rows.where(f"project_id = {i}")).collect()
 
 
 def test_order_of_work_comes_from_what_patches_show(spark):

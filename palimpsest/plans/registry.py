@@ -3,39 +3,22 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import features, guards
 from palimpsest.operators import lineage, textdiff
+from palimpsest.plans import catalog
+from palimpsest.plans.catalog import Query, query, table
 from palimpsest.plans.shipping import shared_folder
 from palimpsest.sources import audit, external, patches, storage
 from palimpsest.streaming import audit_stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 #: Markers and a name that occur in the tables; the guards' own default markers never do.
 MARKERS = ["License", "token", "@"]
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query(r"""
 WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT lang, count(*) AS n_lines, count(*) FILTER (contains(line, 'License')) AS marker_lines,
@@ -399,11 +382,28 @@ def directory_copy(spark, sf_dir):
     return spark.read.parquet(f"{base}/old")
 
 
-@query("SELECT string_agg(r_name, ' ' ORDER BY r_regionkey) AS output FROM region")
+@query("""
+SELECT s_suppkey, CAST(s_suppkey % 3 AS INTEGER) AS exit_code, s_name || ' of ' || n_name || chr(10) AS output, CASE WHEN s_suppkey % 3 <> 0 THEN 'exit' END AS failure
+FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def build_step(spark, sf_dir):
-    """A command's output as a row; the command here is a harmless one, its targets are the regions' names."""
-    targets = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
-    return spark.createDataFrame([(external.run_build(".", targets, "echo").strip(),)], "output string")
+    """A command run for every supplier, by tasks: its output, its exit code, and whether it failed."""
+    script = F.concat(F.lit('echo "$0 of $1"; exit '), F.col("s_suppkey") % 3)
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = rows.select("s_suppkey", F.array(F.lit("-c"), script, "s_name", "n_name").alias("targets"))
+    return external.build_rows(rows, "targets", command="sh").drop("targets")
+
+
+@query("SELECT r_regionkey, true AS before, false AS after FROM region")
+def directory_empty(spark, sf_dir):
+    """What is in a directory before and after it was emptied."""
+    base = f"{shared_folder(spark)}/palimpsest/emptied-{uuid.uuid4().hex}"
+    region = table(spark, sf_dir, "region").select("r_regionkey")
+    region.withColumn("part", F.col("r_regionkey")).write.partitionBy("part").parquet(base)
+    listed = lambda: F.array(*(F.lit(name) for name, is_dir, _ in storage.listing(spark, base) if is_dir)).cast("array<string>")
+    before = listed()
+    storage.ensure_empty_dir(spark, base)
+    part = F.concat(F.lit("part="), "r_regionkey")
+    return region.select("r_regionkey", F.array_contains(before, part).alias("before"), F.array_contains(listed(), part).alias("after"))
 
 
 @query(r"""
@@ -421,10 +421,10 @@ SELECT CAST(n_nationkey + 1 AS INTEGER) AS project_id, n_name AS project, '_Requ
 def patch_tree(spark, sf_dir):
     """A tree of patch files as they are stored, one to a file, in a class directory that starts with _, listed and parsed into lines."""
     root = f"{shared_folder(spark)}/palimpsest/tree-{uuid.uuid4().hex}"
-    for r in table(spark, sf_dir, "nation").collect():  # 25 rows, a fixture
-        name, package = r["n_name"], r["n_name"].replace(" ", "").lower()
-        raw = f"--- a/evosuite/{package}/T.java\n+++ b/evosuite/{package}/T.java\n@@ -3,1 +3,2 @@\n-{name}\n+{r['n_regionkey']}\n+\n"
-        storage.write_file(spark, f"{root}/{r['n_nationkey'] + 1}_{name}/run_20260127_030639/patches/{name}/_Request/test0{r['n_regionkey']}.diff", raw.encode())
+    package = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
+    raw = F.concat(F.lit("--- a/evosuite/"), package, F.lit("/T.java\n+++ b/evosuite/"), package, F.lit("/T.java\n@@ -3,1 +3,2 @@\n-"), "n_name", F.lit("\n+"), "n_regionkey", F.lit("\n+\n"))
+    path = F.concat(F.lit(f"{root}/"), (F.col("n_nationkey") + 1).cast("string"), F.lit("_"), "n_name", F.lit("/run_20260127_030639/patches/"), "n_name", F.lit("/_Request/test0"), "n_regionkey", F.lit(".diff"))
+    patches.write_files(table(spark, sf_dir, "nation").select(path.alias("path"), raw.alias("raw")))
     tree = patches.read_tree(spark, root)
     lines = patches.patch_lines(tree).groupBy(*patches.KEY).agg(F.count_if(F.col("op") == "-").alias("removed"), F.count_if(F.col("op") == "+").alias("added"))
     return tree.join(lines, list(patches.KEY)).select("project_id", "project", "class_name", "test_name", "removed", "added", "package")
@@ -487,8 +487,8 @@ def audit_running_totals(spark, sf_dir):
     audit.append(audit.records(events, F.col("event_type"), "ts", "user"), f"{base}/log")
     records = audit_stream.read_stream(spark, f"{base}/log").select("ts", "event", audit.field("user", "string").alias("user"))
 
-    def store(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/out")
+    def store(batch: DataFrame, n: int) -> None:  # a batch that runs again replaces itself
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
     audit_stream.running_totals(records, "user").writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
     return lineage.latest(spark.read.parquet(f"{base}/out"), ["user"], "batch", "n").select("user", "n", "last_event")
@@ -510,9 +510,12 @@ def audit_stream_windows(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+from palimpsest.plans import history  # noqa: E402, F401  its queries join these
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(catalog.SQL)

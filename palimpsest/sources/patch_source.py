@@ -50,7 +50,7 @@ class PatchTreeReader(DataSourceReader):
         return all(name not in known or (known[name] is not None and test(known[name], value)) for name, test, value in self.wanted)
 
     def partitions(self) -> list[Files]:
-        fs, root = _file_system(self.root)
+        fs, root = file_system(self.root)
         out: list[Files] = []
         held: list[tuple] = []
         n = 0
@@ -84,7 +84,7 @@ class PatchTreeReader(DataSourceReader):
                             yield project_id, project, run_ts, c.base_name, c.path
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        fs, _ = _file_system(self.root)
+        fs, _ = file_system(self.root)
         for project_id, project, run_ts, name, paths in partition.groups:
             for path in paths:
                 with fs.open_input_stream(path) as f:
@@ -110,10 +110,11 @@ class PatchTreeSource(DataSource):
         return PatchTreeReader(self.options["path"], max(1, int(self.options.get("files", 2000))))
 
 
-def _file_system(root: str):
+def file_system(root: str):
+    """The file system of a path or URI, and the path in it."""
     from pyarrow.fs import FileSystem, LocalFileSystem
 
-    return FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (LocalFileSystem(), root)
+    return FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (LocalFileSystem(), root.rstrip("/"))
 
 
 def _listed(fs, path: str) -> list:

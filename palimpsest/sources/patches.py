@@ -160,6 +160,26 @@ def sides(lines: DataFrame) -> DataFrame:
     )
 
 
+def write_files(files: DataFrame) -> None:
+    """Each row's raw as a file at its path, written by tasks through the file system that Spark's paths name; parents are created.
+    A task that runs again writes the same files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from palimpsest.sources.patch_source import file_system
+
+        n = 0
+        for b in batches:
+            for path, raw in zip(b["path"], b["raw"], strict=True):
+                fs, local = file_system(path)
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(local) as f:
+                    f.write(raw.encode())
+                n += 1
+        yield pd.DataFrame({"files": [n]})
+
+    files.select("path", "raw").mapInPandas(run, "files bigint").agg(F.sum("files")).collect()
+
+
 def write_tree(patches: DataFrame, path: str) -> None:
     """Patches by project and run; many to a file, unlike the tree that they may come from."""
     named = patches.withColumn("run", run_stamp("run_ts"))

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators import asof, lineage, merge, textdiff
+from palimpsest.functions import patch_functions
+from palimpsest.operators import asof, lineage, merge, sketches, textdiff
 from palimpsest.plans.catalog import query, table
 from palimpsest.plans.shipping import shared_folder
 from palimpsest.sources import audit, patch_source, patches
-from palimpsest.streaming import audit_stream, patch_stream
+from palimpsest.streaming import audit_stream, joined, patch_stream
 
 
 def _place(spark, name: str) -> str:
@@ -145,3 +146,62 @@ def patch_source_scan(spark, sf_dir):
     added = patches.patch_lines(tree).groupBy(*by).agg(F.count_if(F.col("op") == "+").alias("added"), F.sum(F.char_length("text") + 1).alias("chars"))
     both = tree.select("project", "test_no", *by).join(added, by)
     return both.groupBy("project_id", "project", "class_name").agg(F.count("*").alias("patches"), F.sum("test_no").alias("test_numbers"), F.sum(F.col("chars") - 1).alias("chars"), F.sum("added").alias("added"))
+
+
+@query("""
+SELECT p.event_id, p.user_id, c.event_id AS click_id, c.ts AS clicked FROM events p LEFT JOIN events c
+  ON c.event_type = 'click' AND c.user_id = p.user_id AND c.ts >= p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'purchase'""")
+def stream_followed(spark, sf_dir):
+    """Purchases as a stream, some of them sent twice, joined with the stream of clicks up to six hours later; purchases without any come when time has passed."""
+    base = _place(spark, "followed")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    share = F.least(F.lit(2), F.floor(3 * (F.unix_micros("at") - F.unix_micros(F.lit(low))) / F.greatest(F.lit(1), F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)))))
+    end = spark.range(1).select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), (F.lit(high) + F.expr("INTERVAL 30 DAY")).alias("at"))
+    streams = {}
+    for kind in ("purchase", "click"):
+        rows = events.where(F.col("event_type") == kind).withColumn("part", share)
+        rows = rows.unionByName(rows.where("event_id % 3 = 0")).drop("event_type")
+        for i in range(3):
+            rows.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{base}/{kind}/{i}")
+        end.write.parquet(f"{base}/{kind}/3")
+        streams[kind] = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{kind}/*")
+    out = joined.followed(streams["purchase"], streams["click"].withColumnRenamed("event_id", "click_id"), "user_id", "event_id", "click_id", "6 HOURS", late="2 days")
+
+    def store(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.parquet(f"{base}/out").where("event_id is not null")
+    return done.select("event_id", "user_id", "click_id", F.col("other_at").cast("timestamp_ntz").alias("clicked"))
+
+
+@query("""
+WITH u AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, user_id, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type IN ('purchase', 'error')) AS n FROM events GROUP BY ALL)
+SELECT week, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (p > 0) AS buyers, count(*) FILTER (e > 0) AS failed, count(*) FILTER (p > 0 AND e = 0) AS buyers_only, count(*) FILTER (p > 0 AND e > 0) AS in_both FROM u GROUP BY week""")
+def sketch_table(spark, sf_dir):
+    """Users of each day and kind of event kept as sketches, merged by weeks; who bought and had no error. Exact while a week has no more users than a sketch has room for."""
+    path = _place(spark, "sketches")
+    events = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
+    sketches.sketched(events.where("event_type in ('purchase', 'error')"), ["day", "event_type"], "user_id", "value").write.parquet(path)
+    weekly = sketches.combined(spark.read.parquet(path).withColumn("week", F.trunc("day", "week")), ["week", "event_type"])
+    side = lambda kind, name: weekly.where(F.col("event_type") == kind).select("week", F.col("rows").alias(f"{name}_rows"), F.col("theta").alias(name))
+    rows = side("purchase", "b").join(side("error", "e"), "week", "full")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return rows.select(
+        "week", (count(F.col("b_rows")) + count(F.col("e_rows"))).alias("rows"), count(sketches.distinct("b")).alias("buyers"), count(sketches.distinct("e")).alias("failed"),
+        F.when(F.col("e").isNull(), count(sketches.distinct("b"))).otherwise(count(sketches.only("b", "e"))).alias("buyers_only"), count(sketches.both("b", "e")).alias("in_both"),
+    )
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, role, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (SELECT conv_id, turn, role, string_split(replace(text, chr(10), ' '), ' ') AS words FROM conversations))
+SELECT conv_id, turn, role, CAST(1 AS INTEGER) AS hunk_no, CAST(3 + i AS INTEGER) AS line_no, '+' AS op, CAST(i AS INTEGER) AS new_no, w AS text FROM l""")
+def patch_lines_function(spark, sf_dir):
+    """The table function over patches that add each turn's words as lines."""
+    patch_functions.register(spark)
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    raw = F.concat(F.lit("--- a/T\n+++ b/T\n@@ -0,0 +1,"), F.size(words).cast("string"), F.lit(" @@\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("+"), w)), "\n"), F.lit("\n"))
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", raw.alias("raw")).createOrReplaceTempView("palimpsest_patches")
+    rows = spark.sql("SELECT * FROM patch_lines(TABLE(palimpsest_patches) PARTITION BY conv_id ORDER BY turn)")
+    return rows.select("conv_id", "turn", "role", "hunk_no", "line_no", "op", "new_no", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import features, guards
-from palimpsest.operators import lineage, textdiff
+from palimpsest.operators import lineage, sessions, textdiff
 from palimpsest.plans import catalog
 from palimpsest.plans.catalog import Query, query, table
 from palimpsest.plans.shipping import shared_folder
@@ -475,8 +475,8 @@ s AS (SELECT *, sum(CASE WHEN fresh IS DISTINCT FROM false THEN 1 ELSE 0 END) OV
 SELECT event_type AS event, min(ts) AS first, count(*) AS n FROM s GROUP BY event_type, no""")
 def audit_sessions(spark, sf_dir):
     """Runs of events of one kind without a pause of ten minutes: the batch form of the stream's sessions."""
-    recs = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("event"))
-    return audit_stream.sessions(recs, "event", "10 minutes").select("event", F.col("session_window.start").cast("timestamp_ntz").alias("first"), "n")
+    recs = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("event"))
+    return sessions.sessions(recs, "event", "at", 600_000_000).select("event", F.timestamp_micros("first").cast("timestamp_ntz").alias("first"), "n")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user, count(*) AS n, max_by(event_type, ts) AS last_event FROM events GROUP BY user_id")

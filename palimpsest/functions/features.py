@@ -5,6 +5,9 @@ Counts are of surface text, strings and comments included.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +48,37 @@ def self_comparing(text: Column) -> Column:
     return F.size(F.filter(F.zip_with(*sides, lambda a, b: a == b), lambda same: same)).cast("bigint")
 
 
+#: Patterns that are counted in one scan of a text, since no match of one can overlap a match of another, and how a match of each begins.
+_BEGINS = {
+    "try_blocks": ("try",), "verify_exception": ("verifyException",), "fails": ("fail",), "undeclared_notes": ("//",), "unstable_notes": ("Unstable",), "instance_of": ("instanceof",),
+    "for_loops": ("for",), "finally_blocks": ("finally",), "reflection": ("setAccessible", "getDeclared"), "throws_exception": ("throws",),
+}
+#: Every call of an assertion, with the number that its first argument begins with.
+_CALLS = r"\bassert\w+\s*\((?:\s*-?[0-9])?"
+
+
 def counts(rows: DataFrame, before: str, after: str) -> DataFrame:
-    """rows with <pattern>_before and <pattern>_after for every pattern and kind of assertion."""
-    wanted = PATTERNS | {f"assert_{a.lower()}": rf"\bassert{a}\s*\(" for a in ASSERTIONS}
-    return rows.withColumns({f"{n}_{side}": count_of(col, p) for n, p in wanted.items() for side, col in (("before", before), ("after", after))})
+    """rows with <pattern>_before and <pattern>_after for every pattern and kind of assertion.
+
+    A text is scanned once for all assertions and once for the patterns of _BEGINS; what is found there is told apart by how it
+    begins. The other patterns may overlap those and have scans of their own, left out where a word that they need is missing.
+    """
+    c = F.col
+    n = lambda matches, test: F.size(F.filter(matches, test)).cast("bigint")
+    begins = lambda words: lambda x: reduce(operator.or_, (F.startswith(x, F.lit(w)) for w in words))
+    equals = lambda kind: lambda x: x == kind
+    for side, column in (("before", before), ("after", after)):
+        text = F.coalesce(c(column), F.lit(""))
+        found = lambda pattern, text=text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        rows = rows.withColumns({"_calls": found(_CALLS), "_words": found("|".join(PATTERNS[k] for k in _BEGINS))})
+        rows = rows.withColumn("_kinds", F.transform("_calls", lambda x: F.regexp_extract(x, r"^assert(\w+)", 1)))
+        lacking = {"expected": ~F.contains(text, F.lit("expected")), "timeouts": ~F.contains(text, F.lit("timeout")), "non_ascii": F.octet_length(text) == F.char_length(text)}
+        out = {"asserts": F.size("_calls").cast("bigint"), "literal_first": n("_calls", lambda x: F.startswith(x, F.lit("assertEquals")) & F.rlike(x, F.lit("^" + PATTERNS["literal_first"])))}
+        out |= {k: n("_words", begins(b)) for k, b in _BEGINS.items()}
+        out |= {k: F.when(lacking.get(k, F.lit(False)), F.lit(0).cast("bigint")).otherwise(count_of(text, p)) for k, p in PATTERNS.items() if k not in out}
+        out |= {f"assert_{a.lower()}": n("_kinds", equals(a)) for a in ASSERTIONS}
+        rows = rows.withColumns({f"{k}_{side}": out[k] for k in (*PATTERNS, *(x for x in out if x not in PATTERNS))}).drop("_calls", "_words", "_kinds")
+    return rows
 
 
 def flags(rows: DataFrame, before: str = "before", after: str = "after") -> DataFrame:

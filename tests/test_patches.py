@@ -4,6 +4,7 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.functions import features
 from palimpsest.operators import linediff, lineage, textdiff
@@ -99,6 +100,19 @@ def test_features_and_flags(spark, tree):
     assert total["methods"] == 3 and total["try_to_expected"] == 2
 
 
+def test_shared_scans_count_what_each_pattern_counts(spark):
+    r = random.Random(5)
+    bits = ["assertEquals(-3, x)", "assertEquals ( 4", "assertEquals(x", "assertTrue(", "assertFoo (\n", "assert(", "try {", "try{", "tryy {", "finally  {", "for (int", "fail(\"x\")", "verifyException (", "a.setAccessible(true)", "getDeclaredField(",
+        "throws Exception ", "throws  Exception", "// Undeclared exception!", "Unstable assertion", "x instanceof Y", "@Test(timeout = 4000, expected = E.class)", "@Test ( expected", "timeout", ".set(", ". add (", ".putAll(", "é", "日本", "\n", " ", "\"", "assertThrows(fail("]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", ";\n"]) for _ in range(r.randint(0, 30))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(t, t and t[::2]) for t in texts], "b string, a string")
+    wanted = features.PATTERNS | {f"assert_{a.lower()}": rf"\bassert{a}\s*\(" for a in features.ASSERTIONS}
+    rows = features.counts(df, "b", "a")
+    assert set(rows.columns) == {"a", "b"} | {f"{k}_{s}" for k in wanted for s in ("before", "after")}
+    bad = [k for k, p in wanted.items() if rows.where((F.col(f"{k}_before") != features.count_of("b", p)) | (F.col(f"{k}_after") != features.count_of("a", p))).count()]
+    assert bad == []
+
+
 lines_of = st.lists(st.sampled_from(["a", "b", "-- x", "+++ y", "@@ -1,1 +1,1 @@", "", " z"]), max_size=30)
 
 

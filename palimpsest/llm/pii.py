@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,7 +61,7 @@ def plain_spans(text: str) -> list[Span]:
     """Identifiers written plainly, by start, then kind."""
     out = [("email", a, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -75,6 +76,7 @@ def plain_spans(text: str) -> list[Span]:
 
 # Letters of other scripts that look like ASCII ones.
 _LOOKALIKES = dict(zip("аеорсхуіјѕһԁԛԝɡӏвнкмтАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανι", "aeopcxyijshdqwglbhkmtABEKMHOPCTXIJSABEZHIKMNOPTYXoavi", strict=True))
+_LOOKALIKES |= dict.fromkeys("。｡", ".")
 _INVISIBLE = "­​‌‍⁠﻿"
 
 
@@ -103,11 +105,13 @@ _DIGIT_WORDS = {
     )
     for d, w in enumerate(words.split())
 }
+_DIGIT_WORDS["oh"] = "0"
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|point|punto"
 _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_DOT_ENTITY, _AT_ENTITY = "&(?:#46|#x2e|period);", "&(?:#64|#x40|commat);"
-_DOT_MARK = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*|{_DOT_ENTITY})"
-_AT_MARK = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|{_AT_ENTITY})"
+_DOT_ENTITY, _AT_ENTITY = "(?:&(?:#0*46|#x0*2e|period);|%2e)", "(?:&(?:#0*64|#x0*40|commat);|%40)"
+# A mark takes the white space around it whole, so it is never sought from within a run of white space: that would cost its square.
+_DOT_MARK = rf"(?:(?<!\s)\s*+[\[({{<]\s*+(?:{_DOT_WORDS}|\.)\s*+[\])}}>]\s*+|{_DOT_ENTITY})"
+_AT_MARK = rf"(?:(?<!\s)\s*+[\[({{<]\s*+(?:{_AT_WORDS}|@)\s*+[\])}}>]\s*+|{_AT_ENTITY})"
 _TIMES = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
 _SEVERAL = rf"(?:{'|'.join(_TIMES)})\s+(?:(?:{_WORD})\b|[0-9]\b)"
 _ITEM = rf"(?:{_SEVERAL}|(?:{_WORD}|{_DOT_WORDS}|dash|hyphen)\b|[0-9]+)"
@@ -122,21 +126,52 @@ _LABEL = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
 
 def _address(at: str, dot: str) -> str:
     """An address with at and at least one dot after it in words."""
-    return rf"\s+(?:{at})\s+{_LABEL}(?:(?:\s+(?:{dot})\s+|{_DOT_MARK}){_LABEL})+"
+    return rf"\s++(?:{at})\s++{_LABEL}(?:(?:\s+(?:{dot})\s+|{_DOT_MARK}){_LABEL})+"
 
 
 # English prose has "at the point of", so there "point" is a dot only after an at of the language.
-_LOCAL_SAID = r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:\s+(?:dot|punkt|punto)\s+[A-Za-z0-9._%+-]+)*"
-_ADDRESS = rf"{_LOCAL_SAID}(?:{_address('arroba|arobase', _DOT_WORDS)}|{_address('at', 'dot|punkt|punto')})"
+_TAIL = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:{_address('arroba|arobase', _DOT_WORDS)}|{_address('at', 'dot|punkt|punto')})", re.I)
+# What stands before a tail, with its dots in words, read backwards from there: forwards, each of a row of such words would be tried.
+_LOCAL_SAID = re.compile(r"[A-Za-z0-9._%+-]++(?:\s++(?:tod|tknup|otnup)\s++[A-Za-z0-9._%+-]++)*+(?![\w.%+-])", re.I)
 _SPACED = rf"(?<=[A-Za-z0-9])\s+@\s+[A-Za-z0-9-]+(?:(?:\s+\.\s+|\.)[A-Za-z0-9-]+)*(?:\s+\.\s+|\.)[A-Za-z]{{2,}}\b"
 _ADDRESS_PART = re.compile(rf"(?P<at>\s+(?:{_AT_WORDS})\s+|{_AT_MARK}|\s+@\s+)|(?P<dot>\s+(?:{_DOT_WORDS})\s+|{_DOT_MARK}|\s+\.\s+)", re.I)
-_REWRITE = re.compile(rf"(?P<address>{_ADDRESS}|{_SPACED})|(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
+_REWRITE = re.compile(rf"(?P<address>{_SPACED})|(?P<at>{_AT_MARK}|{_SPELLED_AT}|{_SPACED_AT})|(?P<run>{_RUN})|(?P<dot>{_DOT_MARK}|{_SPELLED_DOT})|(?P<zero>(?<=[0-9])[Oo](?=[0-9]))|(?P<one>(?<=[0-9])[lI](?=[0-9]))", re.I)
+_SAYS = re.compile(r"[A-Za-z\[({<]")
 _SAID = rf"{_WORD}|dash|hyphen|{'|'.join(_TIMES)}"
 #: Without one of these no rewrite applies: a run without dots has two neighbours of which one is said, or plus before figures. Letters of western European languages are not among them.
 _HINT = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.|@)\s*[\])}}>]|{_AT_ENTITY}|{_DOT_ENTITY}|\b(?:{_DOT_WORDS})\b|\s@\s|[0-9][OolI][0-9]|\bplus\s+[0-9]|\b(?:{_SAID})\b[\s,.-]+(?:(?:{_SAID})\b|[0-9])|[0-9][\s,.-]+(?:{_SAID})\b", re.I)
 _ODD = re.compile(r"[^\x00-\x7f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-ɏ‘-”…€]")
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses with at and dots in words, in order; none overlaps another."""
+    out: list[tuple[int, int]] = []
+    back = None
+    for m in _TAIL.finditer(text):
+        back = text[::-1] if back is None else back
+        if (local := _LOCAL_SAID.match(back, len(text) - m.start())) and (start := len(text) - local.end()) >= (out[-1][1] if out else 0):
+            out.append((start, m.end()))
+    return out
+
+
+def rewrites(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what is rewritten, in order; of two that overlap the first, of two that begin together an address."""
+    at, m = 0, _REWRITE.search(text)
+    waiting = iter(addresses(text))
+    a = next(waiting, None)
+    while m or a:
+        if a and a[0] < at:
+            a = next(waiting, None)
+        elif m and m.start() < at:
+            m = _REWRITE.search(text, at)
+        elif a and (not m or a[0] <= m.start()):
+            yield "address", *a
+            at = a[1]
+        else:
+            yield m.lastgroup, *m.span()
+            at = m.end()
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The rewritten text and, for each of its characters, start and end in the source; None if nothing is rewritten."""
     starts: list[int] | range = range(len(text))
@@ -161,21 +196,21 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
         s.extend(starts[a:b])
         e.extend(ends[a:b])
 
-    for m in _REWRITE.finditer(flat):
-        if m.lastgroup == "run" and not re.search(r"[A-Za-z\[({<]", m[0]):
+    for kind, first, stop in rewrites(flat):
+        if kind == "run" and not _SAYS.search(flat, first, stop):
             continue
-        keep_as_is(last, m.start())
-        last = m.end()
-        if m.lastgroup == "address":
-            at = m.start()
-            for p in _ADDRESS_PART.finditer(flat, m.start(), m.end()):
+        keep_as_is(last, first)
+        last = stop
+        if kind == "address":
+            at = first
+            for p in _ADDRESS_PART.finditer(flat, first, stop):
                 keep_as_is(at, p.start())
                 put("@" if p.lastgroup == "at" else ".", p.start(), p.end())
                 at = p.end()
-            keep_as_is(at, m.end())
-        elif m.lastgroup == "run":
-            parts = list(_PART.finditer(flat, m.start(), m.end()))
-            parts = [p for p in parts if p.end() <= m.end()]
+            keep_as_is(at, stop)
+        elif kind == "run":
+            parts = list(_PART.finditer(flat, first, stop))
+            parts = [p for p in parts if p.end() <= stop]
             solid = [p for p in parts if p.lastgroup != "other"]
             nxt = iter(solid[1:])
             before, after = None, solid[0] if solid else None
@@ -194,7 +229,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
                 else:
                     put({"dot": ".", "dash": "-", "plus": "+"}.get(p.lastgroup) or _DIGIT_WORDS[p[0].lower()], p.start(), p.end())
         else:
-            put({"at": "@", "dot": ".", "zero": "0", "one": "1"}[m.lastgroup], *m.span())
+            put({"at": "@", "dot": ".", "zero": "0", "one": "1"}[kind], first, stop)
     keep_as_is(last, len(flat))
     out = "".join(pieces)
     return None if out == text else (out, s, e)
@@ -205,12 +240,13 @@ def added_spans(text: str, plain: list[Span]) -> list[Span]:
     if (n := normalise(text)) is None:
         return []
     flat, starts, ends = n
+    known = {kind: [(a, b) for k, a, b in plain if k == kind] for kind in KINDS}  # of one kind none overlaps another
     out = set()
     for kind, a, b in plain_spans(flat):
         x, y = starts[a], ends[b - 1]
-        if text[x:y] == flat[a:b] or any(k == kind and p <= x and y <= q for k, p, q in plain):
-            continue
-        out.add((kind, x, y))
+        at = bisect_right(known[kind], x, key=lambda p: p[0])
+        if text[x:y] != flat[a:b] and not (at and y <= known[kind][at - 1][1]):
+            out.add((kind, x, y))
     return sorted(out, key=lambda s: (s[1], _RANK[s[0]]))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -150,3 +151,32 @@ def test_a_disguise_takes_only_its_own_text():
     plain = pii.plain_spans(text)
     assert [text[a:b] for _, a, b in plain] == ["a@b.co", "10.0.0.1"]
     assert [text[a:b] for _, a, b in pii.added_spans(text, plain)] == ["joe [at] site [dot] org", "10[.]0[.]0[.]2"]
+
+
+@pytest.mark.parametrize("bit", ["a dot ", " ", "(", "( ", "a at b dot c ", "a at ", "a @ ", "one ", "plus ", "1 ", "a . ", "[ \n", "double ", "b."])
+def test_long_rows_of_one_thing_take_time_in_proportion(bit):
+    took = []
+    for size in (40_000, 320_000):
+        text = "a dot b, x at " + bit * (size // len(bit)) + " seven@a.bc"
+        began = time.process_time()
+        pii.added_spans(text, pii.plain_spans(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_more_disguises_are_found():
+    for text in ("john%40example.com", "john&#x0040;example&#x002e;com", "john&#064;example&#0046;com", "john@example。com", "john dot smith at mail dot example dot com", "john (at) example%2ecom"):
+        assert pii.added_spans(text, pii.plain_spans(text)) == [("email", 0, len(text))]
+    text = "plus four nine oh one two three four five six seven eight"
+    assert pii.added_spans(text, []) == [("phone", 0, len(text))]
+
+
+def test_addresses_do_not_overlap():
+    assert pii.addresses("a at b dot c at d dot e") == [(0, 12)]
+    assert pii.addresses("x a dot b at c dot d y e at f dot g") == [(2, 20), (23, 35)]
+    assert pii.addresses("  at b dot c") == [] and pii.addresses("a \n at \t b punkt c") == [(0, 18)]
+
+
+def test_numbers_with_many_zeros():
+    assert pii.plain_spans("0" * 6000 + "1.2.3.4") == [("ip", 0, 6007)]
+    assert pii.plain_spans("1.2.3." + "9" * 6000) == []

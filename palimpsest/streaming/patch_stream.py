@@ -2,7 +2,7 @@
 
 Records of a key wait until the watermark has passed them, then they are applied in the order of (at, sources first, seq): what arrives
 out of order, or late by less than the watermark's delay, gives the rows of the batch fold. State of a key: its text and
-counts, the records that wait, and a timer for each moment at which some fall due. A key that was idle for `idle` of
+counts, the records that wait, and timers for when the first of them fall due. A key that was idle for `idle` of
 event time is forgotten.
 """
 
@@ -46,12 +46,12 @@ class _Fold(StatefulProcessor):
         # Milliseconds rounded up, so that a timer is never due before its record.
         fresh = [(-(-int(at.value) // 1_000_000), bool(s), None if pd.isna(q) else int(q), b if isinstance(b, str) else None) for r in rows for at, s, q, b in zip(r["at"], r["source"], r["seq"], r["body"], strict=True)]
         self.waiting.appendList(fresh)
-        for at in {x[0] for x in fresh}:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(min(x[0] for x in fresh))  # the others' time is looked at then
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        # All that the watermark has passed, not only what fell due first: each call to the state is a round trip.
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         text, done, refused, last = self.now.get() if self.now.exists() else (None, 0, 0, 0)
         waiting = list(self.waiting.get())
         ready = sorted((x for x in waiting if x[0] <= due), key=lambda x: (x[0], not x[1], x[2] is not None, x[2] or 0, x[3] or ""))
@@ -68,8 +68,12 @@ class _Fold(StatefulProcessor):
                 text, done = new, done + 1
         last = ready[-1][0]
         self.now.update((text, done, refused, last))
-        self.waiting.put([tuple(x) for x in waiting if x[0] > due]) if len(ready) < len(waiting) else self.waiting.clear()
-        self.handle.registerTimer(last + self.idle_ms)
+        if rest := [tuple(x) for x in waiting if x[0] > due]:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(x[0] for x in rest))
+        else:
+            self.waiting.clear()
+            self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame({self.key: [key[0]], "text": [text], "applied": [done], "rejected": [refused]})
 
     def close(self) -> None:

@@ -51,3 +51,18 @@ def test_out_of_order_patches_give_the_batch_folds_rows(spark, tmp_path, records
     got = last(run(spark, mixed, tmp_path, order))
     assert {k: v for k, v in got.items() if k != "clock"} == {r["key"]: (r["text"], r["applied"], r["rejected"]) for r in want.collect()}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_state_is_kept_between_batches_and_forgotten_when_idle(spark, tmp_path):
+    d = lambda a, b: textdiff.unified(a, b, "p")
+    order = [
+        [("k", 1000, True, None, "a\n"), ("k", 1010, False, 1, d("a\n", "b\n"))],
+        [("clock", 2000, True, None, "")],  # what is due so far is applied after this
+        [("k", 2500, False, 2, d("b\n", "c\n"))],
+        [("clock", 4000, True, None, "")],
+        [("clock", 20_000, True, None, "")],  # over 10,000 seconds without a record: forgotten
+        [("k", 30_000, False, 3, d("c\n", "d\n"))],
+        [("clock", 50_000, True, None, "")],
+    ]
+    got = [tuple(r)[1:] for r in run(spark, None, tmp_path, order) if r["key"] == "k"]
+    assert sorted(got, key=str) == sorted([("b\n", 1, 0), ("c\n", 2, 0), (None, 0, 1)], key=str)

@@ -181,6 +181,6 @@ def write_files(files: DataFrame) -> None:
 
 
 def write_tree(patches: DataFrame, path: str) -> None:
-    """Patches by project and run; many to a file, unlike the tree that they may come from."""
+    """Patches by project and run; many to a file, unlike the tree that they may come from. A large run is split over tasks by its size, small ones share one."""
     named = patches.withColumn("run", run_stamp("run_ts"))
-    named.repartition("project", "run").write.mode("overwrite").partitionBy("project", "run").parquet(path)
+    named.hint("rebalance", "project", "run").write.mode("overwrite").partitionBy("project", "run").parquet(path)

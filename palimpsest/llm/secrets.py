@@ -51,7 +51,8 @@ RULES = (
     # A run of hexadecimal characters is matched whole, so the least length can stand in the pattern.
     Rule("hex", r"[0-9a-f]{24,}", base=True),
     Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Only from where its run of characters begins: from each eyJ in a long run it would cost the run's square.
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),

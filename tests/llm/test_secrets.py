@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from palimpsest.llm import secrets
 
@@ -52,3 +53,15 @@ def test_query_columns_and_edge_cases(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == sorted([(1, 1, 0, 0, sha("assign:0:14"), "assign:0:14", 1)] * 2 + [(2, 0, 0, 0, sha(""), "", 0), (3, 0, 0, 0, sha(""), "", 0), (None, 0, 1, 0, sha("access:200001:200021"), "access:200001:200021", 1)], key=str)
     assert secrets.digest(secrets.find_secrets(spark.createDataFrame([], "doc_id bigint, text string"))).collect() == []
+
+
+def test_long_runs_take_time_in_proportion():
+    for bit in ("eyJ", "eyJabcdefgh.", "eyJabcdefghij", "ghp_", "xoxb-", "ab://", "AKIA", "token=", "-----BEGIN "):
+        took = []
+        for size in (30_000, 240_000):
+            began = time.process_time()
+            secrets.Scanner().scan([bit * (size // len(bit)), "token"])
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.05), bit
+    text = "x eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM_ y"
+    assert secrets.Scanner().scan([text])[0] == [("signed_token", 2, 39)] and secrets.Scanner().scan(["q" + text[2:]])[0] == []

@@ -13,7 +13,7 @@ from palimpsest.sources.audit import parsed
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    return parsed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
+    return parsed(spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").text(path))
 
 
 def windowed_counts(records: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:

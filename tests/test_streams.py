@@ -4,7 +4,7 @@ from pathlib import Path
 from palimpsest.functions import patch_functions
 from palimpsest.operators import textdiff
 from palimpsest.sources import audit, external, patches, storage
-from palimpsest.streaming import joined
+from palimpsest.streaming import audit_stream, joined
 
 
 def test_followed_in_time_once_and_outer_on_expiry(spark, tmp_path):
@@ -35,6 +35,9 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
     (tmp_path / "log" / "_lost").mkdir()
     (tmp_path / "log" / "_lost" / "part-0.txt").write_text(json.dumps({"ts": 1, "event": "half"}) + "\n")
     assert audit.read(spark, log).count() == 12  # what a lost run has left is not read
+    q = audit_stream.read_stream(spark, log).select("ts").writeStream.format("memory").queryName("whole_log").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and spark.table("whole_log").count() == 12
     assert not [p for p in Path(log).iterdir() if p.name.startswith("_") and p.name not in ("_lost", "_SUCCESS")]
 
 

@@ -479,7 +479,7 @@ def audit_sessions(spark, sf_dir):
     return sessions.sessions(recs, "event", "at", 600_000_000).select("event", F.timestamp_micros("first").cast("timestamp_ntz").alias("first"), "n")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS user, count(*) AS n, max_by(event_type, ts) AS last_event FROM events GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS user, count(*) AS n, max_by(event_type, (ts, event_type)) AS last_event FROM events GROUP BY user_id")
 def audit_running_totals(spark, sf_dir):
     """Totals of each user kept as state while the log is read as a stream; the last state of each is the result."""
     base = f"{shared_folder(spark)}/palimpsest/totals-{uuid.uuid4().hex}"

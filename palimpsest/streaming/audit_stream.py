@@ -29,15 +29,14 @@ def sessions(records: DataFrame, key: str, gap: str = "30 minutes", late: str =
 
 
 def running_totals(records: DataFrame, key: str) -> DataFrame:
-    """Per key the number of records so far and the last event, kept as state."""
+    """Per key the number of records so far and the last event, kept as state; of events at one time the last by name, whatever came first."""
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last_ts, last = state.get if state.exists else (0, float("-inf"), "")
         for b in batches:
             n += len(b)
-            i = b["ts"].idxmax() if b["ts"].notna().any() else None
-            if i is not None and b["ts"][i] >= last_ts:
-                last_ts, last = float(b["ts"][i]), str(b["event"][i])
+            known = b[b["ts"].notna() & b["event"].notna()]
+            last_ts, last = max([(last_ts, last), *zip(known["ts"].astype(float), known["event"], strict=True)])
         state.update((n, last_ts, last))
         yield pd.DataFrame({key: [k[0]], "n": [n], "last_event": [last]})
 

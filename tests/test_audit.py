@@ -57,3 +57,14 @@ def test_stream_counts_and_state(spark, tmp_path):
     assert {(r["user"], r["n"], r["last_event"]) for r in state} == {("0", 15, "a"), ("1", 15, "a")}
     batch = audit_stream.sessions(audit.read(spark, log).withColumn("user", audit.field("user", "string")), "user", "5 minutes").collect()
     assert {(r["user"], r["n"]) for r in batch} == {("0", 15), ("1", 15)}
+
+
+def test_last_event_does_not_depend_on_arrival(spark, tmp_path):
+    for name, events in (("one", "abc"), ("two", "cba")):
+        log = str(tmp_path / name / "log")
+        for e in events:  # a file and a batch each
+            audit.append(audit.records(spark.createDataFrame([(5.0, e, "u"), (None, "z", "u")], "ts double, event string, user string").coalesce(1), F.col("event"), "ts", "user"), log)
+        recs = audit_stream.read_stream(spark, log, max_files=1).withColumn("user", audit.field("user", "string")).drop("extras")
+        q = audit_stream.running_totals(recs, "user").writeStream.format("memory").queryName(f"last_{name}").outputMode("update").option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None and max((r["n"], r["last_event"]) for r in spark.table(f"last_{name}").collect()) == (6, "c")

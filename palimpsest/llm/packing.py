@@ -1,12 +1,13 @@
 """Best-fit packing of documents into sequences, from partitions upwards.
 
-Every partition packs its pieces best-fit, longest first. Bins that are nearly
-full are done. All underfull bins go one level up, where they are dealt anew to as
-many partitions as their number asks for and packed again as items. So it goes on
-until one partition is left, or until a level hardly lessens the bins: as items are
-dealt at random, every partition has the same mix, and what finds no partner in one
-finds none in another. An item carries its pieces along, so no level has to look
-anything up, and a partition holds a bounded number of items and of pieces.
+Every partition packs its pieces best-fit, longest first. Then no two of its bins can be
+joined, so one at most is half empty or emptier. That one goes a level up, and with it, as
+hosts, one bin of each length that is not nearly full; all others are done. What goes up is
+dealt anew to as many partitions as its number asks for, half of those below at most, and
+packed again as items, until one partition is left. Its one bin that is half empty, if
+there is one, joins the fullest of all done bins that has room for it. So no two of all
+sequences could be joined, whatever is nearly full. An item carries its pieces along, so no
+level has to look anything up, and a partition holds a bounded number of items and of pieces.
 
 Defined cases: null text is read as empty; a document's ids end with the
 separator, so an empty one is a piece of one token; texts of any length are
@@ -27,7 +28,7 @@ from palimpsest.llm.common import arrow_map, pick, written
 
 SIZE, SEPARATOR = 1024, 2
 PIECE = "doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint"
-_BIN = f"done boolean, length bigint, parts array<struct<{PIECE}, offset: bigint>>"
+_BIN = f"up boolean, length bigint, parts array<struct<{PIECE}, offset: bigint>>"
 
 
 def cut_points(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -75,13 +76,14 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, pieces_per_partition: int = 200_000, slack: int = 2, least_gain: float = 0.01) -> DataFrame:
-    """The pieces with sequence_id and offset. A level that lessens the underfull bins by less than least_gain is the last."""
+def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, pieces_per_partition: int = 200_000, slack: int = 2) -> DataFrame:
+    """The pieces with sequence_id and offset. No two sequences could be joined."""
 
     def level(batches):
         items = [x for b in batches for x in zip(b["length"], b["parts"], strict=True)]
         items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"] is None, x[1][0]["doc_id"] or 0, x[1][0]["piece"]))
         chosen = best_fit([n for n, _ in items], size)
+        offered = set()
         for a in range(0, len(chosen), 1000):
             made = []
             for bin_ in chosen[a : a + 1000]:
@@ -89,32 +91,36 @@ def pack(cut: DataFrame, size: int = SIZE, items_per_partition: int = 20_000, pi
                 for i in bin_:
                     parts += [{**p, "offset": p["offset"] + at} for p in items[i][1]]
                     at += items[i][0]
-                made.append((at, parts))
-            yield {"done": [n >= size - slack for n, _ in made], "length": [n for n, _ in made], "parts": [p for _, p in made]}
+                up = at < size - slack and (2 * at <= size or at not in offered)
+                offered.add(at)
+                made.append((up, at, parts))
+            yield dict(zip(("up", "length", "parts"), map(list, zip(*made, strict=True)), strict=True))
 
     whole = F.array(F.struct(*(x.split(":")[0] for x in PIECE.split(", ")), F.lit(0).cast("bigint").alias("offset"))).alias("parts")
     items = cut.where(F.col("length") < size).select("length", whole)
-    finished = [cut.where(F.col("length") >= size).select(F.lit(True).alias("done"), "length", whole)]
-    before = items.count()
-    n = max(1, -(-before // items_per_partition))
+    finished = cut.where(F.col("length") >= size).select(F.monotonically_increasing_id().alias("sequence_id"), "length", whole)
+    height, n = 1, max(1, -(-items.count() // items_per_partition))
     while True:
         # Dealt by row number, not by document: no key can gather many rows.
         dealt = items.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())).repartition(n, "deal").select("length", "parts")
-        packed = written(arrow_map(dealt, level, _BIN), "bins")
-        finished.append(packed.where("done"))
-        items = packed.where("not done").select("length", "parts")
-        left = items.agg(F.count("*").alias("bins"), F.sum(F.size("parts")).alias("pieces")).first()
-        if n == 1 or left["bins"] > (1 - least_gain) * before:
-            finished.append(packed.where("not done"))
+        # Numbered where they are written, apart from those of other levels.
+        packed = written(arrow_map(dealt, level, _BIN).withColumn("sequence_id", F.lit(height << 56) + F.monotonically_increasing_id()), "bins")
+        if n == 1:
             break
-        before = left["bins"]
-        n = max(1, -(-before // items_per_partition), -(-(left["pieces"] or 0) // pieces_per_partition))
-    out = finished[0]
-    for x in finished[1:]:
-        out = out.unionByName(x)
-    # A number for each bin, in a step of its own: beside explode it would number the pieces.
-    numbered = out.withColumn("sequence_id", F.monotonically_increasing_id())
-    return numbered.select("sequence_id", F.explode("parts").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
+        finished = finished.unionByName(packed.where("not up").drop("up"))
+        items = packed.where("up").select("length", "parts")
+        left = items.agg(F.count("*").alias("bins"), F.sum(F.size("parts")).alias("pieces")).first()
+        height, n = height + 1, max(1, min(n // 2, max(-(-left["bins"] // items_per_partition), -(-(left["pieces"] or 0) // pieces_per_partition))))
+    finished = finished.unionByName(packed.drop("up"))
+    placed = finished.select("sequence_id", F.explode("parts").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
+    # One bin at most is half empty; a bin that stayed below may have room for it.
+    last = packed.where(2 * F.col("length") <= size).select("sequence_id", "length").first()
+    fits = last and finished.where((F.col("length") <= size - last["length"]) & (F.col("sequence_id") != last["sequence_id"]))
+    host = fits and fits.select("sequence_id", "length").orderBy(F.desc("length"), "sequence_id").first()
+    if not host:
+        return placed
+    moved = F.col("sequence_id") == last["sequence_id"]
+    return placed.withColumns({"offset": F.when(moved, F.col("offset") + host["length"]).otherwise(F.col("offset")), "sequence_id": F.when(moved, F.lit(host["sequence_id"])).otherwise(F.col("sequence_id"))})
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARATOR) -> DataFrame:

@@ -54,6 +54,9 @@ SHAPES = {
     "above half": lambda r, i: r.randint(513, 900) if i % 2 else r.randint(100, 500),
     "only large": lambda r, i: r.randint(513, 1023),
     "tiny": lambda r, i: r.randint(1, 3),
+    "one pair": lambda r, i: {5: 500, 20_000: 524}.get(i, 900),
+    "room of two tokens": lambda r, i: {5: 2, 20_000: 1022}.get(i, 1023),
+    "few and small": lambda r, i: 30 if i % 3000 == 7 else 1000,
 }
 
 
@@ -73,9 +76,24 @@ def test_levels_lose_nothing_and_come_near_one_best_fit(spark, shape):
             assert offset == at
             at += length
         assert at <= 1024
+    used = sorted(sum(n for _, n in places) for places in by_seq.values())
+    assert used[0] + used[1] > 1024  # so no two can be joined
     assert len(by_seq) <= 1.01 * len(packing.best_fit([c[3] for c in cut], 1024)) + 1
 
 
+@pytest.mark.parametrize("items", [1, 7, 100])
+def test_partitions_of_few_items_come_to_an_end(spark, items):
+    r = random.Random(9)
+    cut = [(i, 0, 0, r.randint(1, 1023), i) for i in range(300)]
+    df = spark.createDataFrame(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    rows = packing.pack(df, items_per_partition=items, pieces_per_partition=2 * items).collect()
+    used = defaultdict(int)
+    for x in rows:
+        used[x["sequence_id"]] += x["length"]
+    first, second = sorted(used.values())[:2]
+    assert sorted(x["doc_id"] for x in rows) == list(range(300)) and max(used.values()) <= 1024 < first + second
+
+
 def test_best_fit_against_a_plain_one():
     r = random.Random(8)
     for _ in range(50):

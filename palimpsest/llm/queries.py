@@ -53,9 +53,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MEASURES = {
-    "m_length": "CAST(floor(8 * log2(greatest(n_words, 1)) + 1e-9) AS BIGINT)",
     "m_word": "20 * word_chars // greatest(n_words, 1)",
-    "m_symbols": "six(1000000 * n_symbols // greatest(word_chars, 1))",
+    "m_symbols": f"six(1000000 * greatest(0, n_symbols - CAST(ceil(sqrt({rules.ERRORS**2} * n_symbols)) AS BIGINT)) // greatest(word_chars, 1))",
     "m_lines": "six(1000000 * n_dup_lines // greatest(n_lines, 1))",
     "m_repeated": "six(1000000 * n_repeat_words // greatest(n_words, 1))",
 }
@@ -68,12 +67,13 @@ def _six(sql: str) -> str:
 
 def _exact_bounds_sql(name: str, by: str) -> str:
     """Per group: documents, and each measure's bounds from exact quantiles of the sorted values."""
-    at = lambda q: f"v[(len(v) * {q} + 99) // 100]"
-    reach = f"{rules.REACH} * ({at(75)} - {at(25)})"
-    tail = "(CASE measure " + " ".join(f"WHEN '{m}' THEN {t}" for m, t in rules.TAIL.items()) + " END)"
+    at = lambda q, v="v": f"{v}[(len({v}) * {q} + 99) // 100]"
+    apart = f"{rules.REACH['m_word']} * greatest({at(75)} - {at(25)}, 1)"
+    fence = lambda m: f"WHEN '{m}' THEN greatest({at(99)}, {at(75, 'z')} + {rules.REACH[m]} * ({at(75, 'z')} - {at(25, 'z')}))"
+    high = f"CASE measure WHEN 'm_word' THEN {at(75)} + {apart} WHEN 'm_symbols' THEN greatest({rules.FACTOR} * {at(90)}, {at(50, 'z')} // {rules.PART}) {fence('m_lines')} {fence('m_repeated')} END"
     return f"""
-{name} AS (SELECT * EXCLUDE (v), len(v) AS docs, least({at(tail)}, {at(25)} - {reach}) AS low, greatest({at(f'(100 - {tail})')}, {at(75)} + {reach}) AS high
-  FROM (SELECT {by} measure, list_sort(list(bucket)) AS v FROM long GROUP BY ALL))"""
+{name} AS (SELECT * EXCLUDE (v, z), len(v) AS docs, {at(25)} - {apart} AS low, {high} AS high
+  FROM (SELECT *, list_filter(v, lambda x: x > 0) AS z FROM (SELECT {by} measure, list_sort(list(bucket)) AS v FROM long GROUP BY ALL)))"""
 
 
 _BOTH_ENDS = ", ".join(f"'{m}'" for m in rules.BOTH_ENDS)
@@ -88,8 +88,9 @@ covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, range(8) AS r(j)
 c AS (
   SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    coalesce(n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM d LEFT JOIN covered USING (rid)
-), long AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {_six(e)} AS bucket FROM c WHERE n_words > 0" for m, e in _MEASURES.items())}),{_exact_bounds_sql("a", "lang, source,")},{_exact_bounds_sql("b", "lang,")},{_exact_bounds_sql("e", "")},
+    coalesce(n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    len(w) < {rules.LEAST_WORDS} OR 100 * coalesce(n, 0) > {rules.MOST_REPEATED} * len(w) AS failed FROM d LEFT JOIN covered USING (rid)
+), long AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {_six(e)} AS bucket FROM c WHERE NOT failed" for m, e in _MEASURES.items())}),{_exact_bounds_sql("a", "lang, source,")},{_exact_bounds_sql("b", "lang,")},{_exact_bounds_sql("e", "")},
 beyond AS (
   SELECT rid, list_position({list(_MEASURES)}, x.measure) AS place FROM long x
   JOIN a ON a.measure = x.measure AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source JOIN b ON b.measure = x.measure AND b.lang IS NOT DISTINCT FROM x.lang JOIN e ON e.measure = x.measure
@@ -97,7 +98,7 @@ beyond AS (
     OR bucket > CASE WHEN a.docs >= {rules.LEAST_DOCS} THEN a.high WHEN b.docs >= {rules.LEAST_DOCS} THEN b.high ELSE e.high END
 ), first AS (SELECT rid, {list(_MEASURES)}[min(place)] AS measure FROM beyond GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND measure IS NULL AS kept, CASE WHEN failed THEN 'base' ELSE measure END AS failed_rule
-FROM (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS failed FROM c) LEFT JOIN first USING (rid)
+FROM c LEFT JOIN first USING (rid)
 """
 
 

@@ -1,21 +1,27 @@
 """Quality rules whose thresholds adapt to each language and source. DataFrame functions only.
 
-Each document gets five measures. A sketch of every measure's distribution is kept
-for each (language, source): counts of values by bucket. Shares (of symbols, of
-repeated lines, of repeated words) are in millionths, rounded down to `BITS`
-significant binary digits, which resolves the tail to 1 part in 32 at every size of
-share; lengths go by eighths of a doubling, mean word lengths by twentieths of a
+Each document gets four measures. A sketch of every measure's distribution is kept
+for each (language, source), over the documents that pass the fixed limits: counts of
+values by bucket. Shares (of symbols, of repeated lines, of repeated words) are in
+millionths, rounded down to `BITS` significant binary digits, which resolves the tail
+to 1 part in 32 at every size of share; mean word lengths go by twentieths of a
 character. Such sketches merge by addition, whatever the order, and a quantile of a
 sketch is exactly the bucket of the data's quantile.
 
-A document fails a measure if it lies beyond both the outer fence of its group
-(three times the distance of the quartiles from them) and the group's outer
-quantile (the measure's share of `TAIL` at an end). So where a measure spreads, only
-what is far out fails; where it hardly ever differs from zero, the tail decides; and
-no measure takes more than its tail of a group at an end. There is no cutoff in the
-measure's own units. What a text is made of tells junk apart and has a tail of a
-tenth; length and repetition, which sound texts have too and of which the fixed
-limits take the worst, one of a hundredth. Shares fail only upwards. A source with fewer than `LEAST_DOCS` documents of a language is
+Mean word length fails beyond `REACH["m_word"]` times the distance of the quartiles
+from them, either way. Shares fail upwards only, and most documents have none, so their
+bounds look at the part that is not zero, too:
+
+* repeated lines and words, which sound texts have: beyond the fence of the quartiles of
+  the part that is not zero, and beyond the last hundredth of all;
+* symbols, of which sound texts have few: beyond twice the last tenth of all, and beyond
+  an eighth of the median of the part that is not zero. A document's symbols count less three times the
+  error of such a count (its root), so that a handful in a short text shows nothing.
+
+So a measure that spreads in a group takes only what is far out of it, no bound is zero
+where anything is above zero, and no fixed part of a group is lost. There is no cutoff in the
+measure's own units. Length is no measure: of documents that pass the fixed limits, sound ones
+and junk have the same. A source with fewer than `LEAST_DOCS` such documents of a language is
 judged by the language's merged sketch, and such a language by all documents'.
 
 Fixed limits of the contract (fewer than 20 words; over 30 % of words in repeated
@@ -37,14 +43,16 @@ from palimpsest.llm.common import written
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own.
 LEAST_DOCS = 50
-#: How many times the distance of the quartiles a fence lies beyond them.
-REACH = 3
+#: How many times the distance of the quartiles a fence lies beyond them (of the part that is not zero, for shares).
+REACH = {"m_word": 4, "m_lines": 3, "m_repeated": 3}
+#: A share of symbols fails beyond FACTOR times the last tenth of all and beyond the median of those above zero, divided by PART.
+FACTOR, PART = 2, 8
+#: Standard errors of a count of symbols that are taken off it.
+ERRORS = 3
 #: Significant binary digits of a share.
 BITS = 6
-#: The measures with the share in % that the tail at an end has at most, and which of them may fail downwards, too.
-TAIL = {"m_length": 1, "m_word": 10, "m_symbols": 10, "m_lines": 1, "m_repeated": 1}
-MEASURES = tuple(TAIL)
-BOTH_ENDS = ("m_length", "m_word")
+MEASURES = ("m_word", "m_symbols", "m_lines", "m_repeated")
+BOTH_ENDS = ("m_word",)
 _SPACE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
@@ -101,14 +109,14 @@ def measured(docs: DataFrame) -> DataFrame:
     counted = counted.select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_lines")
     words, lines_ = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    share = lambda a, b: _rounded(F.floor(1_000_000 * F.col(a) / b).cast("bigint"))
+    share = lambda a, b: _rounded(F.floor(1_000_000 * a / b).cast("bigint"))
+    sure = F.greatest(F.lit(0), F.col("n_symbols") - F.ceil(F.sqrt(ERRORS**2 * F.col("n_symbols"))))
     return counted.withColumns({
         "base_failed": failed,
-        "m_length": F.floor(8 * F.log2(words) + 1e-9).cast("bigint"),
         "m_word": F.floor(20 * F.col("word_chars") / words).cast("bigint"),
-        "m_symbols": share("n_symbols", F.greatest("word_chars", F.lit(1))),
-        "m_lines": share("n_dup_lines", lines_),
-        "m_repeated": share("n_repeat_words", words),
+        "m_symbols": share(sure, F.greatest("word_chars", F.lit(1))),
+        "m_lines": share(F.col("n_dup_lines"), lines_),
+        "m_repeated": share(F.col("n_repeat_words"), words),
     })
 
 
@@ -129,12 +137,15 @@ def bounds(sketch: DataFrame) -> DataFrame:
     group = ["level", "lang", "source", "measure"]
     merged = sketch.select(F.explode(_levels()).alias("g"), "measure", "bucket", "n").groupBy("g.level", "g.lang", "g.source", "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group)
-    seen = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    tail = F.coalesce(*(F.when(F.col("measure") == m, F.lit(t)) for m, t in TAIL.items()))
-    quantiles = seen.groupBy(*group).agg(F.max("all").alias("docs"), at(tail).alias("first"), at(25).alias("q1"), at(75).alias("q3"), at(100 - tail).alias("last"))
-    reach = REACH * (F.col("q3") - F.col("q1"))
-    ends = {"low": F.least(F.col("first"), F.col("q1") - reach), "high": F.greatest(F.col("last"), F.col("q3") + reach)}
+    seen = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w)).withColumn("zero", F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(w))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket"))).alias(f"all_{q}")
+    above = lambda q: F.min(F.when((F.col("bucket") > 0) & ((F.col("upto") - F.col("zero")) * 100 >= (F.col("all") - F.col("zero")) * q), F.col("bucket"))).alias(f"above_{q}")
+    quantiles = seen.groupBy(*group).agg(F.max("all").alias("docs"), *map(at, (25, 75, 90, 99)), *map(above, (25, 50, 75)))
+    apart = F.greatest(F.col("all_75") - F.col("all_25"), F.lit(1))
+    high = F.when(F.col("measure") == "m_word", F.col("all_75") + REACH["m_word"] * apart).when(F.col("measure") == "m_symbols", F.greatest(FACTOR * F.col("all_90"), F.expr(f"above_50 div {PART}")))
+    for m in ("m_lines", "m_repeated"):
+        high = high.when(F.col("measure") == m, F.greatest("all_99", F.col("above_75") + REACH[m] * (F.col("above_75") - F.col("above_25"))))
+    ends = {"low": F.col("all_25") - REACH["m_word"] * apart, "high": high}
     aggs = [F.max(F.when(F.col("measure") == m, v)).alias(f"{end}_{m}") for m in MEASURES for end, v in ends.items() if end == "high" or m in BOTH_ENDS]
     return quantiles.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *aggs)
 
@@ -152,7 +163,7 @@ def limits(sketch: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """The columns that op4 returns: contract's counts, base_failed and kept, with the rule that failed first."""
     rows = written(measured(docs), "measures")
-    sketch = written(sketches(rows.where("n_words > 0")), "sketches")
+    sketch = written(sketches(rows.where("not base_failed")), "sketches")
     joined = rows.join(limits(sketch), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     rule = F.when(F.col("base_failed"), "base")
     for m in MEASURES:

@@ -238,16 +238,16 @@ def _exact_links(texts: DataFrame) -> DataFrame:
         owner, number = owner[several], np.cumsum(first[several]) - 1
         total = int(number[-1]) + 1 if len(number) else 0
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if x == y else 1))
-        both = np.zeros((len(a), len(b)), np.float32)  # exact: counts stay far below 2 ** 24
+        both = np.zeros((len(a), len(b)), np.int64)
         step = max(1, (1 << 22) // len(rows))
         for c in range(0, total, step):
             i, j = np.searchsorted(number, [c, c + step])
             m = np.zeros((len(rows), step), np.float32)
             m[owner[i:j], number[i:j] - c] = 1
-            both += m[a] @ m[b].T
+            both += (m[a] @ m[b].T).astype(np.int64)  # exact: a step is far below 2 ** 24
         p, q = LEAST
         # |both| / (|a| + |b| - |both|) >= p / q, in whole numbers
-        like = (p + q) * both.astype(np.int64) >= p * (size[a][:, None] + size[b][None, :])
+        like = (p + q) * both >= p * (size[a][:, None] + size[b][None, :])
         if x == y:
             np.fill_diagonal(like, False)
         links = np.zeros(len(rows), np.int64)
@@ -379,6 +379,8 @@ def _classes(keyed: DataFrame, reps: DataFrame, runs: int, depth: int, limit: in
         classes = written(components(classes.selectExpr("node a", "root b").unionByName(new.select("a", "b"))), "classes")
         if missed <= (1 - recall) * n:
             break
+        if run + 1 == len(_SEEDS):
+            raise RuntimeError(f"after {run + 1} runs {missed} of {n} links of the last one were new, more than {1 - recall:g}")
         paths = written(_run_paths(keyed, reps, run + 1, depth), "paths")
     return classes
 

@@ -238,16 +238,18 @@ def _exact_links(texts: DataFrame) -> DataFrame:
         owner, number = owner[several], np.cumsum(first[several]) - 1
         total = int(number[-1]) + 1 if len(number) else 0
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if x == y else 1))
-        both = np.zeros((len(a), len(b)), np.int64)
+        both = np.zeros((len(a), len(b)), np.int32)
         step = max(1, (1 << 22) // len(rows))
         for c in range(0, total, step):
             i, j = np.searchsorted(number, [c, c + step])
             m = np.zeros((len(rows), step), np.float32)
             m[owner[i:j], number[i:j] - c] = 1
-            both += (m[a] @ m[b].T).astype(np.int64)  # exact: a step is far below 2 ** 24
+            np.add(both, m[a] @ m[b].T, out=both, casting="unsafe")  # exact: a step is far below 2 ** 24
         p, q = LEAST
         # |both| / (|a| + |b| - |both|) >= p / q, in whole numbers
-        like = (p + q) * both >= p * (size[a][:, None] + size[b][None, :])
+        like = np.empty(both.shape, bool)
+        for i in range(0, len(a), 256):  # few rows at once, for the sake of memory
+            like[i : i + 256] = (p + q) * both[i : i + 256].astype(np.int64) >= p * (size[a][i : i + 256, None] + size[b][None, :])
         if x == y:
             np.fill_diagonal(like, False)
         links = np.zeros(len(rows), np.int64)

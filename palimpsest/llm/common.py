@@ -180,16 +180,6 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-class WordHashes(dict):
-    """Hash of each word seen, up to a fixed number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def sliding(values: np.ndarray, width: int, pick_one=np.minimum) -> np.ndarray:
     """Minimum (or maximum) of each window of `width` values, by doubling; len - width + 1 values."""
     out, span = values, 1
@@ -209,6 +199,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LONG = 64  # bytes of a word that are hashed beside other words'; longer words one by one
+_BELOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # keeps the first n bytes of eight
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of data, in order, and where the words start; words are runs of bytes other than ASCII white space.
+
+    Eight bytes of all words are taken in at once, as whole numbers, so the work in Python does not grow with the number of words.
+    """
+    edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    # Aligned numbers, two of which hold the eight bytes from any place on.
+    eights = np.frombuffer(data + bytes(16 - len(data) % 8), np.dtype("<u8"))
+    out = size.astype(np.uint64) * _STEP
+    some = np.arange(len(start))
+    for done in range(0, _LONG, 8):
+        some = some[size[some] > done]
+        if not len(some):
+            break
+        at = start[some] + done
+        shift = ((at & 7) << 3).astype(np.uint64)
+        at >>= 3
+        part = (eights[at] >> shift) | (eights[at + 1] << (np.uint64(63) - shift) << np.uint64(1))
+        h = (out[some] ^ (part & _BELOW[np.minimum(size[some] - done, 8)])) * _STEP
+        out[some] = h ^ (h >> np.uint64(32))
+    out = mix(out)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return out, start
+
+
+def in_groups(texts: Iterable[bytes], least: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, so many bytes or little more at once; a longer text adds to no other."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > least:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; sorts, which is faster here than numpy's hashing of them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def kgram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """Mixed rolling hash of every k consecutive units, by doubling; len - k + 1 values."""
     base = np.array([0x9E3779B97F4A7C15], np.uint64)

@@ -32,6 +32,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -39,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, arrow_map, hot_join, mix, pick, written
+from palimpsest.llm.common import arrow_map, distinct, hot_join, in_groups, mix, pick, word_hashes, written
 
 WORDS, LEAST = 5, (4, 5)  # similarity of 4/5 at least
 DEPTH, FANOUT, RECALL = 2, 2, 1 - 1e-5
@@ -47,30 +48,45 @@ SKETCH_BITS, SKETCH_DIFFERENT = 128, 30
 _FIRST = -(1 << 63)
 _U = np.uint64
 
-
-_WORDS = WordHashes()
 _STEP = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def shingles(text: str | bytes | None, n: int = WORDS) -> np.ndarray:
-    """The set of hashes of n words in a row, ascending; of a text or its UTF-8 bytes."""
-    w = (text if isinstance(text, bytes) else (text or "").encode()).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
-    k = min(n, len(w))
-    out = np.zeros(len(h) - k + 1, np.uint64)
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row; of all of them where there are fewer."""
+    k = min(n, len(words))
+    out = np.zeros(len(words) - k + 1 if k else 0, np.uint64)
     for i in range(k):
-        out = mix((out + h[i : len(h) - k + 1 + i]) * _STEP[i % 5])
-    return np.unique(out)
+        out += words[i : i + len(out)] * (_STEP[i % 5] + _U(i // 5 * 2))
+    return mix(out)
+
+
+def shingle_sets(texts: Iterable[str | bytes | None], n: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text, or its UTF-8 bytes, the set of hashes of n words in a row, ascending. Short texts are hashed many at once."""
+    for group in in_groups(t if isinstance(t, bytes) else (t or "").encode() for t in texts):
+        words, start = word_hashes(b" ".join(group))
+        grams = _grams(words, n)
+        first = 0
+        for end in np.searchsorted(start, np.cumsum([len(t) + 1 for t in group])).tolist():
+            yield distinct(grams[first : end - n + 1] if end - first >= n else _grams(words[first:end], n))
+            first = end
+
+
+def shingles(text: str | bytes | None, n: int = WORDS) -> np.ndarray:
+    return next(shingle_sets([text], n))
 
 
 _SEEDS = mix(np.arange(1, 256, dtype=np.uint64) * _STEP[0])
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
-    """Per row the column numbers of the n least values."""
-    return np.argpartition(values, n - 1, axis=1)[:, :n] if values.shape[1] > n else np.tile(np.arange(values.shape[1]), (len(values), 1))
+    """Per row the column numbers of the n least values, which are overwritten."""
+    if values.shape[1] <= n:
+        return np.tile(np.arange(values.shape[1]), (len(values), 1))
+    rows, out = np.arange(len(values)), np.empty((len(values), n), np.int64)
+    for i in range(n):
+        out[:, i] = values.argmin(axis=1)
+        values[rows, out[:, i]] = ~_U(0)
+    return out
 
 
 def extend(tokens: np.ndarray, paths: np.ndarray, fanout: int = FANOUT) -> np.ndarray:
@@ -103,12 +119,17 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH, fanout: int = FANOUT) -
     return max(1, math.ceil(math.log(max(1 - recall, 1e-12)) / math.log(miss_chance(LEAST[0] / LEAST[1], depth, fanout))))
 
 
-def leaf_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, first: int = 0) -> np.ndarray:
-    """Paths of so many runs, from run number `first` on."""
+def leaves(tokens: np.ndarray, runs: int, depth: int = DEPTH, first: int = 0) -> np.ndarray:
+    """Paths of so many runs, from run number `first` on; one row per run."""
     paths = _SEEDS[first : first + runs]
     for _ in range(depth):
         paths = extend(tokens, paths).ravel()
-    return np.unique(paths)
+    return paths.reshape(runs, -1)
+
+
+def leaf_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH, first: int = 0) -> np.ndarray:
+    """The distinct paths of those runs."""
+    return distinct(leaves(tokens, runs, depth, first).ravel())
 
 
 _SKETCH = mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * _STEP[2]) | _U(1)
@@ -117,8 +138,8 @@ _SKETCH = mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * _STEP[2]) | _U(1)
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """One bit of the least token under each of 128 hashes, as two words."""
     least = np.full(SKETCH_BITS, ~_U(0))
-    for a in range(0, len(tokens), 4096):
-        least = np.minimum(least, (((tokens[a : a + 4096] >> _U(1))[:, None] ^ _SKETCH) * _STEP[3]).min(axis=0))
+    for a in range(0, len(tokens), 128):  # a few at once stay in the cache
+        least = np.minimum(least, (((tokens[a : a + 128] >> _U(1))[:, None] ^ _SKETCH) * _STEP[3]).min(axis=0))
     return np.packbits((mix(least) & _U(1)).astype(np.uint8)).view(np.uint64)
 
 
@@ -132,10 +153,10 @@ def _sets(docs: DataFrame, runs: int, depth: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("k1", "k2", "set", "n", "paths", "probe", "s1", "s2")}
-            for k1, k2, text in zip(b["k1"], b["k2"], b["text"], strict=True):
-                t = shingles(text)
+            for k1, k2, t in zip(b["k1"], b["k2"], shingle_sets(b["text"]), strict=True):
                 s = sketch(t).view(np.int64) if len(t) else (0, 0)
-                paths, probe = (leaf_paths(t, *how).view(np.int64) if len(t) else None for how in ((runs, depth), (1, depth, runs)))
+                found = leaves(t, runs + 1, depth).view(np.int64) if len(t) else None
+                paths, probe = (distinct(found[:-1].ravel()), distinct(found[-1])) if len(t) else (None, None)
                 values = (k1, k2, _set_key(t) if len(t) else None, len(t), paths, probe, s[0], s[1])
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
@@ -227,7 +248,7 @@ def _exact_links(texts: DataFrame) -> DataFrame:
         copies = np.array([r[5] for r in rows], np.int64)
         side = np.array([r[3] for r in rows])
         unpack = zstandard.ZstdDecompressor()
-        sets = [shingles(unpack.decompress(r[6])) for r in rows]
+        sets = list(shingle_sets(unpack.decompress(r[6]) for r in rows))
         size = np.array([len(s) for s in sets])
         token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(token, kind="stable")
@@ -299,8 +320,8 @@ def _split(keyed: DataFrame, reps: DataFrame, members: DataFrame, limit: int, mo
     def follow(batches):
         for b in batches:
             out: dict[str, list] = {"bucket": [], "rep": [], "n": [], "s1": [], "s2": []}
-            for rep, n, s1, s2, buckets, text in zip(*(b[c] for c in ("rep", "n", "s1", "s2", "buckets", "text")), strict=True):
-                paths = np.unique(extend(shingles(text), np.array(buckets, np.int64).view(np.uint64))).view(np.int64).tolist()
+            for rep, n, s1, s2, buckets, tokens in zip(*(b[c] for c in ("rep", "n", "s1", "s2", "buckets")), shingle_sets(b["text"]), strict=True):
+                paths = np.unique(extend(tokens, np.array(buckets, np.int64).view(np.uint64))).view(np.int64).tolist()
                 for name, v in zip(out, (paths, *([x] * len(paths) for x in (rep, n, s1, s2))), strict=True):
                     out[name] += v
             yield out
@@ -349,7 +370,7 @@ def _run_paths(keyed: DataFrame, reps: DataFrame, run: int, depth: int) -> DataF
 
     def paths(batches):
         for b in batches:
-            yield {**{c: b[c] for c in ("rep", "n", "s1", "s2")}, "paths": [leaf_paths(shingles(t), 1, depth, run).view(np.int64) for t in b["text"]]}
+            yield {**{c: b[c] for c in ("rep", "n", "s1", "s2")}, "paths": [leaf_paths(t, 1, depth, run).view(np.int64) for t in shingle_sets(b["text"])]}
 
     rows = _texts(keyed, reps.select("rep", "n", "s1", "s2", "k1", "k2")).select("rep", "n", "s1", "s2", "text")
     found = arrow_map(rows, paths, "rep bigint, n bigint, s1 bigint, s2 bigint, paths array<bigint>").select("rep", "n", "s1", "s2", F.explode("paths").alias("bucket"))

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, arrow_map, batch_map, hot_join, kgram_hashes, pick, sliding, with_column, written
+from palimpsest.llm.common import arrow_map, batch_map, hot_join, kgram_hashes, pick, sliding, with_column, word_hashes, written
 
 SPAN, K = 400, 64
 #: Bytes of a word where texts are compared as words.
@@ -61,16 +61,13 @@ _BLOCK = 16
 _FIRST = -(1 << 63)
 _PREFIX = 8  # bytes of the group's key before each suffix
 _BITS = 32  # a stretch is one number: its start, then so many bits of length
-_WORDS = WordHashes()
 _NOT_SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def encoded(text: str, words: bool = False) -> bytes:
     """What is compared: the text's bytes, or eight bytes for each word."""
     data = text.encode()
-    if not words:
-        return data
-    return np.fromiter(map(_WORDS.__getitem__, data.split()), np.uint64).tobytes()
+    return word_hashes(data)[0].tobytes() if words else data
 
 
 def anchors(data: bytes, span: int = SPAN, k: int = K, unit: int = 1) -> np.ndarray:

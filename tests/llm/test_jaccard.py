@@ -3,6 +3,7 @@ import random
 import pytest
 
 from palimpsest.llm import jaccard
+from palimpsest.llm.common import word_hashes
 
 
 def brute(rows):
@@ -127,3 +128,23 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.similar_digest(docs).collect() == []
     assert jaccard.one_of_each_group(docs).collect() == []
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab \n\t\x00\xff\x1c\x85") for _ in range(rng.randrange(50))) for _ in range(2000)]
+    texts += [b"", b" ", b" ".join(b"x" * n for n in range(1, 200)), b"\n".join(b"x" * n for n in range(199, 0, -1))]
+    known: dict[bytes, int] = {}
+    for t in texts:
+        hashes, start = word_hashes(t)
+        assert len(hashes) == len(t.split()) and all(t[p:].startswith(w) for p, w in zip(start.tolist(), t.split(), strict=True))
+        assert all(known.setdefault(w, h) == h for w, h in zip(t.split(), hashes.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
+def test_sets_do_not_depend_on_what_is_hashed_beside_them():
+    texts = [None, "", "one two three four", "a b c d e f g", " a  b c d e f g ", "w " * 600_000, "a b c d e", "x" * 2_000_000, "b c d e f g"]
+    sets = [s.tolist() for s in jaccard.shingle_sets(texts)]
+    assert sets == [jaccard.shingles(t).tolist() for t in texts]
+    assert [len(s) for s in sets] == [0, 0, 1, 3, 3, 1, 1, 1, 2] and sets[3] == sets[4] and set(sets[8]) < set(sets[3]) and sets[6][0] in sets[3]
+    assert len(jaccard.shingles(" ".join(map(str, range(30))), 7)) == 24

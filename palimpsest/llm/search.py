@@ -14,8 +14,8 @@ Defined cases: null and empty texts have no terms, are no documents for N, and a
 nothing; rows with equal item_id are one item with the terms of all of them (a null id is an id); repeated documents are found
 each; of equal scores the smaller doc_id comes first, a null one last; texts are read whole; other columns are ignored.
 
-Memory: a task holds the shards of one Arrow batch, at most a file split of the index, and an accumulator for the documents of one
-shard. Queries are taken in blocks of at most `block_terms` (item, term) pairs, each in one pass over the index, so neither
+Memory: a task holds the shards of one Arrow batch, which is bounded in bytes, one row group of some shards, and an accumulator for the
+documents of one shard, however much of the index it reads. Queries are taken in blocks of at most `block_terms` (item, term) pairs, each in one pass over the index, so neither
 the driver nor a task holds more than a block of them.
 """
 
@@ -35,6 +35,8 @@ from palimpsest.llm.common import arrow_map, pick, written
 TOP = 10
 #: Text of a shard in bytes, and documents at most; a longer text is a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
+#: Shards that are written and read at once.
+GROUP_SHARDS = 4
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: Bytes of terms as they are, A-Z lower-cased, any other ASCII as a space. Bytes of characters beyond ASCII are all over 0x7F.
 _TERM_BYTES = bytes(c if c > 0x7F or bytes([c]).isdigit() or c in _LETTERS else c + 32 if c + 32 in _LETTERS and c < 0x60 else 32 for c in range(256))
@@ -89,7 +91,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHA
         if ids:
             yield _shard(ids, found, n_docs, n_terms)
 
-    return written(arrow_map(pick(docs, "doc_id", "text"), run, _INDEX), "postings"), n_docs
+    return written(arrow_map(pick(docs, "doc_id", "text"), run, _INDEX), "postings", group_rows=GROUP_SHARDS), n_docs
 
 
 def _shard(ids: list[int | None], found: list[list[bytes]], n_docs: int, n_terms: int) -> dict[str, list]:

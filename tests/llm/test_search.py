@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from palimpsest.llm import search
 
@@ -86,3 +87,16 @@ def test_a_shard_holds_sorted_terms_and_impacts():
     assert np.frombuffer(row["docs"][0], np.int32).tolist() == [0, 1, 0] and np.frombuffer(row["no_id"][0], np.int32).tolist() == [1]
     m = [10 + 90 * 3 * 2 // 4, 10 + 90 * 2 // 4]
     assert np.frombuffer(row["impacts"][0], np.int32).tolist() == [search.impact(1, m[0]), search.impact(1, m[1]), search.impact(2, m[0])]
+
+
+def test_long_rows_of_the_index_come_few_at_a_time(spark):
+    from palimpsest.functions.batches import BATCH_BYTES
+    from palimpsest.llm.common import arrow_map, written
+
+    long = written(spark.range(0, 40, 1, 1).selectExpr("repeat(char(65 + id), 1 << 20) text"), "long", group_rows=search.GROUP_SHARDS)
+    sizes = lambda batches: ({"n": [len(b["text"])]} for b in batches)
+    got = [r["n"] for r in arrow_map(long, sizes, "n int").collect()]
+    assert sum(got) == 40 and max(got) <= (BATCH_BYTES >> 20) + 1
+    index, _ = search.build(spark.range(0, 40, 1, 1).selectExpr("id doc_id", "concat('w', id) text"), shard_docs=1)
+    groups = [pq.ParquetFile(p.removeprefix("file:")).metadata for p in index.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 40 and all(g.row_group(i).num_rows <= search.GROUP_SHARDS for g in groups for i in range(g.num_row_groups))

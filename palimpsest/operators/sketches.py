@@ -4,7 +4,8 @@ Rows are summed up once, where they lie; afterwards any range of runs is a merge
 sketches, which can be intersected and subtracted, and as HLL sketches, which are smaller; numbers as KLL sketches.
 
 Error, one standard deviation: theta 1/sqrt(2**theta_bits), exact up to that many things; HLL about 0.8/sqrt(2**hll_bits); a KLL quantile's rank
-is off by about 1.7 % at 99 % confidence with the default k, exact up to k numbers. Null things and numbers are left out.
+is off by about 1.7 % at 99 % confidence with the default k, exact up to k numbers. Null things and numbers are left out. exact() tells
+whether a theta sketch still holds all its things; groups where it does not can be counted from their rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ def distinct(theta: str | Column) -> Column:
     return F.theta_sketch_estimate(theta)
 
 
+def exact(theta: str | Column) -> Column:
+    """Whether the sketch has left nothing out: one that has says more than it has room for. True of null."""
+    return F.coalesce(F.theta_sketch_estimate(theta) <= 2**THETA_BITS, F.lit(True))
+
+
 def distinct_small(hll: str | Column) -> Column:
     return F.hll_sketch_estimate(hll)
 

@@ -25,12 +25,13 @@ def run_build(project_root: str | Path, targets: Sequence[str], command: str = "
     return done.stdout
 
 
-def build_rows(rows: DataFrame, targets: str, root: str | None = None, command: str = "ant", timeout_sec: int = TIMEOUT_SEC) -> DataFrame:
+def build_rows(rows: DataFrame, targets: str, root: str | None = None, command: str = "ant", timeout_sec: int = TIMEOUT_SEC, tasks: int | None = None) -> DataFrame:
     """rows with exit_code, output and failure, after `command targets...` was run for each, in the directory that column root names.
 
     targets is a column of arrays; null means none, null entries are left out. Nothing stops the job: failure is null, `exit`, `timeout` or
     `missing` (no such command or directory), and exit_code is null unless the command ended. Output includes errors; what is no UTF-8 is
-    replaced. A task runs its rows' commands one after the other. A command must bear being run again, since a task may.
+    replaced. A task runs its rows' commands one after the other; rows are dealt evenly over `tasks`, by default some for each core, however few
+files they come from. A command must bear being run again, since a task may.
     """
     names = rows.columns
 
@@ -52,4 +53,6 @@ def build_rows(rows: DataFrame, targets: str, root: str | None = None, command:
             yield out[[*names, "exit_code", "output", "failure"]]
 
     fields = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.mapInPandas(run, f"{fields}, exit_code int, output string, failure string")
+    spark = rows.sparkSession
+    tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks).mapInPandas(run, f"{fields}, exit_code int, output string, failure string")

@@ -1,6 +1,8 @@
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from palimpsest.functions import patch_functions
 from palimpsest.operators import textdiff
 from palimpsest.sources import audit, external, patches, storage
@@ -66,3 +68,8 @@ def test_table_function_equals_the_frame_function(spark):
     got = spark.sql("SELECT * FROM patch_lines(TABLE(some_patches) PARTITION BY project_id ORDER BY test_name)")
     want = patches.patch_lines(df)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_commands_of_one_partition_are_dealt_over_tasks(spark):
+    rows = external.build_rows(spark.range(0, 40, 1, 1).selectExpr("id", "array('-c', 'exit 0') targets"), "targets", command="sh", tasks=8)
+    assert [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()] == [5] * 8

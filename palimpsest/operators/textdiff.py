@@ -7,10 +7,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.functions.batches import small_batches
 from palimpsest.operators.linediff import changes, lines_of
 from palimpsest.sources.patches import parse_hunks
 
@@ -82,6 +83,7 @@ def diff(before: str | Column, after: str | Column, path: str | Column) -> Colum
     def run(b: pd.Series, a: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([unified(x or "", y or "", q or "") for x, y, q in zip(b, a, p, strict=True)], dtype=object)
 
+    small_batches(SparkSession.active())
     return run(before, after, path)
 
 
@@ -128,6 +130,7 @@ def replace_method(source: str | Column, name: str | Column, method: str | Colum
     def run(s: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None or z is None else replaced_method(x, y, z) for x, y, z in zip(s, n, m, strict=True)], dtype=object)
 
+    small_batches(SparkSession.active())
     return run(source, name, method)
 
 
@@ -161,6 +164,7 @@ def fold_patches(sources: DataFrame, patches: DataFrame, *key: str) -> DataFrame
         if now is not None:
             yield pd.DataFrame([(*now, text, done, refused)], columns=names)
 
+    small_batches(sources.sparkSession)
     names = [*key, "text", "applied", "rejected"]
     none = F.lit(None)
     both = sources.select(*key, F.lit(True).alias("_source"), "text", none.cast("bigint").alias("seq"), none.cast("string").alias("raw"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.batches import small_batches
+
 KEY = ("project_id", "run_ts", "class_name", "test_name")
 _PATH = r"/(\d+)_([^/]+)/run_(\d{8}_\d{6})/patches/[^/]+/([^/]+)/([^/]+)\.diff$"
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -113,6 +115,7 @@ def fault(raw: str | Column) -> Column:
     def run(raws: pd.Series) -> pd.Series:
         return pd.Series([_fault(r) for r in raws], dtype=object)
 
+    small_batches(SparkSession.active())
     return run(raw)
 
 
@@ -139,6 +142,7 @@ def patch_lines(patches: DataFrame, strict: bool = True) -> DataFrame:
             yield out.astype({"old_no": "Int32", "new_no": "Int32"})
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hunk_no int, line_no int, op string, old_no int, new_no int, text string, ended boolean"
+    small_batches(patches.sparkSession)
     return patches.select(*keys, "raw").mapInPandas(run, schema)
 
 
@@ -177,6 +181,7 @@ def write_files(files: DataFrame) -> None:
                 n += 1
         yield pd.DataFrame({"files": [n]})
 
+    small_batches(files.sparkSession)
     files.select("path", "raw").mapInPandas(run, "files bigint").agg(F.sum("files")).collect()
 
 

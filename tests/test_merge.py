@@ -53,3 +53,18 @@ def test_columns_and_conflict_rows(spark):
     got = {r["id"]: r["m"] for r in df.select("id", "m").collect()}
     assert got[1]["text"] == "A\nb\nC\n" and got[1]["conflicts"] == [] and (got[3] is None or got[3]["text"] is None) and got[4]["text"] == ""
     assert [tuple(r) for r in merge.conflict_rows(df, "m", "id").collect()] == [(2, 1, "a\n", "x\n", "y\n")]
+
+
+def test_long_texts_come_few_at_a_time(spark):
+    import pandas as pd
+
+    from palimpsest.functions.batches import BATCH_BYTES
+    from palimpsest.operators import textdiff
+
+    long = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1 << 20) text")
+    count = lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    for use in (lambda: merge.merged("text", "text", "text"), lambda: textdiff.diff("text", "text", "id"), lambda: textdiff.fold_patches(long, long.selectExpr("id", "1 seq", "text raw"), "id")):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        use()
+        got = [r["n"] for r in long.mapInPandas(count, "n int").collect()]
+        assert sum(got) == 40 and max(got) <= (BATCH_BYTES >> 20) + 1

@@ -37,7 +37,12 @@ _UNSURE = regex.compile(r"[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u3000-\u303f\u
 _NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u02c1\u2010-\u2027\u20ac]")
 _LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02c1"
 _PLAIN_WORDS = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_LONG = regex.compile(r"\s{500}|\S{20000}")
+#: The same split of text without two white space characters in a row; without look-ahead it needs no backtracking.
+_SINGLE_SPACED = WORDS.pattern.removesuffix(r"|\s+(?!\S)|\s+") + r"|\s"
+_TWO_SPACES = re.compile(r"\s\s")
+#: Looked for from the start of a stretch only, and where every 50th character leaves it possible.
+_LONG = regex.compile(r"(?<!\s)\s{500}|(?<!\S)\S{20000}")
+_PERHAPS_LONG = regex.compile(r"\s{10}|\S{400}")
 #: Words remembered: some 150 MB a worker at most.
 _CACHED = 1_000_000
 
@@ -419,16 +424,20 @@ def fast_ids(path: str):
         return lambda text: np.array(own.encode(text), np.uint32)
     import tiktoken
 
-    key = (path, "ranks")
-    if key not in _LOADED:
-        _LOADED[key] = tiktoken.Encoding("ranks", pat_str=WORDS.pattern, mergeable_ranks=v.id_of, special_tokens=v.special)
-    ranks = _LOADED[key]
+    def library(pattern: str) -> tiktoken.Encoding:
+        if (path, pattern) not in _LOADED:
+            _LOADED[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=v.id_of, special_tokens=v.special)
+        return _LOADED[path, pattern]
 
     def ids(text: str) -> np.ndarray:
-        # Long stretches of white space or of one word outgrow that library's regex stack.
-        if _UNSURE.search(text) or _LONG.search(text):
+        if _UNSURE.search(text):
+            return np.array(own.encode(text), np.uint32)
+        if not _TWO_SPACES.search(text):
+            return library(_SINGLE_SPACED).encode_to_numpy(text, allowed_special="all")
+        # Long stretches of white space or of one word outgrow that library's regex stack, which look-ahead needs.
+        if _PERHAPS_LONG.search(text[::50]) and _LONG.search(text):
             return np.array(own.encode(text), np.uint32)
-        return ranks.encode_to_numpy(text, allowed_special="all")
+        return library(WORDS.pattern).encode_to_numpy(text, allowed_special="all")
 
     return ids
 

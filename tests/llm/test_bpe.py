@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,3 +81,47 @@ def test_plain_pattern_splits_as_the_library(library):
         if not bpe._NOT_PLAIN.search(chr(c)):
             s = f"a{chr(c)}1{chr(c)} {chr(c)}.'s {chr(c)}{chr(c)} 've'll "
             assert [x for _, x in pre.pre_tokenize_str(s)] == [m.span() for m in bpe._PLAIN_WORDS.finditer(s)], hex(c)
+
+
+def test_single_spaced_pattern_splits_as_the_library(library):
+    """Every white space character between, before and after words, marks, numbers and special tokens, and pairs of them beside it."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    ids = bpe.fast_ids(PATH)
+    for s in spaces:
+        for text in (s, f"a{s}b{s}1{s}.{s}'s{s}<|endoftext|>{s}é{s}", f"{s}don't{s}we'll{s}!?{s}23", f"a{s}{s}b", f"a {s}b{s} c\n{s}"):
+            assert ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(s))
+
+
+def test_ids_of_prose_take_little_more_than_the_look_ups():
+    import tiktoken
+
+    r = random.Random(4)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(1, 9))) for _ in range(20_000)]
+    texts = [" ".join(r.choices(words, k=400)) + ".\n" for _ in range(500)]
+    v = bpe.Vocabulary(PATH)
+    plain = tiktoken.Encoding("plain", pat_str=bpe.WORDS.pattern, mergeable_ranks=v.id_of, special_tokens=v.special)
+
+    def least(encode):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            for t in texts:
+                encode(t)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    ids = bpe.fast_ids(PATH)
+    assert all(np.array_equal(ids(t), plain.encode_to_numpy(t, allowed_special="all")) for t in texts)
+    assert least(ids) < 1.1 * least(lambda t: plain.encode_to_numpy(t, allowed_special="all"))
+
+
+def test_words_just_short_of_long_take_linear_time(library):
+    text = ("ab" * 9999 + "  ") * 10
+    began = time.thread_time()
+    found = bpe.fast_ids(PATH)(text)
+    took = time.thread_time() - began
+    assert found.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert took < 5  # 28 s where each place of a word begins a search to its end
+    for n in (499, 500, 501, 1000):
+        for text in ("a" + " " * n + "b  c", "a  " + "\n" * n, " " * n + "a", "a  " + "b" * (40 * n) + "  c"):
+            assert bool(bpe._LONG.search(text)) == bool(bpe.regex.search(r"\s{500}|\S{20000}", text)) == bool(bpe._PERHAPS_LONG.search(text[::50]) and bpe._LONG.search(text))

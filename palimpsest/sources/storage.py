@@ -6,6 +6,7 @@ temporary name before it takes the target's place.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,6 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of queries that are over go soon; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def move_new(spark: SparkSession, src: str, dst: str) -> bool:
     """Renames src to dst, which must not be there; whether it did. One step where the file system has it."""
     _, _, fs, s = _fs(spark, src)

@@ -3,6 +3,8 @@ import random
 import pytest
 
 from palimpsest.operators import textdiff
+from palimpsest.plans import history
+from palimpsest.plans.catalog import SQL
 from palimpsest.streaming import patch_stream
 
 SCHEMA = "key string, at timestamp, source boolean, seq bigint, body string"
@@ -84,3 +86,26 @@ def test_keys_of_any_kind_share_groups(spark, tmp_path):
             folded.writeStream.format("memory").queryName(f"kinds{n}").outputMode("append").option("checkpointLocation", str(tmp_path / f"state{n}")).trigger(availableNow=True).start().awaitTermination(180)
         got = sorted(((int(r["key"]) if r["key"] is not None else None, *tuple(r)[1:]) for r in spark.table(f"kinds{n}").collect()), key=str)
         assert got == sorted([(2**60 + 1, "b\n", 1, 0), (2**60, "b\n", 1, 0), (None, "b\n", 1, 0), (2**60, None, 0, 1)], key=str)
+
+
+def test_query_keeps_one_slice_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    """What a stream keeps goes before the next slice's begins; at the end only the rows are there, and they are those of SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    base, kept, fold = tmp_path / "patches", [], patch_stream.fold_stream
+    files = lambda *of: [p for d in of for p in (base / d).rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+
+    def watched(*args, **kwargs):
+        kept.append((len(files("state")), {p.relative_to(base / "in").parts[0] for p in files("in")}))
+        return fold(*args, **kwargs)
+
+    monkeypatch.setattr(history, "_SLICE_ROWS", 60, raising=False)
+    monkeypatch.setattr(history, "_place", lambda spark, name: str(base))
+    monkeypatch.setattr(patch_stream, "fold_stream", watched)
+    before = [spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "streaming.minBatchesToRetain", "streaming.stateStore.maintenanceInterval")]
+    got = history.patch_stream_fold(spark, "/root/testdata/sf0.001")
+    assert kept == [(0, {"0"}), (0, {"1"}), (0, {"2"})]
+    assert {p.relative_to(base).parts[0] for p in files(".") if p.name != "_SUCCESS"} == {"out"}
+    assert before == [spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "streaming.minBatchesToRetain", "streaming.stateStore.maintenanceInterval")]
+    con = duckdb.connect()
+    con.sql("create view documents as select * from read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(SQL["patch_stream_fold"]).fetchall())
